@@ -26,13 +26,18 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [left[key].eqNullSafe(right[key]) for key in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys of groups with more than ``hot_rows`` rows, as a staged table.
+def hot_groups(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame | None:
+    """The keys of groups with more than ``hot_rows`` rows as a staged table, or None.
 
-    There are at most ``rows / hot_rows`` of them. Runs one job that reads the
-    key columns alone.
+    There are at most ``rows / hot_rows`` of them. Runs a job that reads the key
+    columns alone, and one more that writes the table if there are any.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0]
+    if largest is None or largest <= hot_rows:
+        return None
     return stage(sizes.where(F.col("_rows") > hot_rows).select(*keys), "hot-groups")
 
 
@@ -64,7 +69,7 @@ def group_percentile(
     """
     keys = list(keys)
     hot = hot_groups(df, keys, hot_rows)
-    if hot.isEmpty():
+    if hot is None:
         return _in_memory(df, keys, value, fraction, extra, name)
     usual = df.join(hot, _same(df, hot, keys), "left_anti")
     large = df.join(hot, _same(df, hot, keys), "left_semi")

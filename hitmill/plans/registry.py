@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitmill.plans import web
+from hitmill.plans import ingest, regress, web
 from hitmill.session import prepare
 
-MODULES = (web,)
+MODULES = (web, regress, ingest)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, so that summation order does not show.
+def result(df: DataFrame, places: int | None = 6) -> DataFrame:
+    """Doubles rounded, so that summation order does not show; times as UTC.
 
-    Applied to results only; operators return full precision.
+    Applied to results only; operators return full precision. ``places=None``
+    keeps doubles that both engines must have bit by bit.
     """
-    return df.select(
-        *[
-            F.round(f.name, places).alias(f.name)
-            if isinstance(f.dataType, T.DoubleType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+
+    def shaped(f: T.StructField):
+        if isinstance(f.dataType, T.DoubleType) and places is not None:
+            return F.round(f.name, places).alias(f.name)
+        if isinstance(f.dataType, T.TimestampType):
+            return F.col(f.name).cast("timestamp_ntz").alias(f.name)
+        return F.col(f.name)
+
+    return df.select(*[shaped(f) for f in df.schema])

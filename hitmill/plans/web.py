@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from hitmill.operators import web, web_extended
-from hitmill.plans.shape import rounded
+from hitmill.plans.shape import result
 from hitmill.plans.tables import HITS_COLUMNS, hits, over_hits
 
 # The suite's own constants select nothing in the derived table; these do.
@@ -270,7 +270,7 @@ def _bind(name: str) -> Callable[[SparkSession, str], DataFrame]:
     operator, parameters = getattr(module, name), PARAMETERS.get(name, {})
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(operator(hits(spark, sf_dir), **parameters))
+        return result(operator(hits(spark, sf_dir), **parameters))
 
     return query
 
