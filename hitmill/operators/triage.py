@@ -45,6 +45,10 @@ class RepoRules:
         return sorted({*self.suites, *self.micro})
 
 
+def no_texts() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -119,7 +123,7 @@ def comment_class(rules: Sequence[RepoRules]) -> Column:
 def classify(comments: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:
     """Add class, names, env, unsupported names and PR number to every comment."""
     kind = F.col("class")
-    none = F.array().cast("array<string>")
+    none = no_texts()
     requests = comments.withColumn("class", comment_class(rules))
     return requests.withColumns(
         {
@@ -193,15 +197,15 @@ def mentioned_links(replies: DataFrame, comments: DataFrame) -> DataFrame:
     against all its replies grows with the square of a busy PR. Here every reply
     is cut into the pieces that could be a link, which makes the test an equi-join
     on the text: pieces start wherever "http" stands in a reply, and have the
-    lengths that occur among the links. Links of another form are looked for at
-    every position. The lengths are a set of numbers no larger than the longest
-    link, and pieces grow with the text of the replies alone.
+    lengths of the links in the same PR. Links of another form are looked for at
+    every position. A PR's lengths are a set of numbers no larger than its longest
+    link, so the pieces grow with the text of the replies alone.
     """
     link = F.coalesce("html_url", F.lit(""))
     plain = link.startswith("http")
-    lengths = comments.agg(
-        F.collect_set(F.when(plain, F.length(link))).alias("plain"),
-        F.collect_set(F.when(~plain, F.length(link))).alias("other"),
+    lengths = comments.groupBy(F.col("repo").alias("_repo"), F.col("pr").alias("_pr")).agg(
+        F.collect_set(F.when(plain, F.length(link))).alias("_plain"),
+        F.collect_set(F.when(~plain, F.length(link))).alias("_other"),
     )
     body = F.coalesce("body", F.lit(""))
     size = F.length(body)
@@ -220,13 +224,15 @@ def mentioned_links(replies: DataFrame, comments: DataFrame) -> DataFrame:
     everywhere = F.sequence(F.lit(1), size + 1)
     at_links = F.filter(everywhere, lambda start: F.substring(body, start, F.lit(4)) == "http")
     found = F.array_union(
-        pieces(at_links, lengths.select("plain").scalar()),
-        F.when(
-            F.size(lengths.select("other").scalar()) > 0,
-            pieces(everywhere, lengths.select("other").scalar()),
-        ).otherwise(F.array().cast("array<string>")),
+        F.when(body.contains("http"), pieces(at_links, F.col("_plain"))).otherwise(no_texts()),
+        F.when(F.size("_other") > 0, pieces(everywhere, F.col("_other"))).otherwise(no_texts()),
+    )
+    same = [F.col("repo") == F.col("_repo"), F.col("pr") == F.col("_pr")]
+    return (
+        replies.join(lengths, same)
+        .select("repo", "pr", F.explode(found).alias("link"))
+        .distinct()
     )
-    return replies.select("repo", "pr", F.explode(found).alias("link")).distinct()
 
 
 def with_reply(comments: DataFrame, replies: DataFrame) -> DataFrame:
@@ -347,7 +353,7 @@ def job_meta(jobs: DataFrame) -> DataFrame:
         return (
             F.when(line.contains(SUITES_WORD), words(F.regexp_extract(line, SUITES_PATTERN, 1)))
             .when(line.contains(MICRO_WORD) & (one != ""), F.array(one))
-            .otherwise(F.array().cast("array<string>"))
+            .otherwise(no_texts())
         )
 
     settings = F.filter(

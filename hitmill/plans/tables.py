@@ -124,8 +124,8 @@ COMMENTS_COLUMNS = {
         "'https://api.x.example/issues/' || CAST(event_id % 400 AS STRING)"
         " || CASE WHEN event_id % 5 = 0 THEN '/' ELSE '' END"
     ),
-    "created_at": "ts",
-    "updated_at": "ts",
+    "created_at": "CAST(ts AS TIMESTAMP)",
+    "updated_at": "CAST(ts AS TIMESTAMP)",
 }
 
 
