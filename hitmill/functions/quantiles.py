@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from hitmill.staging import stage
 
-# Rows of a group that one task may hold in memory.
-HOT_ROWS = 1_000_000
+# Rows of a group that one task may hold in memory. A task may hold 128 such groups
+# before Spark falls back to sorting them.
+HOT_ROWS = 100_000
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -117,9 +118,9 @@ def _ranged(
         .agg(F.sum("_n").alias("_held"))
         .withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
         .withColumn("_total", F.sum("_held").over(in_group))
-        .withColumn("_low", F.floor(position))
-        .withColumn("_high", F.ceil(position))
-        .withColumn("_weight", position - F.floor(position))
+        .withColumn("_position", position)
+        .withColumn("_low", F.floor("_position"))
+        .withColumn("_high", F.ceil("_position"))
         .where(
             (F.col("_before") <= F.col("_high"))
             & (F.col("_before") + F.col("_held") > F.col("_low"))
@@ -129,9 +130,9 @@ def _ranged(
         *[F.col(key).alias(f"_k_{key}") for key in keys],
         F.col("_range").alias("_k_range"),
         "_before",
+        "_position",
         "_low",
         "_high",
-        "_weight",
     )
     condition = reduce(
         Column.__and__,
@@ -150,8 +151,18 @@ def _ranged(
         return F.max(F.when(holds, F.col("_value")))
 
     low, high = value_at("_low"), value_at("_high")
-    percentiles = ranked.groupBy(*keys).agg(
-        (low + (high - low) * F.max("_weight")).alias(name)
+    at = ranked.groupBy(*keys).agg(
+        low.alias("_at_low"),
+        high.alias("_at_high"),
+        *[F.first(column).alias(column) for column in ("_position", "_low", "_high")],
+    )
+    # The interpolation of Spark's own percentile, so that both paths agree to the bit.
+    between = F.col("_at_low") * (F.col("_high") - F.col("_position")) + F.col("_at_high") * (
+        F.col("_position") - F.col("_low")
+    )
+    same_rank = F.col("_low") == F.col("_high")
+    percentiles = at.select(
+        *keys, F.when(same_rank, F.col("_at_low")).otherwise(between).alias(name)
     )
     if not extra:
         groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")

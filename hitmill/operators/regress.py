@@ -94,7 +94,7 @@ def normalize(
 
 
 def trend(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Mean and median of the normalised rows of every revision, in text order."""
+    """Mean and median of the normalised rows of every revision."""
     return group_median(
         normalized,
         ["git_revision", "git_revision_timestamp"],
@@ -102,8 +102,7 @@ def trend(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         [F.avg("normalized_time").alias("avg_time")],
         "median_time",
         hot_rows,
-    ).orderBy(up("git_revision_timestamp"), up("git_revision"))
-
+    )
 
 def per_query(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Median of the normalised rows of every revision and query."""
@@ -113,7 +112,13 @@ def per_query(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "normalized_time",
         name="median_time",
         hot_rows=hot_rows,
-    ).orderBy(up("git_revision_timestamp"), up("query_name"), up("git_revision"))
+    )
+
+
+def by_text_time(medians: DataFrame) -> DataFrame:
+    """Rows of ``trend`` or ``per_query`` in the order of their time text."""
+    keys = ["git_revision_timestamp", "query_name", "git_revision"]
+    return medians.orderBy(*[up(key) for key in keys if key in medians.columns])
 
 
 def with_utc(df: DataFrame) -> DataFrame:

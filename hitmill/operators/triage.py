@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitmill.functions.ordering import down, up
-from hitmill.functions.whitespace import SPACE, lines, strip, words
+from hitmill.functions.whitespace import LINE_BREAK, SPACE, lines, no_texts, strip, words
 
 # Triggers, limits and patterns of the request language.
 QUEUE_TRIGGER = "show benchmark queue"
 REQUEST_START = "run benchmark"
 DEFAULT_PATTERN = rf"(?iu)\A{SPACE}*run{SPACE}+benchmarks{SPACE}*\z"
-NAMED_PATTERN = rf"(?iu)\A{SPACE}*run{SPACE}+benchmark{SPACE}+((?:[a-z0-9_\-]|{SPACE})+?){SPACE}*\z"
+NAMED_PATTERN = rf"(?iu)\A{SPACE}*run{SPACE}+benchmark{SPACE}+([a-z0-9_\-{SPACE}]+)\z"
 ENV_PATTERN = r"\A[A-Z_][A-Z0-9_]*=[a-zA-Z0-9._\-]+\z"
 WINDOW_SECONDS = 3600
 WINDOW_ROWS = 100
@@ -45,10 +45,6 @@ class RepoRules:
         return sorted({*self.suites, *self.micro})
 
 
-def no_texts() -> Column:
-    return F.array().cast("array<string>")
-
-
 def _texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -65,17 +61,17 @@ def per_repo(rules: Sequence[RepoRules], value, default: Column) -> Column:
 # --- one comment ------------------------------------------------------------
 
 
-def body_lines() -> Column:
-    return lines(strip(F.coalesce("body", F.lit(""))))
+def body_text() -> Column:
+    return strip(F.coalesce("body", F.lit("")))
 
 
 def trigger_line() -> Column:
     """The first line of the trimmed body."""
-    return F.element_at(body_lines(), 1)
+    return F.element_at(F.split(body_text(), LINE_BREAK, 2), 1)
 
 
 def other_lines() -> Column:
-    every = body_lines()
+    every = lines(body_text())
     return F.slice(every, F.lit(2), F.size(every))
 
 
@@ -84,9 +80,10 @@ def env_settings() -> Column:
     return F.filter(F.transform(other_lines(), strip), lambda line: line.rlike(ENV_PATTERN))
 
 
-def requested_names() -> Column:
+def requested_names(trigger: Column | None = None) -> Column:
     """The names of a well-formed request, an empty array for anything else."""
-    return words(F.regexp_extract(trigger_line(), NAMED_PATTERN, 1))
+    trigger = trigger_line() if trigger is None else trigger
+    return words(F.regexp_extract(trigger, NAMED_PATTERN, 1))
 
 
 def pr_number() -> Column:
@@ -99,39 +96,44 @@ def allowed_names(rules: Sequence[RepoRules]) -> Column:
     return per_repo(rules, lambda rule: _texts(rule.names), _texts([]))
 
 
-def unsupported_names(rules: Sequence[RepoRules]) -> Column:
+def unsupported_names(rules: Sequence[RepoRules], trigger: Column | None = None) -> Column:
     """All words after the second of the trigger that the repository does not allow."""
-    named = words(trigger_line())
+    named = words(trigger_line() if trigger is None else trigger)
     named = F.slice(named, F.lit(3), F.greatest(F.size(named), F.lit(1)))
     allowed = allowed_names(rules)
     return F.filter(named, lambda name: ~F.array_contains(allowed, name))
 
 
-def comment_class(rules: Sequence[RepoRules]) -> Column:
-    """default, named, queue, unsupported or none."""
-    names = requested_names()
-    all_allowed = F.size(F.array_except(names, allowed_names(rules))) == 0
-    return (
-        F.when(F.lower(strip(F.coalesce("body", F.lit("")))) == QUEUE_TRIGGER, "queue")
-        .when(trigger_line().rlike(DEFAULT_PATTERN), "default")
-        .when((F.size(names) > 0) & all_allowed, "named")
-        .when(F.lower(trigger_line()).startswith(REQUEST_START), "unsupported")
+def classify(comments: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:
+    """Add class, names, env, unsupported names and PR number to every comment.
+
+    The class is default, named, queue, unsupported or none. Steps are columns of
+    their own, so that Spark computes each of them once per comment.
+    """
+    trigger, asked, kind = F.col("_trigger"), F.col("_asked"), F.col("class")
+    all_allowed = F.size(F.array_except(asked, allowed_names(rules))) == 0
+    comment_class = (
+        F.when(F.lower(body_text()) == QUEUE_TRIGGER, "queue")
+        .when(trigger.rlike(DEFAULT_PATTERN), "default")
+        .when((F.size(asked) > 0) & all_allowed, "named")
+        .when(F.lower(trigger).startswith(REQUEST_START), "unsupported")
         .otherwise("none")
     )
-
-
-def classify(comments: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:
-    """Add class, names, env, unsupported names and PR number to every comment."""
-    kind = F.col("class")
-    none = no_texts()
-    requests = comments.withColumn("class", comment_class(rules))
-    return requests.withColumns(
-        {
-            "pr": pr_number(),
-            "names": F.when(kind == "named", requested_names()).otherwise(none),
-            "env": F.when(kind.isin("default", "named"), env_settings()).otherwise(none),
-            "bad_names": F.when(kind == "unsupported", unsupported_names(rules)).otherwise(none),
-        }
+    return (
+        comments.withColumn("pr", pr_number())
+        .withColumn("_trigger", trigger_line())
+        .withColumn("_asked", requested_names(trigger))
+        .withColumn("class", comment_class)
+        .withColumns(
+            {
+                "names": F.when(kind == "named", asked).otherwise(no_texts()),
+                "env": F.when(kind.isin("default", "named"), env_settings()).otherwise(no_texts()),
+                "bad_names": F.when(kind == "unsupported", unsupported_names(rules, trigger)).otherwise(
+                    no_texts()
+                ),
+            }
+        )
+        .drop("_trigger", "_asked")
     )
 
 
@@ -196,36 +198,32 @@ def mentioned_links(replies: DataFrame, comments: DataFrame) -> DataFrame:
     "A reply contains the link" is a substring test. Testing all comments of a PR
     against all its replies grows with the square of a busy PR. Here every reply
     is cut into the pieces that could be a link, which makes the test an equi-join
-    on the text: pieces start wherever "http" stands in a reply, and have the
-    lengths of the links in the same PR. Links of another form are looked for at
-    every position. A PR's lengths are a set of numbers no larger than its longest
-    link, so the pieces grow with the text of the replies alone.
+    on the text: a reply is split before every "http", and the beginnings of the
+    parts are taken in the lengths of the links of the same PR. Links of another
+    form are looked for at every position. A PR's lengths are a set of numbers no
+    larger than its longest link, so the pieces grow with the text of the replies
+    alone.
     """
     link = F.coalesce("html_url", F.lit(""))
-    plain = link.startswith("http")
+    plain = link.startswith("http") & (F.locate("http", link, 2) == 0)
     lengths = comments.groupBy(F.col("repo").alias("_repo"), F.col("pr").alias("_pr")).agg(
         F.collect_set(F.when(plain, F.length(link))).alias("_plain"),
         F.collect_set(F.when(~plain, F.length(link))).alias("_other"),
     )
     body = F.coalesce("body", F.lit(""))
-    size = F.length(body)
-
-    def pieces(starts: Column, sizes: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                sizes,
-                lambda n: F.transform(
-                    F.filter(starts, lambda start: start + n <= size + 1),
-                    lambda start: F.substring(body, start, n),
-                ),
-            )
-        )
 
-    everywhere = F.sequence(F.lit(1), size + 1)
-    at_links = F.filter(everywhere, lambda start: F.substring(body, start, F.lit(4)) == "http")
-    found = F.array_union(
-        F.when(body.contains("http"), pieces(at_links, F.col("_plain"))).otherwise(no_texts()),
-        F.when(F.size("_other") > 0, pieces(everywhere, F.col("_other"))).otherwise(no_texts()),
+    def beginnings(part: Column) -> Column:
+        fitting = F.filter("_plain", lambda n: part.startswith("http") & (n <= F.length(part)))
+        return F.transform(fitting, lambda n: F.substring(part, F.lit(1), n))
+
+    def anywhere(n: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(body) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda start: F.substring(body, start, n))
+
+    parts = F.when(body.contains("http"), F.split(body, "(?=http)")).otherwise(no_texts())
+    other = F.filter("_other", lambda n: n <= F.length(body))
+    found = F.concat(
+        F.flatten(F.transform(parts, beginnings)), F.flatten(F.transform(other, anywhere))
     )
     same = [F.col("repo") == F.col("_repo"), F.col("pr") == F.col("_pr")]
     return (
@@ -323,6 +321,7 @@ def job_rows(requests: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:
 
 
 # The line forms of a job text.
+JOB_LINE_BREAK = r"\r\n|\r|\n"
 USER_LINE = "# User:"
 COMMENT_LINE = "# Comment:"
 SUITES_WORD = "BENCHMARKS="
@@ -338,13 +337,6 @@ def job_meta(jobs: DataFrame) -> DataFrame:
     Each line has one meaning, the first that fits. The last user and the last
     comment line count; an empty user line does not.
     """
-    every = F.transform(F.split("text", r"\r\n|\r|\n"), strip)
-    user_lines = F.filter(every, lambda line: line.startswith(USER_LINE))
-    comment_lines = F.filter(every, lambda line: line.startswith(COMMENT_LINE))
-    rest = F.filter(
-        every, lambda line: ~line.startswith(USER_LINE) & ~line.startswith(COMMENT_LINE)
-    )
-
     def after(prefix: str):
         return lambda line: strip(F.substring(line, F.lit(len(prefix) + 1), F.length(line)))
 
@@ -356,22 +348,32 @@ def job_meta(jobs: DataFrame) -> DataFrame:
             .otherwise(no_texts())
         )
 
-    settings = F.filter(
-        rest,
-        lambda line: ~line.contains(SUITES_WORD)
-        & ~line.contains(MICRO_WORD)
-        & line.startswith(EXPORT_START)
-        & line.contains("="),
+    def sets_variable(line: Column) -> Column:
+        named = line.contains(SUITES_WORD) | line.contains(MICRO_WORD)
+        return ~named & line.startswith(EXPORT_START) & line.contains("=")
+
+    def is_user(line: Column) -> Column:
+        return line.startswith(USER_LINE)
+
+    def is_comment(line: Column) -> Column:
+        return line.startswith(COMMENT_LINE)
+
+    every, rest = F.col("_lines"), F.col("_rest")
+    users = F.filter(F.transform(F.filter(every, is_user), after(USER_LINE)), lambda user: user != "")
+    last_comment = F.try_element_at(
+        F.transform(F.filter(every, is_comment), after(COMMENT_LINE)), F.lit(-1)
     )
-    users = F.filter(F.transform(user_lines, after(USER_LINE)), lambda user: user != "")
-    last_comment = F.try_element_at(F.transform(comment_lines, after(COMMENT_LINE)), F.lit(-1))
     others = [name for name in jobs.columns if name != "text"]
-    return jobs.select(
-        *others,
-        F.coalesce(F.try_element_at(users, F.lit(-1)), F.lit(UNKNOWN)).alias("user"),
-        F.coalesce(last_comment, F.lit("")).alias("comment"),
-        F.flatten(F.transform(rest, line_names)).alias("benchmarks"),
-        F.transform(settings, after(EXPORT_START)).alias("env"),
+    return (
+        jobs.withColumn("_lines", F.transform(F.split("text", JOB_LINE_BREAK), strip))
+        .withColumn("_rest", F.filter(every, lambda line: ~is_user(line) & ~is_comment(line)))
+        .select(
+            *others,
+            F.coalesce(F.try_element_at(users, F.lit(-1)), F.lit(UNKNOWN)).alias("user"),
+            F.coalesce(last_comment, F.lit("")).alias("comment"),
+            F.flatten(F.transform(rest, line_names)).alias("benchmarks"),
+            F.transform(F.filter(rest, sets_variable), after(EXPORT_START)).alias("env"),
+        )
     )
 
 

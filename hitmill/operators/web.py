@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitmill.functions.ordering import down, top, up
-from hitmill.functions.sums import sum_shifted
+from hitmill.functions.sums import shifted_sums
 from hitmill.functions.text import link_host
 
 # The constants of the published suite.
@@ -286,7 +286,7 @@ def cb_q28(hits: DataFrame, more_than: int = HAVING_MORE_THAN, k: int = 25) -> D
 
 def cb_q29(hits: DataFrame, shifts: Sequence[int] = range(90)) -> DataFrame:
     """90 shifted sums from one SUM and one COUNT."""
-    return hits.agg(*sum_shifted("ResolutionWidth", shifts))
+    return shifted_sums(hits, "ResolutionWidth", shifts)
 
 
 # --- wide groupings ---------------------------------------------------------

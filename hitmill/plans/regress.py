@@ -72,11 +72,12 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regress.trend(normalized(spark, sf_dir))
+    """Staged: a sort samples its input, which would compute all medians twice."""
+    return stage(regress.trend(normalized(spark, sf_dir)), "trend")
 
 
 def per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regress.per_query(normalized(spark, sf_dir))
+    return stage(regress.per_query(normalized(spark, sf_dir)), "per-query")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +160,11 @@ def _reg_normalize(spark, sf_dir):
 
 
 def _reg_trend(spark, sf_dir):
-    return result(trend(spark, sf_dir))
+    return result(regress.by_text_time(trend(spark, sf_dir)))
 
 
 def _reg_per_query(spark, sf_dir):
-    return result(per_query(spark, sf_dir))
+    return result(regress.by_text_time(per_query(spark, sf_dir)))
 
 
 def _reg_to_utc(spark, sf_dir):

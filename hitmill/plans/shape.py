@@ -21,4 +21,7 @@ def result(df: DataFrame, places: int | None = 6) -> DataFrame:
             return F.col(f.name).cast("timestamp_ntz").alias(f.name)
         return F.col(f.name)
 
+    kinds = (T.DoubleType, T.TimestampType)
+    if not any(isinstance(f.dataType, kinds) for f in df.schema):
+        return df
     return df.select(*[shaped(f) for f in df.schema])

@@ -6,8 +6,11 @@ rows. Column expressions are plain SQL that both engines read alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hitmill.sources.hits import load_hits, write_hits
 from hitmill.staging import new_path
@@ -169,26 +172,63 @@ def hits_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(*_select(HITS_COLUMNS, pages=n_pages, seconds=seconds))
 
 
-_hits: dict[tuple[str, str], DataFrame] = {}
+# Tables written by this process: (application, folder, name) -> table.
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    build: Callable[[], DataFrame],
+    write: Callable[[DataFrame, str], None],
+    load: Callable[[str, T.StructType], DataFrame],
+) -> DataFrame:
+    """The library's inputs are stored tables; each is written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written or _written[key].sparkSession is not spark:
+        view, path = build(), new_path(spark, name)
+        write(view, path)
+        _written[key] = load(path, view.schema)
+    return _written[key]
+
+
+def _write_rows(df: DataFrame, path: str) -> None:
+    """Write a table without moving rows, unless the input is too small to split."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < slots:
+        df = df.repartition(slots)
+    df.write.parquet(path)
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hits table as a Parquet directory, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _hits or not _usable(_hits[key], spark):
-        path = new_path(spark, "hits")
-        view = hits_view(spark, sf_dir)
-        write_hits(view, path)
-        _hits[key] = load_hits(spark, path, view.schema)
-    return _hits[key]
+    """The hits table as a Parquet directory with one folder per day."""
+    return _once(
+        spark,
+        sf_dir,
+        "hits",
+        lambda: hits_view(spark, sf_dir),
+        write_hits,
+        lambda path, schema: load_hits(spark, path, schema),
+    )
 
 
-def _usable(df: DataFrame, spark: SparkSession) -> bool:
-    return df.sparkSession is spark
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return _once(
+        spark,
+        sf_dir,
+        name,
+        build,
+        _write_rows,
+        lambda path, schema: spark.read.schema(schema).parquet(path),
+    )
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_select(RESULTS_COLUMNS))
+    def build() -> DataFrame:
+        return table(spark, sf_dir, "lineitem").selectExpr(*_select(RESULTS_COLUMNS))
+
+    return _stored(spark, sf_dir, "results", build)
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,13 +236,20 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o_orderdate AS TIMESTAMP)"
         " + make_dt_interval(0, 0, CAST(o_orderkey % 1440 AS INT), 0)"
     )
-    return table(spark, sf_dir, "orders").selectExpr(*_select(COMMITS_COLUMNS, minutes=minutes))
+
+    def build() -> DataFrame:
+        return table(spark, sf_dir, "orders").selectExpr(*_select(COMMITS_COLUMNS, minutes=minutes))
+
+    return _stored(spark, sf_dir, "commits", build)
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
-        *_select(COMMENTS_COLUMNS, lf="char(10)", cr="char(13)")
-    )
+    def build() -> DataFrame:
+        return table(spark, sf_dir, "events").selectExpr(
+            *_select(COMMENTS_COLUMNS, lf="char(10)", cr="char(13)")
+        )
+
+    return _stored(spark, sf_dir, "comments", build)
 
 
 # --- DuckDB -----------------------------------------------------------------

@@ -37,6 +37,8 @@ def local_session(app: str = "hitmill", cpus: str = "*", memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
+        # No call-site capture for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hitmill-checkpoint-"))

@@ -31,7 +31,7 @@ def last_labels(labels: DataFrame) -> DataFrame:
 
 def load_labels(spark: SparkSession, path: str) -> DataFrame:
     """All label files of a path; several files count in path order."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return parse_labels(
         files.select(F.col("_metadata.file_path").alias("document"), F.col("value").alias("text"))
     )
