@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # All characters that count as space, as a pattern and as the list
 # the pattern stands for, and all line breaks.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NOT_SPACE = SPACE.replace("[", "[^", 1)
 SPACES = "".join(
     chr(code)
     for code in [

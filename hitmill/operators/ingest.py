@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitmill.functions.ordering import up
-from hitmill.functions.whitespace import words
+from hitmill.functions.whitespace import NOT_SPACE, SPACE
 
-# The word that marks a timing line, the names of run types, the
+# The word that marks a timing line, its form, the names of run types, the
 # repeats per query, and the separator and filler of artifact names.
 TIMING_WORD = "Elapsed"
+NUMBER = r"[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)"
 FIRST_RUN = "table_creation"
 OTHER_RUN = "query"
 REPEATS = 5
+SECOND_OF_THREE = rf"(?i)\A{SPACE}*{NOT_SPACE}+{SPACE}+({NUMBER}){SPACE}+{NOT_SPACE}"
 NAME_SEPARATOR = "@"
 UNKNOWN = "unknown"
 
@@ -27,8 +29,8 @@ def extract_timings(lines: DataFrame) -> DataFrame:
     Lines whose second word is no number are skipped. All other columns of
     ``lines`` (at least log, line_no, line) stay.
     """
-    parts = words(F.col("line"))
-    seconds = F.when(F.size(parts) >= 3, F.get(parts, F.lit(1)).try_cast("double"))
+    second = F.regexp_extract("line", SECOND_OF_THREE, 1)
+    seconds = F.nullif(second, F.lit("")).try_cast("double")
     kept = [name for name in lines.columns if name != "line"]
     return (
         lines.where(F.col("line").contains(TIMING_WORD))

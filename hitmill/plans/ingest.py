@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from hitmill.operators import history, ingest
 from hitmill.plans import regress
 from hitmill.plans.shape import result
-from hitmill.plans.tables import commits, over_commits, over_results, results, table
+from hitmill.plans.tables import (
+    commits,
+    derived,
+    derived_cte,
+    over_commits,
+    over_results,
+    results,
+    table,
+)
 from hitmill.sources.commits import load_adhoc_csv
 from hitmill.sources.hits import load_hits
 from hitmill.sources.labels import last_labels, load_labels
@@ -45,24 +53,16 @@ _LISTED = (
 _OUTCOMES = "SELECT o_orderkey AS build, o_orderstatus <> 'P' AS ok FROM {orders}"
 
 
-def _derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    return spark.sql(sql, **{name: table(spark, sf_dir, name)})
-
-
-def _cte(alias: str, sql: str, name: str) -> str:
-    return f"{alias} AS ({sql.replace('{' + name + '}', name)})"
-
-
-def lines(spark, sf_dir):
-    return _derive(spark, sf_dir, _LINES, "events")
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "lines", _LINES, "events")
 
 
-def names(spark, sf_dir):
-    return _derive(spark, sf_dir, _NAMES, "orders")
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "names", _NAMES, "orders")
 
 
-_LINES_CTE = _cte("lines", _LINES, "events")
-_NAMES_CTE = _cte("names", _NAMES, "orders")
+_LINES_CTE = derived_cte("lines", _LINES, "events")
+_NAMES_CTE = derived_cte("names", _NAMES, "orders")
 _TIMINGS = (
     "timings AS (SELECT log, line_no, TRY_CAST(string_split(line, ' ')[2] AS DOUBLE)"
     " AS execution_time FROM lines WHERE contains(line, 'Elapsed')"
@@ -148,12 +148,12 @@ def _ing_label_runs(spark, sf_dir):
 
 
 def _ing_expected_runs(spark, sf_dir):
-    listed = _derive(spark, sf_dir, _LISTED, "lineitem")
+    listed = derived(spark, sf_dir, "listed", _LISTED, "lineitem")
     return ingest.expected_runs(results(spark, sf_dir), listed, 400)
 
 
 def _ing_skip_done(spark, sf_dir):
-    stored = _derive(spark, sf_dir, _STORED, "supplier")
+    stored = derived(spark, sf_dir, "stored", _STORED, "supplier")
     return ingest.new_revisions(results(spark, sf_dir), stored)
 
 
@@ -176,7 +176,7 @@ def _ing_commit_window(spark, sf_dir):
 
 
 def _ing_build_summary(spark, sf_dir):
-    return ingest.build_summary(_derive(spark, sf_dir, _OUTCOMES, "orders"))
+    return ingest.build_summary(derived(spark, sf_dir, "outcomes", _OUTCOMES, "orders"))
 
 
 # --- history ----------------------------------------------------------------
@@ -241,12 +241,12 @@ _SQL = {
         " (SELECT query_name, git_revision, count(*) AS n FROM benchmark_results"
         " WHERE query_type = 'query' GROUP BY query_name, git_revision) r"
         " ON l.query_name = r.query_name",
-        _cte("listed", _LISTED, "lineitem"),
+        derived_cte("listed", _LISTED, "lineitem"),
     ),
     "ing_skip_done": over_results(
         f"SELECT {_COLUMNS} FROM benchmark_results"
         " WHERE git_revision NOT IN (SELECT git_revision FROM stored)",
-        _cte("stored", _STORED, "supplier"),
+        derived_cte("stored", _STORED, "supplier"),
     ),
     "ing_artifact_names": (
         f"WITH {_NAMES_CTE} SELECT name,"

@@ -145,6 +145,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def derived(
+    spark: SparkSession, sf_dir: str, name: str, sql: str, source: str, **words: str
+) -> DataFrame:
+    """A stored table from SQL over one test table, written ``{source}`` in the text."""
+
+    def build() -> DataFrame:
+        text = sql
+        for word, value in words.items():
+            text = text.replace("{" + word + "}", value)
+        return spark.sql(text, **{source: table(spark, sf_dir, source)})
+
+    return stored(spark, sf_dir, name, build)
+
+
+def derived_cte(name: str, sql: str, source: str, **words: str) -> str:
+    """The same table for DuckDB."""
+    for word, value in {**words, source: source}.items():
+        sql = sql.replace("{" + word + "}", value)
+    return f"{name} AS ({sql})"
+
+
 # --- Spark ------------------------------------------------------------------
 
 
@@ -196,7 +217,7 @@ def _once(
 def _write_rows(df: DataFrame, path: str) -> None:
     """Write a table without moving rows, unless the input is too small to split."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < slots:
+    if df.rdd.getNumPartitions() < slots:
         df = df.repartition(slots)
     df.write.parquet(path)
 
@@ -213,7 +234,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived input table as Parquet files."""
     return _once(
         spark,
         sf_dir,
@@ -228,7 +250,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return table(spark, sf_dir, "lineitem").selectExpr(*_select(RESULTS_COLUMNS))
 
-    return _stored(spark, sf_dir, "results", build)
+    return stored(spark, sf_dir, "results", build)
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +262,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return table(spark, sf_dir, "orders").selectExpr(*_select(COMMITS_COLUMNS, minutes=minutes))
 
-    return _stored(spark, sf_dir, "commits", build)
+    return stored(spark, sf_dir, "commits", build)
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +271,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
             *_select(COMMENTS_COLUMNS, lf="char(10)", cr="char(13)")
         )
 
-    return _stored(spark, sf_dir, "comments", build)
+    return stored(spark, sf_dir, "comments", build)
 
 
 # --- DuckDB -----------------------------------------------------------------

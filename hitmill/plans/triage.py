@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hitmill.operators import triage
 from hitmill.operators.triage import RepoRules
 from hitmill.plans.shape import result
-from hitmill.plans.tables import comments, over_comments, table
+from hitmill.plans.tables import comments, derived, derived_cte, over_comments
 from hitmill.sources.comments import stream_comments
 from hitmill.staging import new_path
 from hitmill.streaming import triage as streaming
@@ -56,28 +56,20 @@ _JOB_TEXTS = (
 )
 
 
-def _derive(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    return spark.sql(sql.replace("{lf}", "char(10)"), **{name: table(spark, sf_dir, name)})
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "users", _USERS, "customer")
 
 
-def _cte(alias: str, sql: str, name: str) -> str:
-    return f"{alias} AS ({sql.replace('{lf}', 'chr(10)').replace('{' + name + '}', name)})"
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "jobs", _JOBS, "events")
 
 
-def users(spark, sf_dir):
-    return _derive(spark, sf_dir, _USERS, "customer")
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "replies", _REPLIES, "events")
 
 
-def jobs(spark, sf_dir):
-    return _derive(spark, sf_dir, _JOBS, "events")
-
-
-def replies(spark, sf_dir):
-    return _derive(spark, sf_dir, _REPLIES, "events")
-
-
-def job_texts(spark, sf_dir):
-    return _derive(spark, sf_dir, _JOB_TEXTS, "events")
+def job_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir, "job-texts", _JOB_TEXTS, "events", lf="char(10)")
 
 
 def classified(spark, sf_dir):
@@ -218,9 +210,9 @@ _KEYED = (
     " ELSE pr || '_' || id END AS job FROM classed)"
 )
 _CHAIN = (_TRIMMED, _SPLIT, _NAMED, _CLASSED, _KEYED)
-_USERS_CTE = _cte("users", _USERS, "customer")
-_JOBS_CTE = _cte("jobs", _JOBS, "events")
-_REPLIES_CTE = _cte("replies", _REPLIES, "events")
+_USERS_CTE = derived_cte("users", _USERS, "customer")
+_JOBS_CTE = derived_cte("jobs", _JOBS, "events")
+_REPLIES_CTE = derived_cte("replies", _REPLIES, "events")
 _ROUTED = (
     "replied AS (SELECT DISTINCT c.id FROM classed c JOIN replies r"
     " ON r.repo = c.repo AND r.pr = c.pr WHERE contains(r.body, c.html_url)),\n"
@@ -246,7 +238,7 @@ _META = (
     " list_transform(list_filter(ls, lambda l: starts_with(l, 'export ') AND contains(l, '=')),"
     " lambda l: trim(l[8:])) AS env FROM texts)"
 )
-_TEXTS_CTE = _cte("job_texts", _JOB_TEXTS, "events")
+_TEXTS_CTE = derived_cte("job_texts", _JOB_TEXTS, "events", lf="chr(10)")
 
 _SQL = {
     "tri_window": over_comments(

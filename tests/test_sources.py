@@ -49,13 +49,17 @@ Elapsed
 Elapsed 0.030 seconds.
 x Elapsed 1
 1 0.7 Elapsed
+Elapsed 1d s
+Elapsed 0x1p3 s
+Elapsed 1..2 s
+Elapsed .5E+1 s
 """
 
 
 def test_log_lines_keep_file_order(spark, tmp_path):
     (tmp_path / "q1.log").write_text(LOG)
     got = extract_timings(load_logs(spark, str(tmp_path))).orderBy("line_no").collect()
-    assert [r.execution_time for r in got] == [0.02, 0.05, 0.03, 0.7]
+    assert [r.execution_time for r in got] == [0.02, 0.05, 0.03, 0.7, 5.0]
 
 
 def test_first_kept_line_is_the_creation_also_of_split_files(spark, tmp_path):
