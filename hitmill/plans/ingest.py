@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitmill.ingestion import append_new_revisions, stored_results
 from hitmill.operators import history, ingest
 from hitmill.plans import regress
 from hitmill.plans.shape import result
@@ -179,6 +180,16 @@ def _ing_build_summary(spark, sf_dir):
     return ingest.build_summary(derived(spark, sf_dir, "outcomes", _OUTCOMES, "orders"))
 
 
+def _ing_append_once(spark, sf_dir):
+    """Two overlapping batches and a repeat leave every row once."""
+    path = new_path(spark, "results-once")
+    runs = results(spark, sf_dir)
+    early = runs.where(F.col("git_revision_timestamp") < "2025-03-10")
+    for batch in (early, runs, runs):
+        append_new_revisions(batch, path, "parquet")
+    return stored_results(spark, path, "parquet")
+
+
 # --- history ----------------------------------------------------------------
 
 
@@ -248,6 +259,7 @@ _SQL = {
         " WHERE git_revision NOT IN (SELECT git_revision FROM stored)",
         derived_cte("stored", _STORED, "supplier"),
     ),
+    "ing_append_once": over_results(f"SELECT {_COLUMNS} FROM benchmark_results"),
     "ing_artifact_names": (
         f"WITH {_NAMES_CTE} SELECT name,"
         " CASE WHEN len(string_split(name, '@')) >= 3 THEN split_part(name, '@', 2)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hitmill.operators import compare, regress
 from hitmill.plans.shape import result
 from hitmill.plans.tables import over_results, results, table
+from hitmill.report import chart, report
 from hitmill.sources.labels import last_labels, parse_labels
 from hitmill.staging import stage
 
@@ -235,6 +236,19 @@ def _reg_most_recent_release_last(spark, sf_dir):
     return regress.most_recent_release(releases(spark, sf_dir), pick="last")
 
 
+def _charts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return report(results(spark, sf_dir), releases(spark, sf_dir), events(spark, sf_dir))
+
+
+def _reg_report_points(spark, sf_dir):
+    return result(chart(_charts(spark, sf_dir), "queries", "last_3_months", AS_OF)[0])
+
+
+def _reg_report_markers(spark, sf_dir):
+    tables = _charts(spark, sf_dir)
+    return chart(tables, "performance", "last_3_months", AS_OF, show_events=False)[1]
+
+
 def _cmp_two(spark, sf_dir):
     return result(compare.compare_two(results(spark, sf_dir), "r1", "r2"), PLACES)
 
@@ -374,6 +388,25 @@ _SQL = {
     "reg_most_recent_release_last": (
         f"WITH {RELEASES_CTE} SELECT revision FROM releases ORDER BY k DESC LIMIT 1"
     ),
+    "reg_report_points": over_results(
+        f"SELECT query_name AS series, {_UTC} AS time,"
+        f" strftime({_UTC}, '%Y-%m-%dT%H:%M:%S.%fZ') AS x, round(median_time, 6) AS y,"
+        " git_revision AS revision, round(mean_median, 6) AS mean_median FROM (SELECT *,"
+        " avg(median_time) OVER (PARTITION BY query_name) AS mean_median FROM medians)"
+        f" WHERE {_UTC} >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"
+        " OR git_revision = (SELECT revision FROM newest)",
+        RELEASES_CTE,
+        _TIMES,
+        _NEWEST,
+        _BASE,
+        _NORMAL,
+        _PER_QUERY,
+    ),
+    "reg_report_markers": over_results(
+        f"SELECT * FROM marks WHERE revision_time >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY"
+        " AND tag <> 'event'",
+        *_MARK_CHAIN,
+    ),
     "cmp_two": over_results(_TWO, _SIDES),
     "cmp_many": over_results(
         f"SELECT query_name, {_MEDIANS_OF} FROM benchmark_results WHERE query_type = 'query'"

@@ -39,6 +39,11 @@ def load_comments(spark: SparkSession, path: str, repo: str, array_files: bool =
     return flatten(reader.json(path), F.lit(repo))
 
 
+def stream_records(spark: SparkSession, path: str, repo: str) -> DataFrame:
+    """Comment records of one repository as JSON lines files arrive in a folder."""
+    return flatten(spark.readStream.schema(COMMENTS_JSON).json(path), F.lit(repo))
+
+
 def stream_comments(spark: SparkSession, path: str) -> DataFrame:
     """Flat comments from Parquet files as they arrive in a folder."""
     return spark.readStream.schema(COMMENTS_SCHEMA).parquet(path)

@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from hitmill.ingestion import append_new_revisions, stored_results
 from hitmill.operators import history, ingest
 from hitmill.sources.results import RESULTS_SCHEMA
 
@@ -81,3 +82,15 @@ def test_other_bucket_widths(spark):
 def test_command_rows(spark):
     got = [r.command for r in history.command_rows(commits(spark), "./build.sh").collect()]
     assert got == ["./build.sh d", "./build.sh c", "./build.sh b", "./build.sh a", "./build.sh c"]
+
+
+def test_appends_are_idempotent(spark, tmp_path):
+    path = str(tmp_path / "results")
+    row = ("b", "q", "query", 1.0, "t")
+    first = spark.createDataFrame([(*row, r, "t", 1) for r in ("a", "a", "b")], RESULTS_SCHEMA)
+    more = spark.createDataFrame([(*row, r, "t", 1) for r in ("b", "c")], RESULTS_SCHEMA)
+    assert stored_results(spark, path) is None
+    for batch in (first, first, more, more):
+        append_new_revisions(batch, path)
+    got = sorted(r.git_revision for r in stored_results(spark, path).collect())
+    assert got == ["a", "a", "b", "c"]

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from hitmill import report
 from hitmill.operators import compare, regress
 from hitmill.plans.tables import results
 from hitmill.sources.results import RESULTS_SCHEMA
@@ -153,3 +154,28 @@ def test_compare(spark):
     assert tuple(wide[1]) == ("b", 2.0, 1.0, None)
     assert compare.select_benchmarks(table, "^[ab]$", ["b"]).select("query_name").distinct().count() == 2
     assert compare.select_benchmarks(table, suites=["other"]).isEmpty()
+
+
+def test_report_periods(spark, small):
+    releases = spark.createDataFrame(
+        [("east", "1.0", 0), ("gone", "2.0", 1)], "revision string, label string, position int"
+    )
+    events = spark.createDataFrame([("west", "switch")], "revision string, label string")
+    tables = report.report(small, releases, events)
+
+    def shown(period, as_of, **options):
+        points, marks = report.chart(tables, "performance", period, as_of, **options)
+        return {r.revision for r in points.collect()}, {r.tag for r in marks.collect()}
+
+    late = datetime(2025, 3, 10, 15)
+    both, tags = {"east", "west"}, {"release", "event"}
+    assert shown("all", late) == (both, tags)
+    assert shown("releases_vs_main", late) == (both, tags)
+    assert shown("last_week", late) == ({"west"}, set())
+    assert shown("last_3_months", late) == (both, tags)
+    assert shown("last_6_months", datetime(2026, 1, 1)) == ({"east"}, set())
+    assert shown("all", late, show_releases=False) == (both, {"event"})
+    assert shown("all", late, show_events=False) == (both, {"release"})
+    assert shown("all", late, show_releases=False, show_events=False) == (both, set())
+    assert [r.query_name for r in tables["ranking"].collect()] == ["q0", "q1"]
+    assert tables["queries"].count() == 3

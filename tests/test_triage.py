@@ -1,5 +1,6 @@
 """The request language, routing and the streaming job."""
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from hitmill.operators import triage
 from hitmill.operators.triage import RepoRules
 from hitmill.plans import triage as plans
 from hitmill.plans.tables import comments as stored_comments
-from hitmill.sources.comments import COMMENTS_SCHEMA, stream_comments
+from hitmill.sources.comments import COMMENTS_SCHEMA, stream_comments, stream_records
 from hitmill.streaming import triage as streaming
 
 NOON = datetime(2025, 1, 1, 12)
@@ -233,6 +234,21 @@ def test_stream_drops_repeats_and_resumes(spark, tmp_path):
     assert poll([again, second]) == [(10, "sql_planner"), (10, "tpch"), (11, "default")]
 
 
+def test_stream_of_json_records(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    record = {"id": 5, "body": "run benchmarks\nA=1", "user": {"login": "ann"},
+              "issue_url": "https://api/issues/7", "updated_at": "2025-01-01T12:00:00Z"}
+    (folder / "1.json").write_text(json.dumps(record) + "\n" + json.dumps(record) + "\n")
+    users = spark.createDataFrame([("ann",)], "login string")
+    routed = streaming.route_stream(stream_records(spark, str(folder), "org/a"), RULES, users)
+    jobs = streaming.scheduled_jobs(routed, RULES)
+    out = str(tmp_path / "out")
+    streaming.write_available(jobs, out, str(tmp_path / "check")).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert [(r.job, r.kind, r.env) for r in got] == [("7_5", "default", ["A=1"])]
+
+
 @pytest.mark.parametrize("name", ["tri_classify", "tri_env", "tri_names"])
 def test_one_pass_without_shuffle(spark, sf_dir, name):
     text = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
