@@ -202,7 +202,7 @@ def mentioned_links(replies: DataFrame, comments: DataFrame) -> DataFrame:
     parts are taken in the lengths of the links of the same PR. Links of another
     form are looked for at every position. A PR's lengths are a set of numbers no
     larger than its longest link, so the pieces grow with the text of the replies
-    alone.
+    alone. They are made distinct by (repo, pr, link), which spreads a busy PR.
     """
     link = F.coalesce("html_url", F.lit(""))
     plain = link.startswith("http") & (F.locate("http", link, 2) == 0)

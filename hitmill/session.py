@@ -13,6 +13,10 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
+    # A hot key must not keep later, finer groupings in one task: aggregates shuffle on
+    # all of their keys, and skewed joins are split even if that costs a shuffle.
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 

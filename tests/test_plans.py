@@ -5,6 +5,8 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from hitmill.operators import regress
+from hitmill.plans.tables import results
 
 QUERIES = entry.queries()
 
@@ -50,6 +52,24 @@ def test_top_k_needs_no_full_sort(spark, sf_dir, name):
     assert "rangepartitioning" not in text
 
 
+def test_pieces_of_a_busy_pr_are_spread(spark, sf_dir):
+    text = plan(QUERIES["tri_already_replied"](spark, sf_dir))
+    assert re.search(r"hashpartitioning\(_replied_repo#\d+, _replied_pr#\d+, _replied_link#\d+", text)
+
+
+def test_medians_shuffle_on_all_keys(spark, sf_dir):
+    """Also when the baseline is too large to broadcast."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(regress.per_query(regress.normalize(results(spark, sf_dir))))
+        assert "SortMergeJoin" in text
+        keys = r"git_revision#\d+, git_revision_timestamp#\d+, query_name#\d+"
+        assert re.search(rf"hashpartitioning\({keys}", text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_only_used_columns_are_read(spark, sf_dir):
     text = plan(QUERIES["cb_q2"](spark, sf_dir))
     assert "ReadSchema: struct<AdvEngineID:smallint,ResolutionWidth:smallint>" in text

@@ -187,7 +187,8 @@ def test_job_meta_and_queue(spark):
     texts = [
         "# Comment: https://x/1\r\n# User: ann\r\n\r\nexport A=1\r\nBENCHMARKS=\"tpch tpch10\" ./run\r\nBENCH_NAME=\"sort\" ./run",
         "./run",
-        "# User: \n# User: bob : x\n# Comment: old\n# Comment:\nexport =\nexport B\n  export C=3  \nBENCHMARKS=tpch\necho BENCH_NAME=\"left\"",
+        "# User: \n# User: bob : x\n# Comment: old\n# Comment:\nexport =\nexport B\n"
+        "  export C=3  \nBENCHMARKS=tpch\necho BENCH_NAME=\"left\"",
     ]
     jobs = spark.createDataFrame(
         [(f"{i}.sh", NOON - timedelta(hours=i), t) for i, t in enumerate(texts)],
