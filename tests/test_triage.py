@@ -10,6 +10,7 @@ from hitmill.operators import triage
 from hitmill.operators.triage import RepoRules
 from hitmill.plans import triage as plans
 from hitmill.plans.tables import comments as stored_comments
+from hitmill.sources.allow_lists import published_rules
 from hitmill.sources.comments import COMMENTS_SCHEMA, stream_comments, stream_records
 from hitmill.streaming import triage as streaming
 
@@ -254,3 +255,18 @@ def test_stream_of_json_records(spark, tmp_path):
 def test_one_pass_without_shuffle(spark, sf_dir, name):
     text = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+
+
+def test_published_rules(spark):
+    rules = published_rules("org/engine", "org/library", "lib-")
+    bodies = [("org/engine", "tpcds sort"), ("org/library", "json-reader json_reader"), ("org/library", "tpcds")]
+    table = comments(spark, [{"repo": r, "body": f"run benchmark {names}"} for r, names in bodies])
+    classed = triage.classify(table, rules)
+    assert [r["class"] for r in classed.orderBy("id").collect()] == ["named", "named", "unsupported"]
+    got = triage.job_rows(classed, rules).orderBy("comment_id", "position").collect()
+    assert [(r.job, r.kind, r.command) for r in got] == [
+        ("7_1", "suite", "compare-suite"),
+        ("7_1", "micro", "compare-micro"),
+        ("lib-7-2", "micro", "compare-library"),
+        ("lib-7-2", "micro", "compare-library"),
+    ]
