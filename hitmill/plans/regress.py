@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hitmill.operators import compare, regress
 from hitmill.plans.shape import result
 from hitmill.plans.tables import over_results, results, table
-from hitmill.report import chart, report
+from hitmill.report import Report, chart_markers, chart_points
 from hitmill.sources.labels import last_labels, parse_labels
 from hitmill.staging import stage
 
@@ -236,17 +236,16 @@ def _reg_most_recent_release_last(spark, sf_dir):
     return regress.most_recent_release(releases(spark, sf_dir), pick="last")
 
 
-def _charts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return report(results(spark, sf_dir), releases(spark, sf_dir), events(spark, sf_dir))
+def _report(spark: SparkSession, sf_dir: str) -> Report:
+    return Report(results(spark, sf_dir), releases(spark, sf_dir), events(spark, sf_dir))
 
 
 def _reg_report_points(spark, sf_dir):
-    return result(chart(_charts(spark, sf_dir), "queries", "last_3_months", AS_OF)[0])
+    return result(chart_points(_report(spark, sf_dir), "queries", "last_3_months", AS_OF))
 
 
 def _reg_report_markers(spark, sf_dir):
-    tables = _charts(spark, sf_dir)
-    return chart(tables, "performance", "last_3_months", AS_OF, show_events=False)[1]
+    return chart_markers(_report(spark, sf_dir), "last_3_months", AS_OF, show_events=False)
 
 
 def _cmp_two(spark, sf_dir):

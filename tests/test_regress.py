@@ -161,10 +161,11 @@ def test_report_periods(spark, small):
         [("east", "1.0", 0), ("gone", "2.0", 1)], "revision string, label string, position int"
     )
     events = spark.createDataFrame([("west", "switch")], "revision string, label string")
-    tables = report.report(small, releases, events)
+    tables = report.Report(small, releases, events)
 
     def shown(period, as_of, **options):
-        points, marks = report.chart(tables, "performance", period, as_of, **options)
+        points = report.chart_points(tables, "performance", period, as_of)
+        marks = report.chart_markers(tables, period, as_of, **options)
         return {r.revision for r in points.collect()}, {r.tag for r in marks.collect()}
 
     late = datetime(2025, 3, 10, 15)
@@ -177,5 +178,6 @@ def test_report_periods(spark, small):
     assert shown("all", late, show_releases=False) == (both, {"event"})
     assert shown("all", late, show_events=False) == (both, {"release"})
     assert shown("all", late, show_releases=False, show_events=False) == (both, set())
-    assert [r.query_name for r in tables["ranking"].collect()] == ["q0", "q1"]
-    assert tables["queries"].count() == 3
+    assert [r.query_name for r in tables.ranking.collect()] == ["q0", "q1"]
+    assert tables.queries.count() == 3
+    assert tables.overall.first().total_measurements == 5
