@@ -4,8 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from hitmill.plans import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from hitmill.plans import registry
 from hitmill.operators import regress
 from hitmill.plans.tables import results
 
-QUERIES = entry.queries()
+QUERIES = registry.queries()
 
 
 def plan(df) -> str:
