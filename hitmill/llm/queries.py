@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe
+from hitmill.llm import bpe, sql
+from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.shipping import ship
 from hitmill.session import prepare
 
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by at least 0.9 Jaccard similarity of three-word shingles."""
+    return ngram_join(_table(spark, sf_dir, "documents"), 3, (90, 100))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by merge replay, decoded again; digests of both."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,10 +32,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_ngram_join": sql.NGRAM_JOIN}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
