@@ -244,6 +244,7 @@ class Block:
         self.rows: list[pa.RecordBatch] = []
         self.numbers: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
+        self.seen: list = []
         self.size = 0
         self._known: dict[int, int] = {}
         self._strings: dict[int, bytes] = {}
@@ -299,8 +300,8 @@ class Block:
             yield rows, gather(ids, first[numbers], size), ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The batches' texts in blocks of about ``limit`` bytes."""
+def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, each=None) -> Iterator[Block]:
+    """The batches' texts in blocks of about ``limit`` bytes; ``each`` looks at every slice."""
     block = Block()
     for rows, texts in w.slices(batches, column):
         if block.size and block.size + len(texts.data) > limit:
@@ -310,6 +311,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         # A slice holds on to its whole batch; the other columns are copied off it.
         rows = pa.RecordBatch.from_arrays([pa.concat_arrays([rows.column(name)]) for name in keep], schema=pa.schema([rows.schema.field(name) for name in keep]))
         block.add(rows, texts)
+        block.seen.append(each(rows, texts) if each else None)
     if block.rows:
         yield block
 

@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, sql
+from hitmill.llm import bpe, quality, sql, token_files
 from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.shipping import ship
 from hitmill.session import prepare
+from hitmill.staging import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +32,26 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text counts of every document, and whether tokenizers find it ordinary for its language."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")]
+    out = quality.quality(_table(spark, sf_dir, "documents"), *paths)
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(*first, *(c for c in out.columns if c not in first))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to token files and read back."""
+    path = new_path(spark, "token-files")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(spark, path, token_files.crc32s, "ids_crc32 long")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
+    "op4_token_files": op4_token_files,
 }
 
 SQL: dict[str, str] = {"op1_ngram_join": sql.NGRAM_JOIN}
