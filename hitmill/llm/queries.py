@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, quality, sql, token_files
+from hitmill.llm import bpe, licenses, lines, quality, sql, token_files
 from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.shipping import ship
 from hitmill.session import prepare
@@ -47,14 +47,28 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, token_files.crc32s, "ids_crc32 long")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text lines of every page without its host's boilerplate."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", lines.host(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
+    clean = lines.drop_boilerplate(pages.withColumn("all_lines", F.size(F.split("text", "\n", -1))), F.col("host"), "text")
+    return clean.select("page_id", "host", F.col("all_lines").cast("long").alias("n_lines"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_kept"), "text")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {"op1_ngram_join": sql.NGRAM_JOIN}
+SQL: dict[str, str] = {"op1_ngram_join": sql.NGRAM_JOIN, "op9_line_dedup": sql.LINE_DEDUP, "op10_licenses": sql.LICENSES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
