@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, licenses, lines, quality, sql, token_files
+from hitmill.llm import bpe, licenses, lines, quality, sql, token_files, toxicity
 from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.shipping import ship
 from hitmill.session import prepare
@@ -47,6 +47,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, token_files.crc32s, "ids_crc32 long")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    held_out = toxicity.held_out(F.col("doc_id"))
+    labels = _table(spark, sf_dir, "labels").where(~held_out)
+    scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text lines of every page without its host's boilerplate."""
     pages = _table(spark, sf_dir, "pages").select("page_id", lines.host(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
@@ -64,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
 }
