@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, licenses, lines, quality, sql, token_files, toxicity
+from hitmill.llm import bpe, decontaminate, licenses, lines, quality, sql, token_files, toxicity
 from hitmill.llm.ngram_join import ngram_join
+from hitmill.llm.scratch import stage
 from hitmill.llm.shipping import ship
 from hitmill.session import prepare
 from hitmill.staging import new_path
@@ -47,6 +48,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, token_files.crc32s, "ids_crc32 long")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fold."""
     held_out = toxicity.held_out(F.col("doc_id"))
@@ -58,6 +64,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text lines of every page without its host's boilerplate."""
     pages = _table(spark, sf_dir, "pages").select("page_id", lines.host(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
+    # HTML is cut once for both readings.
+    pages, _ = stage(pages, "page-lines")
     clean = lines.drop_boilerplate(pages.withColumn("all_lines", F.size(F.split("text", "\n", -1))), F.col("host"), "text")
     return clean.select("page_id", "host", F.col("all_lines").cast("long").alias("n_lines"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_kept"), "text")
 
@@ -72,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
