@@ -44,10 +44,20 @@ def _halves(text: str) -> tuple[str, str]:
     return (bare[: cut + 1], bare[cut + 1 :]) if cut > 0 else (bare, "")
 
 
+_SIGN = np.ones(256, bool)
+_SIGN[[i for i in range(128) if not chr(i).isalnum()]] = False
+
+
+def _words(block: w.Texts) -> w.Words:
+    """Words of ASCII letters, digits and all signs beyond ASCII."""
+    starts, ends = w.spans(_SIGN[block.data], block.offsets)
+    return w.Words(starts, ends, np.searchsorted(starts, block.offsets))
+
+
 def _hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    block = w.Texts(raw, np.array([0, len(raw)])).lowered()
-    return w.word_hashes(block, w.words(block))
+    block = w.Texts(raw, np.array([0, len(raw)]))
+    return w.word_hashes(block, _words(block))
 
 
 def _grams(hashes: np.ndarray) -> np.ndarray:
@@ -176,9 +186,8 @@ def search(index: Index, hashes: np.ndarray, first: np.ndarray, score: float, ov
 def _asked(indexes: list[Index], names: list[str], schema: pa.Schema, score: float, overlap: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in w.slices(batches, "text"):
-            lowered = block.lowered()
-            found = w.words(lowered)
-            hashes = w.word_hashes(lowered, found)
+            found = _words(block)
+            hashes = w.word_hashes(block, found)
             hits = [(index.items[hit[1]][0], hit) for index in indexes for hit in search(index, hashes, found.first, score, overlap)]
             if hits:
                 at = pa.array([hit[0] for _, hit in hits])
@@ -207,11 +216,11 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[s
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    items = benchmark.select(benchmark[item_id].alias("item_id"), F.coalesce(benchmark[item_text], F.lit("")).alias("text"))
-    items = items.withColumn("n", F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")))
+    items = benchmark.select(benchmark[item_id].alias("item_id"), F.lower(F.coalesce(benchmark[item_text], F.lit(""))).alias("text"))
+    items = items.withColumn("n", F.size(F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")))
     n_items, total = items.agg(F.count("*"), F.sum("n")).first()
     names = [f"k{i}" for i in range(len(keep))]
-    source = df.select(*(df[c].alias(n) for n, c in zip(names, keep)), F.coalesce(df[text], F.lit("")).alias("text"))
+    source = df.select(*(df[c].alias(n) for n, c in zip(names, keep)), F.lower(F.coalesce(df[text], F.lit(""))).alias("text"))
     schema = t.StructType(
         [source.schema[n] for n in names]
         + [t.StructField("item_id", items.schema["item_id"].dataType)]
@@ -238,7 +247,6 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[s
 def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct word hashes of every item."""
     for _, block in w.slices(batches, "text"):
-        lowered = block.lowered()
-        found = w.words(lowered)
-        values, _ = w.distinct(w.word_hashes(lowered, found), found.text_of(), len(block))
+        found = _words(block)
+        values, _ = w.distinct(w.word_hashes(block, found), found.text_of(), len(block))
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["h"])
