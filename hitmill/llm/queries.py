@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, decontaminate, licenses, lines, quality, sql, token_files, toxicity
+from hitmill.llm import bpe, decontaminate, licenses, lines, quality, sql, token_counts, token_files, toxicity
 from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.scratch import stage
 from hitmill.llm.shipping import ship
@@ -48,6 +48,34 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path, token_files.crc32s, "ids_crc32 long")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents after inserts, deletes, revised counts and repeated batches.
+
+    All documents are inserted with the counts of one tokenizer, then of another; all but
+    the first of equal texts are deleted; the second tokenizer's counts are revised to hold an
+    end token; and two batches are sent again.
+    """
+    paths = {name: public_tokenizers.path(f"{name}.tiktoken") for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    docs = _table(spark, sf_dir, "documents").withColumn("digest", F.sha2("text", 256))
+    counted, _ = stage(token_counts.count_tokens(docs, paths, ("doc_id", "source", "lang", "digest")), "token-counts")
+
+    def changes(op: str, tokenizer: str, rows: DataFrame = counted, more: int = 0) -> DataFrame:
+        return rows.select("doc_id", "source", "lang", F.lit(op).alias("op"), F.lit(tokenizer).alias("tokenizer"), (F.col(tokenizer) + more).alias("n_tokens"))
+
+    one, two = paths
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = counted.join(first, "digest").where("doc_id > first")
+    totals = token_counts.TokenTotals(spark, new_path(spark, "token-totals"))
+    totals.commit("load-1", changes("insert", one))
+    totals.commit("load-2", changes("insert", two))
+    totals.commit("copies", changes("delete", one, copies).unionByName(changes("delete", two, copies)))
+    kept = counted.join(first, "digest").where("doc_id = first")
+    totals.commit("end-token", changes("revise", two, kept, 1))
+    totals.commit("load-2", changes("insert", two))
+    totals.commit("end-token", changes("revise", two, kept, 1))
+    return totals.totals()
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -80,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
+    "op5_token_counts": op5_token_counts,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
