@@ -18,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitmill.llm import bitmap
 from hitmill.llm import words as w
 from hitmill.llm.components import components
 from hitmill.llm.scratch import drop, stage
 
 # N-grams of a family that one task compares at once; larger families are cut in blocks.
 BLOCK_TOKENS = 300_000
-# Slots of the bitmap that keeps most documents without a possible partner out of the
-# second reading: 1 MB, whatever the number of documents.
-BITMAP_SLOTS = 1 << 23
 # Groups of a block, at most: columns of the token-group matrix.
 GROUPS = 64
 
@@ -113,24 +111,22 @@ def _signed(size: int, parts: Parts):
     return run
 
 
-def _tokens(size: int, bitmap: bytes):
+def _tokens(size: int, bits: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            slot = np.asarray(batch.column("slot"))
-            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(bitmap.holds(bits, np.asarray(batch.column("doc_id")))))
             for rows, block in w.slices([batch], "text"):
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), w.long_lists(*_sets(block, size))], names=["node", "tokens"])
 
     return run
 
 
-def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: int, parts: Parts) -> list[tuple[int, int]]:
+def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: int, similarity: tuple[int, int]) -> list[tuple[int, int]]:
     """Links between sets, as far as they join components; by the token-group matrix.
 
     ``queries``: only the first so many sets are compared with the others; 0: all with all.
     """
-    p, q = parts.numerator, parts.denominator
+    p, q = similarity
     n, size = len(nodes), np.diff(first)
     lowest = np.minimum.reduceat(values, first[:-1])
     side = np.arange(n) < queries
@@ -181,7 +177,7 @@ def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: i
     return links
 
 
-def _family(parts: Parts):
+def _family(similarity: tuple[int, int]):
     def run(table: pa.Table) -> pa.Table:
         chunk = np.asarray(table.column("chunk"))
         lists = table.column("tokens").combine_chunks()
@@ -193,12 +189,31 @@ def _family(parts: Parts):
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         queries = int((chunk == a).sum()) if a != b else 0
         alone = len(nodes) < 2 or a != b and queries in (0, len(nodes))
-        links = [] if alone else compare(nodes, values, offsets - offsets[0], queries, parts)
+        links = [] if alone else compare(nodes, values, offsets - offsets[0], queries, similarity)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
 
+def family_links(pairs: DataFrame, sizes: DataFrame, tokens, similarity: tuple[int, int]) -> DataFrame:
+    """Links between sets that ``pairs`` (node, leader) bring into one family, as far as they
+    join components: columns ``a`` and ``b``.
+
+    ``sizes``: node and ``n``; ``tokens`` gets a bitmap of the nodes in families and returns
+    their sets (node, tokens), possibly with others. All within a family is compared, in blocks
+    of BLOCK_TOKENS, each block with each.
+    """
+    found, path = stage(components(pairs, "node", "leader"), "families")
+    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    sized, _ = stage(members.join(sizes.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", F.col("component").alias("family"), "n"), "members")
+    drop(pairs.sparkSession, path)
+    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
+    placed = sized.join(blocks, "family").select("node", "family", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("chunk"))
+    spread = placed.join(tokens(bitmap.build(sized, "node")), "node").withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    spread = spread.select("family", "node", "chunk", "tokens", F.least("chunk", "j").alias("a"), F.greatest("chunk", "j").alias("b"))
+    return spread.where(F.size("tokens") > 0).groupBy("family", "a", "b").applyInArrow(_family(similarity), "a long, b long")
+
+
 def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their n-gram sets.
 
@@ -214,9 +229,8 @@ def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5
     N-grams are told apart by 64-bit, whole sets by 128-bit hashes.
     """
     parts = Parts(*similarity)
-    spark = df.sparkSession
     source = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    signed, signed_path = stage(source.mapInArrow(_signed(size, parts), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
+    signed, _ = stage(source.mapInArrow(_signed(size, parts), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # Families: documents that share signatures; one document stands for all with its set.
@@ -224,29 +238,13 @@ def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5
     rows = sets.select("node", F.explode("signatures").alias("s"))
     shared = rows.groupBy("s").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     pairs = rows.join(shared, "s").where("node != leader").select("node", "leader").distinct()
-    families, families_path = stage(components(pairs, "node", "leader"), "families")
-    members = families.unionByName(families.select(F.col("component").alias("node"), "component").distinct())
-    sizes = filled.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    sized, sized_path = stage(members.join(sizes, members["node"] == sizes["doc_id"]).select("node", F.col("component").alias("family"), "n"), "members")
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
-    placed = sized.join(blocks, "family").select("node", "family", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("chunk"))
-
-    # The n-grams of the documents in families, brought together by family.
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_SLOTS))
-    words = sized.select(F.pmod(F.xxhash64("node"), F.lit(BITMAP_SLOTS)).alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 AS int))")).alias("bits"))
-    bitmap = np.zeros(BITMAP_SLOTS // 64, np.int64)
-    for word, bits in words.collect():
-        bitmap[word] = bits
-    tokens = source.withColumn("slot", slot).mapInArrow(_tokens(size, bitmap.tobytes()), "node long, tokens array<long>")
-    spread = placed.join(tokens, "node").withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    spread = spread.select("family", "node", "chunk", "tokens", F.least("chunk", "j").alias("a"), F.greatest("chunk", "j").alias("b"))
-    links = spread.where(F.size("tokens") > 0).groupBy("family", "a", "b").applyInArrow(_family(parts), "a long, b long")
+    sizes = filled.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    named = source.where("doc_id IS NOT NULL")
+    links = family_links(pairs, sizes, lambda bits: named.mapInArrow(_tokens(size, bits), "node long, tokens array<long>"), similarity)
     result = signed.drop("signatures").join(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("same")), ["k1", "k2"], "left")
     repeated = result.where("n_shingles > 0").groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("z")).where("a < z")
     repeated = result.where("n_shingles > 0").join(repeated, "doc_id").select("a", F.col("same").alias("b"))
     found = components(links.unionByName(repeated), "a", "b")
-    drop(spark, families_path, sized_path)
-
     near = result.join(found.select(F.col("node").alias("same"), "component"), "same", "left")
     near = near.select("doc_id", "n_shingles", F.coalesce("component", "same", "doc_id").alias("component_id"))
     return near.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, decontaminate, licenses, lines, quality, sql, token_counts, token_files, toxicity
+from hitmill.llm import bpe, decontaminate, licenses, lines, paragraphs, quality, sql, token_counts, token_files, toxicity
 from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.scratch import stage
 from hitmill.llm.shipping import ship
@@ -76,6 +76,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs and passages that repeat across documents."""
+    return paragraphs.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
+    "op6_paragraphs": op6_paragraphs,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
