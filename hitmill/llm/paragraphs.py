@@ -3,7 +3,7 @@
 Paragraphs are lines. Their word five-grams are banded by MinHash, with bands tuned for the wanted
 recall; paragraphs that collide in a band become families, families are verified by exact
 Jaccard, and components of the links are the groups. A passage may also stand inside longer
-lines, at any place: lines are cut, too, at words chosen by the words around them, so that a
+lines, at any place: texts are cut, too, at words chosen by the words around them, so that a
 passage gives the same pieces wherever it stands, and runs of repeated pieces are passages.
 """
 
@@ -29,10 +29,10 @@ LEAST_WORDS = 20
 # Chance that a pair of exactly the wanted similarity collides in a band.
 RECALL = 0.999
 ROWS = 2
-# A piece of a line begins at a word that is the least of so many words on either side.
+# A piece of a text begins at a word that is the least of so many words on either side.
 REACH = 4
-# Words of a line's first and last pieces that may lie between two repeated ones.
-GAP = 8
+# Words that may lie between two repeated pieces of one passage.
+GAP = 4
 
 
 def bands(similarity: float, rows: int, recall: float) -> int:
@@ -107,7 +107,7 @@ def _tokens(least: int, bits: bytes):
 
 
 def cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Words at which a piece begins: by content, and at each line's first word."""
+    """Words at which a piece begins: by the words around it, and at each text's first word."""
     n = len(hashes)
     value = w.mix(hashes + np.concatenate([[np.uint64(0)], w.mix(hashes[:-1] if n else hashes)]))
     least = np.ones(n, bool)
@@ -120,18 +120,17 @@ def cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, block in w.slices(batches, "text"):
-        lines, text, found, number = _lines(block)
-        hashes = w.word_hashes(lines, found)
+        lowered = block.lowered()
+        found = w.words(lowered)
+        hashes = w.word_hashes(lowered, found)
         starts = cuts(hashes, found.first)
         ends = np.append(starts[1:], len(hashes))
-        line = found.text_of()[starts]
+        text = found.text_of()[starts]
         powers, inverses = w._powers(len(hashes) + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)])
         key = w.mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
-        good = ends - starts >= SHINGLE
-        starts, ends, line, key = starts[good], ends[good], line[good], key[good]
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").take(pa.array(text[line])), pa.array(number[line] + starts - found.first[line]), pa.array(ends - starts), pa.array(key.view(np.int64))],
+            [rows.column("doc_id").take(pa.array(text)), pa.array(starts - found.first[text]), pa.array(ends - starts), pa.array(key.view(np.int64))],
             names=["doc_id", "first_word", "n_words", "key"],
         )
 
