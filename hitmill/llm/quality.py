@@ -171,9 +171,10 @@ def quality(df: DataFrame, ranks_path: str, model_path: str, doc_id: str = "doc_
     ``kept`` (not failed, and all measures inside the bands).
 
     A null text counts as empty: zeros, measures 0, failed. Null doc_ids and repeated rows stay.
-    With a null language (or ``lang=None``) the text's script names the band. A band holds
-    for a language and size class with LEAST_DOCUMENTS documents or more that passed the simple
-    rules; else that of the size class over all languages holds; else none. Its edges are
+    With a null language (or ``lang=None``) the text's script names the band. Bands of characters
+    per token and byte-fallback share hold for a language, those of entropy for a language and
+    size class (longer texts have more), if LEAST_DOCUMENTS documents or more passed the simple
+    rules there; else those of all languages together hold, if so many passed; else none. Edges are
     exact quartiles of values counted in STEPS, widened by REACH interquartile ranges and at
     least by five steps. Ties and order of rows change nothing. Other columns are not read.
     """
@@ -190,16 +191,20 @@ def quality(df: DataFrame, ranks_path: str, model_path: str, doc_id: str = "doc_
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured, _ = stage(source.mapInArrow(_measure(ranks_path, model_path, names), schema).withColumns({"base_failed": failed, "size": size}), "measured")
 
-    def edges(values: DataFrame, keys: list[str], mark: str) -> DataFrame:
-        out = values.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.expr(f"percentile(v, array(0.25D, 0.75D), IF(m = '{m}', n, 0L))").alias(m) for m in MEASURES))
-        out = out.where(F.col("n") >= LEAST_DOCUMENTS * len(MEASURES))
-        spread = {m: F.greatest(REACH * (F.col(m)[1] - F.col(m)[0]), F.lit(5 * STEPS[m])) for m in MEASURES}
-        return out.select(*keys, F.struct(*(F.struct((F.col(m)[0] - spread[m]).alias("low"), (F.col(m)[1] + spread[m]).alias("high")).alias(m) for m in MEASURES)).alias(mark))
+    def edges(keys: list[str], measures: tuple[str, ...], mark: str) -> DataFrame:
+        out = counted.where(F.col("m").isin(*measures)).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.expr(f"percentile(v, array(0.25D, 0.75D), IF(m = '{m}', n, 0L))").alias(m) for m in measures))
+        out = out.where(F.col("n") >= LEAST_DOCUMENTS * len(measures))
+        spread = {m: F.greatest(REACH * (F.col(m)[1] - F.col(m)[0]), F.lit(5 * STEPS[m])) for m in measures}
+        return out.select(*keys, F.struct(*(F.struct((F.col(m)[0] - spread[m]).alias("low"), (F.col(m)[1] + spread[m]).alias("high")).alias(m) for m in measures)).alias(mark))
 
     steps = F.array(*(F.struct(F.lit(m).alias("m"), (F.round(F.col(m) / STEPS[m]) * STEPS[m]).alias("v")) for m in MEASURES))
     good = measured.where(~F.col("base_failed")).select("band", "size", F.explode(steps).alias("x")).groupBy("band", "size", "x.m", "x.v").agg(F.count("*").alias("n"))
     counted, _ = stage(good, "measure-counts")
-    bands = measured.join(edges(counted, ["band", "size"], "own"), ["band", "size"], "left").join(edges(counted, ["size"], "every"), "size", "left")
-    holds = F.coalesce("own", "every")
+    by_language, by_size = ("chars_per_token", "byte_share"), ("entropy",)
+    # One row: the bands of all languages together.
+    every = edges([], by_language, "every").withColumn("one", F.lit(1))
+    bands = measured.withColumn("one", F.lit(1)).join(edges(["band"], by_language, "own"), "band", "left").join(every, "one", "left")
+    bands = bands.join(edges(["band", "size"], by_size, "own_size"), ["band", "size"], "left").join(edges(["size"], by_size, "every_size"), "size", "left")
+    holds = {m: F.coalesce("own", "every")[m] for m in by_language} | {m: F.coalesce("own_size", "every_size")[m] for m in by_size}
     inside = [F.coalesce(F.col(m).between(holds[m]["low"], holds[m]["high"]), F.lit(True)) for m in MEASURES]
     return bands.select(*names, "base_failed", (~F.col("base_failed") & inside[0] & inside[1] & inside[2]).alias("kept"))

@@ -28,6 +28,8 @@ FEATURES = 2048
 # A voter's share of toxic texts in the sample, smoothed, at least.
 PRECISION = 0.75
 VOICES = 6
+# The classifier is not asked to be surer than this.
+SOFT = 0.02
 ROUNDS = 8
 THRESHOLD = 0.3
 # Bytes of a word's beginning that make a pattern.
@@ -228,7 +230,10 @@ def _together(seen: DataFrame, k: int, on: np.ndarray, mass: float) -> np.ndarra
 
 
 def fit_linear(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, k: int, rounds: int = 200, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression of probabilities on sets of features, by scaled gradient steps."""
+    """Logistic regression of probabilities on sets of features, by scaled gradient steps.
+
+    The penalty is the same for all, so marks that many texts share carry the weight.
+    """
     n = len(target)
     weights, moved = np.zeros(k + 1), np.zeros(k + 1)
     weights[k] = np.log((target.sum() + 0.5) / (n - target.sum() + 0.5)) if n else -5.0
@@ -237,7 +242,7 @@ def fit_linear(rows: np.ndarray, columns: np.ndarray, target: np.ndarray, k: int
         ahead = weights + 0.9 * moved
         miss = _sigmoid(np.bincount(rows, weights=ahead[columns], minlength=n) + ahead[k]) - target
         slope = np.append(np.bincount(columns, weights=miss[rows], minlength=k), miss.sum()) / n
-        slope[:k] += penalty * ahead[:k] * scale[:k]
+        slope[:k] += penalty * ahead[:k]
         moved = 0.9 * moved - 2.0 * slope / scale
         weights += moved
     return weights[:k], float(weights[k])
@@ -301,7 +306,7 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     gains = np.zeros(len(f))
     gains[voters] = gain
     odds = np.log(prior / (1 - prior)) + np.bincount(rows, weights=gains[columns], minlength=len(labelled))
-    target = np.where(spoken, _sigmoid(odds), quiet)
+    target = np.clip(np.where(spoken, _sigmoid(odds), quiet), SOFT, 1 - SOFT)
     weights, bias = fit_linear(rows, columns, target, len(f))
     drop(df.sparkSession, taught_path, sample_path, patterns_path)
     table = F.array(*map(F.lit, weights.tolist()))
