@@ -1,11 +1,10 @@
 """Exact percentiles per group that survive very large groups.
 
 Spark's ``percentile`` keeps one counter per distinct value of a group in the
-memory of one task. That is the right plan as long as groups are bounded, and it
-is what ordinary groups get here. A group above ``hot_rows`` rows is ranked over
-many tasks instead: its values are counted with a map-side combine, range
-partitioned by (group, value), and only the ranges that hold the wanted ranks are
-looked at.
+memory of one task. Here all groups, of any size, take the same lazy plan: values
+are counted with a map-side combine, the counts are summed per bucket of values,
+the buckets that hold the wanted ranks follow from the sums, and only the values
+of those buckets are ranked. No job runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -16,30 +15,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitmill.staging import stage
+# Buckets are equally wide in log(1 + |value|), this many to a factor of e. The values
+# of one bucket and group are sorted by one task, which may spill.
+BUCKETS = 4096
 
-# Rows of a group that one task may hold in memory. A task may hold 128 such groups
-# before Spark falls back to sorting them.
-HOT_ROWS = 100_000
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "") -> Column:
+    return reduce(Column.__and__, [left[key].eqNullSafe(right[prefix + key]) for key in keys])
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [left[key].eqNullSafe(right[key]) for key in keys])
 
-
-def hot_groups(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame | None:
-    """The keys of groups with more than ``hot_rows`` rows as a staged table, or None.
-
-    There are at most ``rows / hot_rows`` of them. Runs a job that reads the key
-    columns alone, and one more that writes the table if there are any.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    largest = sizes.agg(F.max("_rows")).first()[0]
-    if largest is None or largest <= hot_rows:
-        return None
-    return stage(sizes.where(F.col("_rows") > hot_rows).select(*keys), "hot-groups")
+def _bucket(value: Column) -> Column:
+    """A number that never falls while ``value`` rises; NaN counts as the largest value."""
+    scaled = F.floor(F.signum(value) * F.log1p(F.abs(value)) * BUCKETS)
+    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(scaled)
 
 
 def group_median(
@@ -48,10 +36,9 @@ def group_median(
     value: str,
     extra: Sequence[Column] = (),
     name: str = "median",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``group_percentile`` at one half."""
-    return group_percentile(df, keys, value, 0.5, extra, name, hot_rows)
+    return group_percentile(df, keys, value, 0.5, extra, name)
 
 
 def group_percentile(
@@ -61,114 +48,67 @@ def group_percentile(
     fraction: float,
     extra: Sequence[Column] = (),
     name: str = "percentile",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The exact interpolated percentile of ``value`` per group.
 
     ``extra`` holds aliased aggregates with bounded state that are computed beside
     the percentile. The columns of the result are the keys, the extras and ``name``.
+    Groups without any value keep a NULL percentile.
     """
     keys = list(keys)
-    hot = hot_groups(df, keys, hot_rows)
-    if hot is None:
-        return _in_memory(df, keys, value, fraction, extra, name)
-    usual = df.join(hot, _same(df, hot, keys), "left_anti")
-    large = df.join(hot, _same(df, hot, keys), "left_semi")
-    return _in_memory(usual, keys, value, fraction, extra, name).unionByName(
-        _ranged(large, keys, value, fraction, extra, name)
-    )
-
-
-def _in_memory(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    fraction: float,
-    extra: Sequence[Column],
-    name: str,
-) -> DataFrame:
-    return df.groupBy(*keys).agg(*extra, F.percentile(value, fraction).alias(name))
-
-
-def _ranged(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    fraction: float,
-    extra: Sequence[Column],
-    name: str,
-) -> DataFrame:
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    # The range id is written with the rows: everything below must see the same
-    # ranges, also after a task was run again.
-    ranged = stage(
-        counts.repartitionByRange(*keys, "_value").withColumn("_range", F.spark_partition_id()),
-        "value-ranges",
+    held = counts.where(F.col("_value").isNotNull()).withColumn("_bucket", _bucket(F.col("_value")))
+    wanted = _wanted(held, keys, fraction)
+    ranked = (
+        held.join(wanted, _same(held, wanted, keys, "_k_") & (held["_bucket"] == wanted["_k_bucket"]))
+        .withColumn("_end", F.col("_before") + F.sum("_n").over(_upto([*keys, "_bucket"], "_value")))
     )
-    # One row per group and range, so a group's window stays small.
-    in_group = Window.partitionBy(*keys)
-    before = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    position = (F.col("_total") - 1) * F.lit(float(fraction))
-    ranges = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.sum("_n").alias("_held"))
-        .withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_held").over(in_group))
-        .withColumn("_position", position)
-        .withColumn("_low", F.floor("_position"))
-        .withColumn("_high", F.ceil("_position"))
-        .where(
-            (F.col("_before") <= F.col("_high"))
-            & (F.col("_before") + F.col("_held") > F.col("_low"))
-        )
-    )
-    wanted = ranges.select(
-        *[F.col(key).alias(f"_k_{key}") for key in keys],
-        F.col("_range").alias("_k_range"),
-        "_before",
-        "_position",
-        "_low",
-        "_high",
-    )
-    condition = reduce(
-        Column.__and__,
-        [ranged[key].eqNullSafe(wanted[f"_k_{key}"]) for key in keys],
-        ranged["_range"] == wanted["_k_range"],
-    )
-    upto = (
-        Window.partitionBy(*keys, "_range")
-        .orderBy("_value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = ranged.join(wanted, condition).withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
 
     def value_at(rank: str) -> Column:
         holds = (F.col("_end") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
         return F.max(F.when(holds, F.col("_value")))
 
-    low, high = value_at("_low"), value_at("_high")
     at = ranked.groupBy(*keys).agg(
-        low.alias("_at_low"),
-        high.alias("_at_high"),
+        value_at("_low").alias("_at_low"),
+        value_at("_high").alias("_at_high"),
         *[F.first(column).alias(column) for column in ("_position", "_low", "_high")],
     )
-    # The interpolation of Spark's own percentile, so that both paths agree to the bit.
-    between = F.col("_at_low") * (F.col("_high") - F.col("_position")) + F.col("_at_high") * (
+    # The interpolation of Spark's own percentile, equal to the bit.
+    between = (F.col("_high") - F.col("_position")) * F.col("_at_low") + (
         F.col("_position") - F.col("_low")
-    )
-    same_rank = F.col("_low") == F.col("_high")
-    percentiles = at.select(
-        *keys, F.when(same_rank, F.col("_at_low")).otherwise(between).alias(name)
-    )
-    if not extra:
-        groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
-    else:
-        groups = df.groupBy(*keys).agg(*extra)
-    # Groups without any value keep a NULL percentile.
+    ) * F.col("_at_high")
+    same = F.col("_at_low") == F.col("_at_high")
+    percentiles = at.select(*keys, F.when(same, F.col("_at_low")).otherwise(between).alias(name))
+    groups = df.groupBy(*keys).agg(*extra) if extra else counts.select(*keys).distinct()
     return groups.join(percentiles, _same(groups, percentiles, keys), "left").select(
         *[groups[column] for column in groups.columns], percentiles[name]
     )
+
+
+def _upto(keys: Sequence[str], order: str):
+    window = Window.partitionBy(*keys).orderBy(order)
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _wanted(held: DataFrame, keys: list[str], fraction: float) -> DataFrame:
+    """The one or two buckets of every group that hold its wanted ranks."""
+    return (
+        held.groupBy(*keys, "_bucket")
+        .agg(F.sum("_n").alias("_held"))
+        .withColumn("_before", F.sum("_held").over(_upto(keys, "_bucket")) - F.col("_held"))
+        .withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
+        .withColumn("_position", (F.col("_total") - 1) * F.lit(float(fraction)))
+        .withColumn("_low", F.floor("_position"))
+        .withColumn("_high", F.ceil("_position"))
+        .where((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_held") > F.col("_low")))
+        .select(
+            *[F.col(key).alias(f"_k_{key}") for key in keys],
+            F.col("_bucket").alias("_k_bucket"),
+            "_before",
+            "_position",
+            "_low",
+            "_high",
+        )
+    )

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitmill.functions.quantiles import HOT_ROWS, group_median
+from hitmill.functions.quantiles import group_median
 from hitmill.operators.regress import query_rows
 
 # A ratio this close to one counts as no change.
 NOISE = 0.05
 
 
-def medians(results: DataFrame, revisions: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def medians(results: DataFrame, revisions: Sequence[str]) -> DataFrame:
     """Median time per query of the given revisions only."""
     wanted = query_rows(results).where(F.col("git_revision").isin(*revisions))
     return group_median(
@@ -22,7 +22,6 @@ def medians(results: DataFrame, revisions: Sequence[str], hot_rows: int = HOT_RO
         ["query_name", "git_revision"],
         "execution_time",
         name="median_time",
-        hot_rows=hot_rows,
     )
 
 
@@ -31,13 +30,12 @@ def compare_two(
     base: str,
     candidate: str,
     noise: float = NOISE,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Both medians per query, their ratio and a verdict.
 
     A query that only one side has is kept and names the side it is missing on.
     """
-    both = medians(results, [base, candidate], hot_rows)
+    both = medians(results, [base, candidate])
     sides = both.groupBy("query_name").agg(
         F.max(F.when(F.col("git_revision") == base, F.col("median_time"))).alias("base_time"),
         F.max(F.when(F.col("git_revision") == candidate, F.col("median_time"))).alias(
@@ -59,11 +57,9 @@ def compare_two(
     )
 
 
-def compare_many(
-    results: DataFrame, revisions: Sequence[str], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def compare_many(results: DataFrame, revisions: Sequence[str]) -> DataFrame:
     """One column of medians per revision, one row per query."""
-    wide = medians(results, revisions, hot_rows)
+    wide = medians(results, revisions)
     return wide.groupBy("query_name").pivot("git_revision", list(revisions)).agg(
         F.max("median_time")
     )

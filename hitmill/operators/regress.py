@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitmill.functions.ordering import down, up
-from hitmill.functions.quantiles import HOT_ROWS, group_median
+from hitmill.functions.quantiles import group_median
 from hitmill.functions.times import iso_utc, to_utc
 
 # The normalisation offset in seconds and the names of chart lines.
@@ -93,7 +93,7 @@ def normalize(
     )
 
 
-def trend(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def trend(normalized: DataFrame) -> DataFrame:
     """Mean and median of the normalised rows of every revision."""
     return group_median(
         normalized,
@@ -101,17 +101,16 @@ def trend(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "normalized_time",
         [F.avg("normalized_time").alias("avg_time")],
         "median_time",
-        hot_rows,
     )
 
-def per_query(normalized: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+
+def per_query(normalized: DataFrame) -> DataFrame:
     """Median of the normalised rows of every revision and query."""
     return group_median(
         normalized,
         ["git_revision", "git_revision_timestamp", "query_name"],
         "normalized_time",
         name="median_time",
-        hot_rows=hot_rows,
     )
 
 
@@ -258,12 +257,19 @@ def only_releases_and_latest(
     """
     when = latest.scalar()
     near = (F.col("time") > when - F.expr(SAME_TIME)) & (F.col("time") < when + F.expr(SAME_TIME))
-    return _release_flag(points, releases).where(F.col("_release").isNotNull() | near).drop("_release")
+    kept = _release_flag(points, releases).where(F.col("_release").isNotNull() | near)
+    return in_line_order(kept.drop("_release"))
 
 
 def exclude_releases(points: DataFrame, releases: DataFrame) -> DataFrame:
     flags = releases.select(F.col("revision").alias("_release"))
-    return points.join(flags, points["revision"] == flags["_release"], "left_anti")
+    return in_line_order(points.join(flags, points["revision"] == flags["_release"], "left_anti"))
+
+
+def in_line_order(points: DataFrame) -> DataFrame:
+    """Points in the order of their chart lines, which a join does not keep."""
+    orders = {"mean_median": down, "series": up, "time": up, "revision": up}
+    return points.orderBy(*[order(name) for name, order in orders.items() if name in points.columns])
 
 
 def _cutoff(as_of: datetime, days: int):

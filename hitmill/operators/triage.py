@@ -24,7 +24,6 @@ DEFAULT_PATTERN = rf"(?iu)\A{SPACE}*run{SPACE}+benchmarks{SPACE}*\z"
 NAMED_PATTERN = rf"(?iu)\A{SPACE}*run{SPACE}+benchmark{SPACE}+([a-z0-9_\-{SPACE}]+)\z"
 ENV_PATTERN = r"\A[A-Z_][A-Z0-9_]*=[a-zA-Z0-9._\-]+\z"
 WINDOW_SECONDS = 3600
-WINDOW_ROWS = 100
 DEFAULT_SUITE = "default"
 UNKNOWN = "unknown"
 
@@ -144,17 +143,33 @@ def recent(
     comments: DataFrame,
     as_of: datetime,
     seconds: int = WINDOW_SECONDS,
-    limit: int = WINDOW_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The newest comments per repository, updated in the last ``seconds``.
+    """The comments updated in the last ``seconds``; with a ``limit``, the newest per repository.
 
-    Spark limits every group before the shuffle (WindowGroupLimit), so a busy
-    repository sends at most ``limit`` rows per task.
+    For a limit, comments are counted per repository and second, which gives the
+    second of the last row that can be among the newest. Only rows from there on
+    are ranked, so a busy repository never meets in one task.
     """
     since = F.lit((as_of - timedelta(seconds=seconds)).isoformat(sep=" ")).cast("timestamp")
+    found = comments.where(F.col("updated_at") >= since)
+    if limit is None:
+        return found
+    second = F.date_trunc("second", "updated_at")
+    down_to = Window.partitionBy("_repo").orderBy(down("_second"))
+    enough = F.sum("_n").over(down_to.rowsBetween(Window.unboundedPreceding, Window.currentRow)) >= limit
+    cutoffs = (
+        found.groupBy(F.col("repo").alias("_repo"), second.alias("_second"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_enough", enough)
+        .groupBy("_repo")
+        .agg(F.max(F.when(F.col("_enough"), F.col("_second"))).alias("_cutoff"))
+    )
     newest = Window.partitionBy("repo").orderBy(down("updated_at"), down("id"))
     return (
-        comments.where(F.col("updated_at") >= since)
+        found.join(cutoffs, F.col("repo").eqNullSafe(F.col("_repo")))
+        .where(F.col("_cutoff").isNull() | (F.col("updated_at") >= F.col("_cutoff")))
+        .drop("_repo", "_cutoff")
         .withColumn("_rank", F.row_number().over(newest))
         .where(F.col("_rank") <= limit)
         .drop("_rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitmill.functions.ordering import down, top, up
-from hitmill.functions.quantiles import HOT_ROWS, group_median, group_percentile
+from hitmill.functions.quantiles import group_median, group_percentile
 from hitmill.functions.text import digits_or_zero, link_parameter
 from hitmill.operators.web import rows
 
@@ -71,12 +71,10 @@ def _timed(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("JavaEnable") == 0).select("ClientIP", "WatchID", "ResponseStartTiming")
 
 
-def ext_q4(hits: DataFrame, k: int = 10, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ext_q4(hits: DataFrame, k: int = 10) -> DataFrame:
     """Exact median response per (address, watch)."""
     keys = ("ClientIP", "WatchID")
-    medians = group_median(
-        _timed(hits), keys, "ResponseStartTiming", _timings(), "tmed", hot_rows
-    )
+    medians = group_median(_timed(hits), keys, "ResponseStartTiming", _timings(), "tmed")
     return top(medians.where(F.col("c") > 1), k, down("tmed"), *map(up, keys))
 
 
@@ -86,7 +84,6 @@ def ext_q5(
     fraction: float = TAIL,
     accuracy: int = 10000,
     exact: bool = False,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Tail response per (address, watch).
 
@@ -96,7 +93,7 @@ def ext_q5(
     keys = ("ClientIP", "WatchID")
     if exact:
         tails = group_percentile(
-            _timed(hits), keys, "ResponseStartTiming", fraction, _timings(), "tp95", hot_rows
+            _timed(hits), keys, "ResponseStartTiming", fraction, _timings(), "tp95"
         )
     else:
         tail = F.percentile_approx("ResponseStartTiming", fraction, accuracy)

@@ -24,6 +24,7 @@ RULES = (
 )
 AS_OF = datetime(2024, 1, 30, 12)
 SECONDS = 86400
+LIMIT = 100
 
 # --- side tables ------------------------------------------------------------
 
@@ -94,7 +95,12 @@ def shown(name: str):
 
 
 def _tri_window(spark, sf_dir):
-    newest = triage.recent(comments(spark, sf_dir), AS_OF, SECONDS)
+    found = triage.recent(comments(spark, sf_dir), AS_OF, SECONDS)
+    return result(found.select("repo", "id", "updated_at"))
+
+
+def _tri_window_limit(spark, sf_dir):
+    newest = triage.recent(comments(spark, sf_dir), AS_OF, SECONDS, LIMIT)
     return result(newest.select("repo", "id", "updated_at"))
 
 
@@ -172,16 +178,28 @@ def _tri_queue(spark, sf_dir):
 
 
 def _tri_stream(spark, sf_dir):
-    """The route of the batch job from a stream over the same comments."""
+    """The route of the batch job from a stream over the same comments.
+
+    They arrive in three batches without regard to their times: some first as a draft
+    that is corrected later, and a part once more at the end.
+    """
     arrived, out, checkpoint = (
         new_path(spark, name) for name in ("comments", "routed", "routed-checkpoint")
     )
-    comments(spark, sf_dir).write.parquet(arrived)
-    routed_stream = streaming.route_stream(
-        stream_comments(spark, arrived), RULES, users(spark, sf_dir), jobs(spark, sf_dir)
-    ).select("id", "disposition")
-    streaming.write_available(routed_stream, out, checkpoint).awaitTermination()
-    return spark.read.schema(routed_stream.schema).parquet(out)
+    every, first, edited = comments(spark, sf_dir), F.col("id") % 2 == 0, F.col("id") % 12 == 2
+    drafts = every.where(edited).withColumns(
+        {
+            "body": F.concat("body", F.lit("h")),
+            "updated_at": F.col("updated_at") - F.expr("INTERVAL 5 MINUTES"),
+        }
+    )
+    side = users(spark, sf_dir), jobs(spark, sf_dir), replies(spark, sf_dir)
+    for rows in (every.where(first & ~edited).unionByName(drafts), every.where(~first), every.where(first)):
+        rows.write.mode("append").parquet(arrived)
+        streaming.route_batches(
+            stream_comments(spark, arrived), out, checkpoint, RULES, *[lambda _, t=t: t for t in side]
+        ).awaitTermination()
+    return streaming.dispositions(spark, out).select("id", "disposition", "reply_due")
 
 
 _TRIMMED = (
@@ -242,9 +260,13 @@ _TEXTS_CTE = derived_cte("job_texts", _JOB_TEXTS, "events", lf="chr(10)")
 
 _SQL = {
     "tri_window": over_comments(
+        "SELECT repo, id, updated_at FROM comments"
+        f" WHERE updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL {SECONDS} SECOND"
+    ),
+    "tri_window_limit": over_comments(
         "SELECT repo, id, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY repo"
         " ORDER BY updated_at DESC, id DESC) AS rn FROM comments"
-        f" WHERE updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL {SECONDS} SECOND) WHERE rn <= 100"
+        f" WHERE updated_at >= TIMESTAMP '{AS_OF}' - INTERVAL {SECONDS} SECOND) WHERE rn <= {LIMIT}"
     ),
     "tri_split": over_comments(
         "SELECT id, first AS trigger, array_to_string(ls[2:], '|') AS rest FROM split",
@@ -307,7 +329,11 @@ _SQL = {
         " CASE WHEN comment <> '' THEN comment ELSE 'unknown' END AS comment, modified"
         " FROM meta ORDER BY modified, job"
     ),
-    "tri_stream": over_comments("SELECT id, disposition FROM decided", *_ROUTE_CHAIN),
+    "tri_stream": over_comments(
+        "SELECT id, disposition, disposition IN ('queue', 'not_allowed', 'unsupported')"
+        " AND id NOT IN (SELECT id FROM replied) AS reply_due FROM decided",
+        *_ROUTE_CHAIN,
+    ),
 }
 
 

@@ -34,14 +34,18 @@ def flatten(records: DataFrame, repo) -> DataFrame:
 
 
 def load_comments(spark: SparkSession, path: str, repo: str, array_files: bool = False) -> DataFrame:
-    """Comment records of one repository from JSON lines (or JSON array files)."""
-    reader = spark.read.schema(COMMENTS_JSON).option("multiLine", array_files)
+    """Comment records of one repository from JSON lines (or JSON array files).
+
+    A broken record fails the read.
+    """
+    reader = spark.read.schema(COMMENTS_JSON).options(multiLine=array_files, mode="FAILFAST")
     return flatten(reader.json(path), F.lit(repo))
 
 
 def stream_records(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """Comment records of one repository as JSON lines files arrive in a folder."""
-    return flatten(spark.readStream.schema(COMMENTS_JSON).json(path), F.lit(repo))
+    reader = spark.readStream.schema(COMMENTS_JSON).option("mode", "FAILFAST")
+    return flatten(reader.json(path), F.lit(repo))
 
 
 def stream_comments(spark: SparkSession, path: str) -> DataFrame:

@@ -9,8 +9,12 @@ LABELS_SCHEMA = "array<struct<revision: string, label: string, PR: string>>"
 
 
 def parse_labels(documents: DataFrame) -> DataFrame:
-    """One row per array element of (document, text) rows, with its position."""
-    items = documents.select("document", F.from_json("text", LABELS_SCHEMA).alias("items"))
+    """One row per array element of (document, text) rows, with its position.
+
+    Text that is not such an array fails the read.
+    """
+    parsed = F.from_json("text", LABELS_SCHEMA, {"mode": "FAILFAST"})
+    items = documents.select("document", parsed.alias("items"))
     return items.select("document", F.posexplode("items").alias("position", "item")).select(
         F.col("item.revision").alias("revision"),
         F.col("item.label").alias("label"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 # The columns of a result row, in file order.
 RESULTS_SCHEMA = (
@@ -22,8 +22,16 @@ RESULTS_COLUMNS = [
 
 
 def load_results(spark: SparkSession, pattern: str) -> DataFrame:
-    """All results files that match a path pattern; the schema is not inferred."""
-    return spark.read.schema(RESULTS_SCHEMA).option("header", True).csv(pattern)
+    """All results files that match a path pattern; the schema is not inferred.
+
+    A header with other columns or another order, and a value of another type, fail the read.
+    """
+    return strict_csv(spark).schema(RESULTS_SCHEMA).csv(pattern)
+
+
+def strict_csv(spark: SparkSession) -> DataFrameReader:
+    """A CSV reader that takes no column for another and turns no bad value into NULL."""
+    return spark.read.options(header=True, enforceSchema=False, mode="FAILFAST")
 
 
 def append_results(results: DataFrame, path: str, form: str = "csv") -> None:

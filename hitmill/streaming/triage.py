@@ -1,52 +1,102 @@
-"""Comment triage as a streaming job, with the expressions of the batch job."""
+"""Comment triage as a streaming job, with the operators of the batch job.
+
+Every micro-batch is routed as a batch: against the users, jobs and replies as they
+are at that moment, and against what the stream itself decided before. Nothing
+waits for a watermark, so a comment of any age is routed when it arrives.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hitmill.operators.triage import RepoRules, job_rows, route
 
-# A comment that arrives again within this time is the same comment.
-REPEAT_WITHIN = "1 hour"
+# Reads a side table anew.
+Reader = Callable[[SparkSession], DataFrame]
+KEYS = ["repo", "id"]
 
 
-def first_arrivals(stream: DataFrame, within: str = REPEAT_WITHIN) -> DataFrame:
-    """Comments without the repeats that polling delivers.
+def newest_versions(comments: DataFrame) -> DataFrame:
+    """One row per comment, the one updated last; equal times are ordered by the other columns."""
+    others = [name for name in comments.columns if name not in (*KEYS, "updated_at")]
+    sortable = [name for name in others if not comments.schema[name].dataType.simpleString().startswith("map")]
+    newest = F.max(F.struct("updated_at", *sortable)).alias("_newest")
+    return comments.groupBy(*KEYS).agg(newest).select(*KEYS, "_newest.*").select(*comments.columns)
 
-    The state holds the keys of one watermark interval only.
-    """
-    return stream.withWatermark("updated_at", within).dropDuplicatesWithinWatermark(["repo", "id"])
 
+def decided(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """All stored decisions, or those of the batches before one; None if there are none yet."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    return stored if before is None else stored.where(F.col("batch") < before)
 
-def route_stream(
-    stream: DataFrame,
-    rules: Sequence[RepoRules],
-    users: DataFrame,
-    jobs: DataFrame | None = None,
-    within: str = REPEAT_WITHIN,
-) -> DataFrame:
-    """Dispositions of new comments; users and jobs are static tables."""
-    return route(first_arrivals(stream, within), rules, users, jobs)
 
+def dispositions(spark: SparkSession, path: str) -> DataFrame:
+    """The decision on the newest version of every comment."""
+    return newest_versions(decided(spark, path).drop("batch"))
+
+
+def _unseen(batch: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Comments without a stored version that is as new or newer."""
+    seen = earlier.groupBy(*[F.col(key).alias(f"_{key}") for key in KEYS]).agg(
+        F.max("updated_at").alias("_seen")
+    )
+    same = [F.col(key) == F.col(f"_{key}") for key in KEYS]
+    repeats = F.col("updated_at").isNull() | (F.col("_seen") >= F.col("updated_at"))
+    return batch.join(seen, [*same, repeats], "left_anti")
 
-def scheduled_jobs(routed: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:
-    """Command rows of the comments that start a job."""
-    return job_rows(routed.where(routed["disposition"] == "schedule"), rules)
 
+def _own_jobs(earlier: DataFrame) -> DataFrame:
+    scheduled = earlier.where(F.col("disposition") == "schedule")
+    return scheduled.select("repo", "pr", F.col("id").alias("comment_id"))
 
-def write_available(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append what has arrived to a Parquet folder and stop.
 
-    The file sink commits every batch once, also after a restart from the checkpoint.
+def route_batches(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    rules: Sequence[RepoRules],
+    users: Reader,
+    jobs: Reader | None = None,
+    replies: Reader | None = None,
+) -> StreamingQuery:
+    """Store a decision for every new comment and every edit, then stop.
+
+    The rows of a micro-batch go to a folder of its own, which a repeated batch
+    overwrites, so no decision is stored twice. Repeated and outdated versions are
+    dropped; an edit is routed again, and is a duplicate once the comment has a job.
     """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        earlier = decided(spark, path, number)
+        comments = newest_versions(batch)
+        known = None if jobs is None else jobs(spark).select("repo", "pr", "comment_id")
+        if earlier is not None:
+            comments = _unseen(comments, earlier)
+            own = _own_jobs(earlier)
+            known = own if known is None else known.unionByName(own)
+        answers = None if replies is None else replies(spark)
+        routed = route(comments, rules, users(spark), known, answers)
+        routed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
     return (
-        df.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def scheduled_jobs(routed: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:
+    """Command rows of the comments that start a job."""
+    return job_rows(routed.where(routed["disposition"] == "schedule"), rules)

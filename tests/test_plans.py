@@ -76,4 +76,4 @@ def test_only_used_columns_are_read(spark, sf_dir):
 
 
 def test_wide_groups_are_limited_before_the_shuffle(spark, sf_dir):
-    assert "WindowGroupLimit" in plan(QUERIES["tri_window"](spark, sf_dir))
+    assert "WindowGroupLimit" in plan(QUERIES["tri_window_limit"](spark, sf_dir))

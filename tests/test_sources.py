@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from hitmill.operators.ingest import extract_timings, label_runs
@@ -149,3 +151,17 @@ def test_pending_jobs_only(spark, tmp_path):
     (tmp_path / "1_3.sh.done").write_text("# User: me\n")
     got = load_jobs(spark, str(tmp_path)).collect()
     assert [r.job for r in got] == ["1_2.sh"]
+
+
+def test_bad_input_is_not_lost(spark, tmp_path):
+    swapped = [RESULTS_COLUMNS[1], RESULTS_COLUMNS[0], *RESULTS_COLUMNS[2:]]
+    (tmp_path / "a.csv").write_text(",".join(swapped) + "\nq0,b,query,0.1,t,abc,t,16\n")
+    (tmp_path / "b.csv").write_text(",".join(RESULTS_COLUMNS) + "\nb,q0,query,fast,t,abc,t,16\n")
+    for name in ("a.csv", "b.csv"):
+        with pytest.raises(Exception):
+            load_results(spark, str(tmp_path / name)).collect()
+    (tmp_path / "c.json").write_text('[{"revision": "a"')
+    with pytest.raises(Exception):
+        load_labels(spark, str(tmp_path / "c.json")).collect()
+    with pytest.raises(Exception):
+        load_comments(spark, str(tmp_path / "c.json"), "org/a").collect()

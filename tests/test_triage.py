@@ -97,6 +97,9 @@ def test_recent(spark):
     rows += [{"repo": "org/b", "updated_at": NOON - timedelta(minutes=59 + i)} for i in range(4)]
     got = triage.recent(comments(spark, rows), NOON, limit=50).groupBy("repo").count().collect()
     assert {r.repo: r["count"] for r in got} == {"org/a": 50, "org/b": 2}
+    assert triage.recent(comments(spark, rows), NOON).count() == 61 + 2
+    same = comments(spark, [{"updated_at": NOON}] * 80)
+    assert sorted(r.id for r in triage.recent(same, NOON, limit=50).collect()) == list(range(31, 81))
 
 
 def _contains(urls, bodies):
@@ -211,29 +214,35 @@ def test_job_meta_and_queue(spark):
 
 
 def test_stream_equals_batch(spark, sf_dir):
-    batch = triage.route(
-        stored_comments(spark, sf_dir), plans.RULES, plans.users(spark, sf_dir), plans.jobs(spark, sf_dir)
-    ).select("id", "disposition")
+    batch = plans.queries()["tri_route"](spark, sf_dir)
     stream = plans.queries()["tri_stream"](spark, sf_dir)
     assert stream.exceptAll(batch).isEmpty() and batch.exceptAll(stream).isEmpty()
 
 
-def test_stream_drops_repeats_and_resumes(spark, tmp_path):
+def test_stream_takes_edits_and_late_rows_and_resumes(spark, tmp_path):
     folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
     users = spark.createDataFrame([("ann",)], "login string")
 
     def poll(rows):
         comments(spark, rows).coalesce(1).write.mode("append").parquet(folder)
-        routed = streaming.route_stream(stream_comments(spark, folder), RULES, users)
-        jobs = streaming.scheduled_jobs(routed, RULES).select("comment_id", "name")
-        streaming.write_available(jobs, out, checkpoint).awaitTermination()
-        return sorted((r.comment_id, r.name) for r in spark.read.parquet(out).collect())
+        stream = stream_comments(spark, folder)
+        streaming.route_batches(stream, out, checkpoint, RULES, lambda _: users).awaitTermination()
+        jobs = streaming.scheduled_jobs(streaming.decided(spark, out), RULES)
+        return sorted((r.comment_id, r.name) for r in jobs.collect())
 
     first = {"id": 10, "body": "run benchmark tpch sql_planner"}
-    assert poll([first, first]) == [(10, "sql_planner"), (10, "tpch")]
+    wrong = {"id": 12, "body": "run benchmark tpchh"}
+    have = [(10, "sql_planner"), (10, "tpch")]
+    assert poll([first, first, wrong]) == have
     again = {**first, "updated_at": NOON + timedelta(minutes=5)}
-    second = {"id": 11, "body": "run benchmarks", "updated_at": NOON + timedelta(minutes=6)}
-    assert poll([again, second]) == [(10, "sql_planner"), (10, "tpch"), (11, "default")]
+    second = {"id": 11, "body": "run benchmarks", "updated_at": NOON + timedelta(hours=6)}
+    right = {"id": 12, "body": "run benchmark tpch", "updated_at": NOON + timedelta(minutes=5)}
+    have += [(11, "default"), (12, "tpch")]
+    assert poll([again, second, right]) == have
+    late = {"id": 13, "body": "run benchmarks", "updated_at": NOON - timedelta(days=2)}
+    assert poll([late, wrong, first, second]) == [*have, (13, "default")]
+    newest = {r.id: r.disposition for r in streaming.dispositions(spark, out).collect()}
+    assert newest == {10: "duplicate", 11: "schedule", 12: "schedule", 13: "schedule"}
 
 
 def test_stream_of_json_records(spark, tmp_path):
@@ -243,11 +252,10 @@ def test_stream_of_json_records(spark, tmp_path):
               "issue_url": "https://api/issues/7", "updated_at": "2025-01-01T12:00:00Z"}
     (folder / "1.json").write_text(json.dumps(record) + "\n" + json.dumps(record) + "\n")
     users = spark.createDataFrame([("ann",)], "login string")
-    routed = streaming.route_stream(stream_records(spark, str(folder), "org/a"), RULES, users)
-    jobs = streaming.scheduled_jobs(routed, RULES)
     out = str(tmp_path / "out")
-    streaming.write_available(jobs, out, str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(out).collect()
+    records = stream_records(spark, str(folder), "org/a")
+    streaming.route_batches(records, out, str(tmp_path / "check"), RULES, lambda _: users).awaitTermination()
+    got = streaming.scheduled_jobs(streaming.decided(spark, out), RULES).collect()
     assert [(r.job, r.kind, r.env) for r in got] == [("7_5", "default", ["A=1"])]
 
 
