@@ -56,10 +56,10 @@ def test_ngram_join_with_nulls_repeats_and_other_columns(rows):
     assert got == [(-1, 1, None), (-1, 5, 3), (2, 1, 2), (2, 1, 2), (3, 5, 3), (5, 0, 5), (7, 5, 3), (7, 5, 3), (9, 1, 2)]
 
 
-def test_similar_sets_always_share_a_part():
+def test_similar_sets_always_share_a_rare_ngram():
     rng = np.random.default_rng(2)
     for similarity in ((90, 100), (4, 5)):
-        parts = ngram_join.Parts(*similarity)
+        frequency = rng.integers(0, 9, ngram_join.SLOTS).astype(np.uint8).tobytes()
         p, q = similarity
         for _ in range(300):
             n = int(rng.integers(1, 400))
@@ -69,7 +69,7 @@ def test_similar_sets_always_share_a_part():
             a, b = np.unique(base), np.unique(other)
             shared = len(np.intersect1d(a, b))
             values, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-            signatures, begins = parts.signatures(values, first)
+            signatures, begins = ngram_join.prefixes(values, first, similarity, frequency)
             if len(b) and q * shared >= p * (len(a) + len(b) - shared):
                 assert np.intersect1d(signatures[begins[0] : begins[1]], signatures[begins[1] : begins[2]]).size
 
