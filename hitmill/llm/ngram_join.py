@@ -2,8 +2,9 @@
 
 The n-grams have one order for the whole corpus, rare ones first. Of two sets with the
 wanted similarity, each misses so few n-grams of the other that the first ones of both, a
-share of 1 - similarity, have an n-gram in common. Documents that share such a rare n-gram belong
-to one family, so every link lies within a family and families are worked on apart. Inside a family, a token-group matrix holds the
+share of 1 - similarity, have an n-gram in common. Or, cut into parts by the n-grams' hashes, one part
+more than they may differ in, one part at least is equal in both. Documents that share a rare n-gram,
+or the signature of a part, belong to one family, so every link lies within a family and families are worked on apart. Inside a family, a token-group matrix holds the
 union of the n-grams of each group of similar documents; a document's overlap with the
 union bounds its similarity to every member, and only groups that may qualify are opened and
 compared exactly.
@@ -12,6 +13,7 @@ compared exactly.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,66 @@ GROUPS = 64
 SLOTS = 1 << 22
 
 
+class Parts:
+    """How many parts a set of some size is cut into, by the size class of the larger set."""
+
+    def __init__(self, numerator: int, denominator: int):
+        self.numerator, self.denominator = numerator, denominator
+        bounds = [1]
+        while bounds[-1] < 1 << 40:
+            bounds.append(max(bounds[-1] + 1, bounds[-1] * 4 // 3))
+        self.bounds = np.array(bounds, np.int64)
+        most = (self.bounds[1:] - 1) * 2 * (denominator - numerator) // (denominator + numerator)
+        # A few more parts than pigeons need: that many equal parts may be too small to tell.
+        self.spare = np.where(most >= 4, 1 + most // 25, 0)
+        self.parts = most + 1 + self.spare
+        self.weak = 2 if denominator - numerator <= denominator // 8 else 1
+
+    def size_class(self, n: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, n, "right") - 1
+
+    def signatures(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of the sets values[first[i]:first[i + 1]], and where each set's begin.
+
+        A set has signatures for its own size class, and for those of larger possible
+        partners. Parts of hardly any n-gram are left out where enough others remain: if all
+        parts that two sets share are that small, both sets have too many of them.
+        """
+        n = np.diff(first)
+        full = np.flatnonzero(n > 0)
+        own = self.size_class(n[full])
+        top = self.size_class(n[full] * self.denominator // self.numerator)
+        found, owners = [], []
+        spread = w.mix(values)
+        for step in range(int((top - own).max(initial=0)) + 1):
+            sets = full[own + step <= top]
+            if not len(sets):
+                continue
+            kind = self.size_class(n[sets]) + step
+            parts = self.parts[kind]
+            base = np.concatenate([[0], np.cumsum(parts)])
+            count = n[sets]
+            at = np.repeat(np.arange(len(sets)), count)
+            index = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[sets], count)
+            place = base[at] + ((values[index] >> np.uint64(11)) % parts[at].astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(base[-1], np.uint64)
+            np.add.at(sums, place, spread[index])
+            size = np.bincount(place, minlength=base[-1])
+            owner = np.repeat(np.arange(len(sets)), parts)
+            number = np.arange(base[-1]) - base[owner]
+            sums = w.mix(sums + w.mix((kind[owner] << 40 | number).astype(np.uint64)))
+            weak = size <= self.weak
+            few = np.bincount(owner[weak], minlength=len(sets)) <= self.spare[kind]
+            keep = ~(weak & few[owner])
+            found.append(sums[keep])
+            owners.append(sets[owner[keep]])
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
+        values, owner = np.concatenate(found), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return values[order], np.searchsorted(owner[order], np.arange(len(first)))
+
+
 def _slots(values: np.ndarray) -> np.ndarray:
     return (w.mix(values) & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -78,11 +140,11 @@ def _sets(block: w.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return w.distinct(values, of, len(block))
 
 
-def _signed(size: int, similarity: tuple[int, int], frequency: bytes):
+def _signed(size: int, sign):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in w.slices(batches, "text"):
             values, first = _sets(block, size)
-            signatures, begins = prefixes(values, first, similarity, frequency)
+            signatures, begins = sign(values, first)
             sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum([w.mix(values), w.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))], axis=1, dtype=np.uint64)], axis=1)
             keys = w.mix(sums[:, first[1:]] - sums[:, first[:-1]])
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +258,7 @@ def family_links(pairs: DataFrame, sizes: DataFrame, tokens, similarity: tuple[i
     return spread.where(F.size("tokens") > 0).groupBy("family", "a", "b").applyInArrow(_family(similarity), "a long, b long")
 
 
-def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text", by_parts: bool = False) -> DataFrame:
     """Components of documents linked by the Jaccard similarity of their n-gram sets.
 
     A text's words are ``[^\\x20\\x09-\\x0D]+`` after A-Z became lower case; its set holds the
@@ -208,13 +270,16 @@ def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5
     or one without words, has size 0 and is linked with nothing. Rows of the same doc_id are
     one node with the links of all its texts. A row without doc_id links nothing, and gets the
     component of an equal set if there is one, else null. Other columns are not read.
+    ``by_parts`` finds families by equal parts instead of rare n-grams; links are the same. Short
+    n-grams that unlike documents share favour it, a lower similarity does not.
     N-grams are told apart by 64-bit, whole sets by 128-bit hashes.
     """
     source = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
-    signed, _ = stage(source.mapInArrow(_signed(size, similarity, levels(source, size)), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
+    sign = Parts(*similarity).signatures if by_parts else partial(prefixes, similarity=similarity, frequency=levels(source, size))
+    signed, _ = stage(source.mapInArrow(_signed(size, sign), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    # Families: documents that share rare n-grams; one document stands for all with its set.
+    # Families: documents that share signatures; one document stands for all with its set.
     sets = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min_by("signatures", "doc_id").alias("signatures"))
     rows = sets.select("node", F.explode("signatures").alias("s"))
     shared = rows.groupBy("s").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")

@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by at least 0.9 Jaccard similarity of three-word shingles."""
-    return ngram_join(_table(spark, sf_dir, "documents"), 3, (90, 100))
+    return ngram_join(_table(spark, sf_dir, "documents"), 3, (90, 100), by_parts=True)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,10 @@ def test_ngram_join_equals_brute_force(rows, size, similarity, monkeypatch):
         data += [" ".join(edited(base, rng.choice([0, 0, 0.005, 0.02, 0.04, 0.2]), rng)) for _ in range(25)]
     data += ["", " \n", "one", "one", "one two", "ONE Two", "a b c", "tie tie tie tie tie"]
     data = [(i * 3 % 1009, t) for i, t in enumerate(data)]
-    got = {tuple(r) for r in ngram_join.ngram_join(rows(data).repartition(4), size, similarity).collect()}
-    assert got == brute_components(data, size, *similarity)
+    for by_parts in (False, True):
+        out = ngram_join.ngram_join(rows(data).repartition(4), size, similarity, by_parts=by_parts)
+        got = {tuple(r) for r in out.collect()}
+        assert got == brute_components(data, size, *similarity)
 
 
 def test_ngram_join_with_nulls_repeats_and_other_columns(rows):
@@ -56,10 +58,11 @@ def test_ngram_join_with_nulls_repeats_and_other_columns(rows):
     assert got == [(-1, 1, None), (-1, 5, 3), (2, 1, 2), (2, 1, 2), (3, 5, 3), (5, 0, 5), (7, 5, 3), (7, 5, 3), (9, 1, 2)]
 
 
-def test_similar_sets_always_share_a_rare_ngram():
+def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(2)
     for similarity in ((90, 100), (4, 5)):
         frequency = rng.integers(0, 9, ngram_join.SLOTS).astype(np.uint8).tobytes()
+        parts = ngram_join.Parts(*similarity)
         p, q = similarity
         for _ in range(300):
             n = int(rng.integers(1, 400))
@@ -69,9 +72,9 @@ def test_similar_sets_always_share_a_rare_ngram():
             a, b = np.unique(base), np.unique(other)
             shared = len(np.intersect1d(a, b))
             values, first = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-            signatures, begins = ngram_join.prefixes(values, first, similarity, frequency)
-            if len(b) and q * shared >= p * (len(a) + len(b) - shared):
-                assert np.intersect1d(signatures[begins[0] : begins[1]], signatures[begins[1] : begins[2]]).size
+            for signatures, begins in (ngram_join.prefixes(values, first, similarity, frequency), parts.signatures(values, first)):
+                if len(b) and q * shared >= p * (len(a) + len(b) - shared):
+                    assert np.intersect1d(signatures[begins[0] : begins[1]], signatures[begins[1] : begins[2]]).size
 
 
 def test_group_bounds_lose_no_component():
