@@ -36,9 +36,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many documents of their source hold."""
+    """All documents, without the lines that many distinct texts of their source hold; a text of
+    nothing but such lines stays whole, for the next stage to keep one of its copies."""
     ship(prepare(spark))
-    clean = lines.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), "text", LINE_RATIO)
+    clean = lines.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), "text", LINE_RATIO, copies_once=True)
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 

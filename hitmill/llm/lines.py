@@ -33,7 +33,7 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
     """Replace ``text`` by its lines that are not boilerplate of the row's ``site``.
 
     For every line, the pages of a site that contain it are divided by the site's pages;
@@ -45,6 +45,9 @@ def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATI
     A null text stays null but counts as a page; a null site keeps all lines; a text that
     loses all its lines is empty. Lines are compared by 64-bit hashes within their site.
 
+    ``copies_once``: rows of a site with equal texts (by their 64-bit hash) are one page, in
+    both counts, and a text that would lose all its lines stays whole.
+
     The pages of a line are counted with partial sums, so a site with a third of all pages is
     not gathered. A site has at most (its lines per page) / ratio boilerplate lines, which
     come back to its pages as one array; a skewed join splits large sites.
@@ -54,12 +57,18 @@ def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATI
     rows = df.select(*(df[c].alias(f"c{i}") for i, c in enumerate(names)), site.alias("site"))
     lines = F.split(at, "\n", -1)
     hashes = F.transform(lines, lambda line: F.when(_bare(line) != "", F.xxhash64(_bare(line))))
-    pages = rows.where(F.col("site").isNotNull()).select("site", F.array_distinct(F.coalesce(hashes, F.array().cast("array<bigint>"))).alias("lines"))
+    own = F.array_distinct(F.coalesce(hashes, F.array().cast("array<bigint>"))).alias("lines")
+    pages = rows.where(F.col("site").isNotNull()).select("site", *([F.xxhash64(at).alias("hash")] if copies_once else []), own)
+    if copies_once:
+        pages = pages.groupBy("site", "hash").agg(F.first("lines").alias("lines"))
     counts = pages.select("site", F.explode("lines").alias("line")).where(F.col("line").isNotNull()).groupBy("site", "line").agg(F.count("*").alias("n"))
     totals = pages.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     often = counts.where(F.col("n") > 1).join(totals, "site").where(F.col("n") > ratio * F.col("pages"))
     boilerplate, _ = stage(often.groupBy("site").agg(F.collect_set("line").alias("boilerplate")), "boilerplate")
     joined = rows.join(boilerplate, "site", "left")
     kept = F.filter(lines, lambda line: (_bare(line) == "") | ~F.array_contains("boilerplate", F.xxhash64(_bare(line))))
-    clean = F.when(F.col("boilerplate").isNull(), F.col(at)).otherwise(F.array_join(kept, "\n"))
+    whole = F.col("boilerplate").isNull()
+    if copies_once:
+        whole |= ~F.exists(kept, lambda line: _bare(line) != "")
+    clean = F.when(whole, F.col(at)).otherwise(F.array_join(kept, "\n"))
     return joined.select(*((clean if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))
