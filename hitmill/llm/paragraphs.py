@@ -151,21 +151,33 @@ def near_paragraphs(source: DataFrame, least: int, similarity: tuple[int, int],
 
 
 def passages(source: DataFrame, least: int) -> DataFrame:
-    """Runs of pieces that other documents hold too: doc_id, first_word, n_words, component."""
+    """Runs of pieces that other documents hold too: doc_id, first_word, n_words, component.
+
+    The first place of a piece, by doc_id and word, is the copy that is kept. Runs are cut where
+    the kept copy changes: pieces that stand first in a document side by side are one component
+    with all that repeats them, so no component has pieces without a copy in its first row.
+    """
     pieces, _ = stage(source.mapInArrow(_pieces, "doc_id long, first_word long, n_words long, key long"), "pieces")
     ends = pieces.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared, _ = stage(ends.where("low < high").select("key"), "shared-pieces")
     repeated = bitmap.keep(pieces, "key", bitmap.build(shared, "key")).join(shared, "key")
     by_doc = Window.partitionBy("doc_id").orderBy("first_word", "key")
-    apart = F.col("first_word") > F.lag(F.col("first_word") + F.col("n_words")).over(by_doc) + GAP
-    numbered = repeated.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(by_doc))
+    end = F.col("first_word") + F.col("n_words")
+    apart = F.coalesce(F.col("first_word") > F.lag(end).over(by_doc) + GAP, F.lit(True))
+    numbered = repeated.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_doc))
     whole = Window.partitionBy("doc_id", "run")
-    spans = numbered.select("doc_id", "key", "first_word", F.min("first_word").over(whole).alias("begin"), F.max(F.col("first_word") + F.col("n_words")).over(whole).alias("end"), F.sum("n_words").over(whole).alias("held"))
-    spans, _ = stage(spans.where(F.col("held") >= least).select("doc_id", "key", "begin", "end", F.xxhash64("doc_id", "begin").alias("run")), "passages")
-    leaders = spans.groupBy("key").agg(F.min("run").alias("leader"))
-    groups = components(spans.join(leaders, "key").where("run != leader").select("run", "leader").distinct(), "run", "leader")
-    runs = spans.select("doc_id", "begin", "end", "run").distinct().join(groups, F.col("run") == F.col("node"), "left")
-    return runs.select("doc_id", F.col("begin").alias("first_word"), (F.col("end") - F.col("begin")).alias("n_words"), F.coalesce("component", "run").alias("component"))
+    spans = numbered.select("doc_id", "key", "first_word", "n_words", F.sum("n_words").over(whole).alias("held"))
+    spans, _ = stage(spans.where(F.col("held") >= least).drop("held"), "passages")
+
+    homes = spans.groupBy("key").agg(F.min(F.struct("doc_id", "first_word", "n_words")).alias("home")).select("key", "home.*")
+    begin = F.max(F.when(apart, F.col("first_word"))).over(by_doc)
+    homes = homes.select("key", F.col("doc_id").alias("home_id"), F.col("first_word").alias("home_word"), F.xxhash64("doc_id", begin).alias("component"))
+    own = (F.col("doc_id") == F.col("home_id")) & (F.col("first_word") == F.col("home_word"))
+    placed = spans.join(homes, "key").select("doc_id", "key", "first_word", "n_words", "component", own.alias("own"))
+    turns = apart | (F.col("component") != F.lag("component").over(by_doc)) | (F.col("own") != F.lag("own").over(by_doc))
+    stretches = placed.withColumn("turns", turns.cast("int")).withColumn("stretch", F.when(F.col("own"), 0).otherwise(F.sum("turns").over(by_doc)))
+    runs = stretches.groupBy("doc_id", "component", "stretch").agg(F.min("first_word").alias("first_word"), F.max(end).alias("end"))
+    return runs.select("doc_id", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "component")
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -175,7 +187,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     case); two are linked at a Jaccard similarity of ``similarity`` of their five-word sequences,
     exactly compared; pairs of that similarity are found with the chance ``recall``, more similar
     ones nearly always, equal ones always. A passage is a run of pieces of REACH + 1 to some
-    twenty words, found in other documents word by word, of ``least`` words together.
+    twenty words, found in other documents word by word, of ``least`` words together, cut where
+    the document that keeps the pieces changes; each piece of a passage keeps its first copy.
 
     Returns a row per paragraph and passage of a group that spans two documents: ``doc_id``, ``kind``
     (``paragraph`` or ``passage``), ``first_word`` and ``n_words`` (long; place in the text),
