@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import itertools
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -237,10 +238,23 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + shift]
 
 
+def split_at(block: w.Texts, strings: tuple[bytes, ...]) -> tuple[w.Texts, np.ndarray]:
+    """The texts cut before and behind every one of ``strings`` (the leftmost, then longest, first),
+    and where the cut-out strings begin (byte offsets)."""
+    raw = block.data.tobytes()
+    if not any(s in raw for s in strings):
+        return block, np.zeros(0, np.int64)
+    found = re.compile(b"|".join(map(re.escape, sorted(strings, key=len, reverse=True))))
+    places = [m.span() for a, b in itertools.pairwise(block.offsets.tolist()) for m in found.finditer(raw, a, b)]
+    edges = np.array(places, np.int64).reshape(-1, 2)
+    return w.Texts(block.data, np.unique(np.concatenate([block.offsets, edges.reshape(-1)]))), edges[:, 0]
+
+
 class Block:
-    """Texts of a block as numbers of distinct pieces."""
+    """Texts of a block as numbers of distinct pieces; each of the strings ``whole`` is one piece."""
 
-    def __init__(self):
+    def __init__(self, whole: tuple[bytes, ...] = ()):
+        self.whole = whole
         self.rows: list[pa.RecordBatch] = []
         self.numbers: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -254,7 +268,14 @@ class Block:
         """Cut a slice into pieces; a piece seen before gets its number."""
         self.rows.append(rows)
         self.size += len(block.data)
-        starts, first = pieces(block)
+        parts, cut_out = split_at(block, self.whole) if self.whole else (block, [])
+        starts, first = pieces(parts)
+        if len(cut_out):
+            # Nothing but its first piece is left of a string that is whole.
+            part = np.searchsorted(parts.offsets, starts, "right") - 1
+            inside = np.isin(parts.offsets[part], cut_out)
+            starts = starts[~inside | (starts == parts.offsets[part])]
+            first = np.searchsorted(starts, block.offsets)
         ends = np.append(starts[1:], len(block.data))
         self.counts.append(np.diff(first))
         if not len(starts):
@@ -300,13 +321,13 @@ class Block:
             yield rows, gather(ids, first[numbers], size), ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, each=None) -> Iterator[Block]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, each=None, whole: tuple[bytes, ...] = ()) -> Iterator[Block]:
     """The batches' texts in blocks of about ``limit`` bytes; ``each`` looks at every slice."""
-    block = Block()
+    block = Block(whole)
     for rows, texts in w.slices(batches, column):
         if block.size and block.size + len(texts.data) > limit:
             yield block
-            block = Block()
+            block = Block(whole)
         keep = [name for name in rows.schema.names if name != column]
         # A slice holds on to its whole batch; the other columns are copied off it.
         rows = pa.RecordBatch.from_arrays([pa.concat_arrays([rows.column(name)]) for name in keep], schema=pa.schema([rows.schema.field(name) for name in keep]))

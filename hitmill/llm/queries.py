@@ -44,7 +44,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document written to token files and read back."""
     path = new_path(spark, "token-files")
-    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), added=True)
     return token_files.read_token_files(spark, path, token_files.crc32s, "ids_crc32 long")
 
 

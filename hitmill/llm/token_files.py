@@ -64,14 +64,14 @@ def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _WIDE_SPACE = {0xC2, 0xE1, 0xE2, 0xE3}
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
+@lru_cache(maxsize=4)
+def _tokenizer(path: str, added: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # The strings of special tokens in a text are ordinary text.
-    tokenizer.encode_special_tokens = True
+    # Unless asked for, the strings of special tokens in a text are ordinary text.
+    tokenizer.encode_special_tokens = not added
     # Ids whose bytes begin with a space (byte-level BPE writes it as U+0120).
     vocabulary = tokenizer.get_vocab()
     spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -79,14 +79,23 @@ def _tokenizer(path: str):
     return tokenizer, spaced
 
 
-def encode_pieces(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+def added_tokens(path: str) -> tuple[bytes, ...]:
+    """The strings of the file's added tokens, which the library finds before it cuts pieces."""
+    tokens = _tokenizer(path, True)[0].get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+        raise ValueError("added tokens that look at the text around them are not supported")
+    return tuple(t.content.encode() for t in tokens)
+
+
+def encode_pieces(pieces: list[bytes], path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each piece by the tokenizers library, and each piece's first id.
 
     Pieces that begin with a space and go on with other signs are encoded many in a row:
     the library cuts the row at their spaces again, and no id begins with a space inside such a
-    piece. All others are encoded one by one.
+    piece. All others are encoded one by one. ``added``: a piece that is the string of an added
+    token gets its id.
     """
-    tokenizer, spaced = _tokenizer(path)
+    tokenizer, spaced = _tokenizer(path, added)
     joined = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == 32 and p[1] > 32 and p[1] not in _WIDE_SPACE]
     chosen = set(joined)
     alone = [i for i in range(len(pieces)) if i not in chosen]
@@ -109,12 +118,13 @@ def encode_pieces(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarra
     return ids, np.concatenate([[0], np.cumsum(size)])
 
 
-def _write(tokenizer_path: str, end_id: int):
+def _write(tokenizer_path: str, end_id: int, added: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, block in enumerate(bpe.blocks(batches, "text")):
+        whole = added_tokens(tokenizer_path) if added else ()
+        for number, block in enumerate(bpe.blocks(batches, "text", whole=whole)):
             docs, lengths, ids = [], [], []
-            for rows, found, first in block.texts(*encode_pieces(block.distinct(), tokenizer_path)):
+            for rows, found, first in block.texts(*encode_pieces(block.distinct(), tokenizer_path, added)):
                 docs.append(rows.column("doc_id"))
                 lengths.append(np.diff(first) + 1)
                 ids.append(np.insert(found, first[1:], end_id))
@@ -136,17 +146,19 @@ def _write(tokenizer_path: str, end_id: int):
     return run
 
 
-def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_token_files(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> None:
     """Encode every text, append ``end_id``, and write the ids in ascending doc_id order.
 
     A null text counts as empty: its ids are the end id alone. Rows without doc_id come
     first; repeated rows stay. Other columns are not read. Texts are range partitioned and
-    sorted by doc_id, rows of one doc_id by their text's hash.
+    sorted by doc_id, rows of one doc_id by their text's hash. ``added``: the strings of the
+    file's added tokens in a text become their ids, as in the library's plain call; else they are
+    ordinary text.
     """
     source = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     placed = source.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed.mapInArrow(_write(tokenizer_path, end_id), SCHEMA).write.option("compression", "none").parquet(path)
+    placed.mapInArrow(_write(tokenizer_path, end_id, added), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
