@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitmill.llm import bpe, decontaminate, licenses, lines, paragraphs, quality, sql, token_counts, token_files, toxicity
+from hitmill.llm import bpe, decontaminate, licenses, lines, paragraphs, periods, quality, simhash, sql, token_counts, token_files, toxicity, whitening
 from hitmill.llm.ngram_join import ngram_join
 from hitmill.llm.scratch import stage
 from hitmill.llm.shipping import ship
@@ -108,6 +108,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by fingerprints of three-word shingles that differ in two bits at most."""
+    return simhash.near_copies(_table(spark, sf_dir, "documents"), 3, 2)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that repeat with a period, once a part of one document in ten is repeated."""
+    return periods.periodic_runs(_table(spark, sf_dir, "documents"), repeat=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -119,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_licenses": op10_licenses,
+    "op11_simhash": op11_simhash,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {"op1_ngram_join": sql.NGRAM_JOIN, "op9_line_dedup": sql.LINE_DEDUP, "op10_licenses": sql.LICENSES}

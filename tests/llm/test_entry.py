@@ -32,7 +32,7 @@ def result(spark, sf_dir, name):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in llm_queries.QUERIES) == list(range(1, 14))
     assert set(llm_queries.QUERIES) | {"pipeline"} <= set(QUERIES)
 
 
