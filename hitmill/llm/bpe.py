@@ -22,7 +22,7 @@ import pyarrow as pa
 from hitmill.llm import words as w
 
 # Bytes of text whose distinct pieces are encoded together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 _NONE = np.int32(2**31 - 1)
@@ -233,9 +233,11 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     total = int(lengths.sum())
     if not total:
         return values[:0]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
     ends = np.cumsum(lengths)
-    shift = np.repeat(starts - (ends - lengths), lengths)
-    return values[np.arange(total) + shift]
+    places = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    places += np.arange(total, dtype=kind)
+    return values[places]
 
 
 def split_at(block: w.Texts, strings: tuple[bytes, ...]) -> tuple[w.Texts, np.ndarray]:
@@ -256,16 +258,18 @@ class Block:
     def __init__(self, whole: tuple[bytes, ...] = ()):
         self.whole = whole
         self.rows: list[pa.RecordBatch] = []
-        self.numbers: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.seen: list = []
         self.size = 0
-        self._known: dict[int, int] = {}
-        self._strings: dict[int, bytes] = {}
-        self._bytes: list[bytes] = []
+        # Of every slice: its pieces as numbers of its own, and its distinct pieces.
+        self._own: list[np.ndarray] = []
+        self._hashes: list[np.ndarray] = []
+        self._data: list[np.ndarray] = []
+        self._lengths: list[np.ndarray] = []
+        self._numbered: tuple[list[np.ndarray], np.ndarray, np.ndarray] | None = None
 
     def add(self, rows: pa.RecordBatch, block: w.Texts) -> None:
-        """Cut a slice into pieces; a piece seen before gets its number."""
+        """Cut a slice into pieces and number its distinct ones."""
         self.rows.append(rows)
         self.size += len(block.data)
         parts, cut_out = split_at(block, self.whole) if self.whole else (block, [])
@@ -278,39 +282,45 @@ class Block:
             first = np.searchsorted(starts, block.offsets)
         ends = np.append(starts[1:], len(block.data))
         self.counts.append(np.diff(first))
-        if not len(starts):
-            self.numbers.append(np.zeros(0, np.int32))
-            return
-        hashes = w.hash_spans(block.data, starts, ends)
-        values, lead, which = np.unique(hashes, return_index=True, return_inverse=True)
-        # Equal hashes must mean equal bytes.
-        length = ends - starts
-        if not (
-            np.array_equal(length, length[lead][which])
-            and np.array_equal(block.data, gather(block.data, starts[lead][which], length))
-        ):
+        hashes, length = w.hash_spans(block.data, starts, ends), ends - starts
+        own, lead = number(hashes)
+        if not same_spans(block.data, starts, length, own, lead):
             raise ValueError("two different pieces share a hash")
-        raw, known = block.data.tobytes(), self._known
-        numbers = np.empty(len(values), np.int32)
-        for i, (value, a, b) in enumerate(zip(values.tolist(), starts[lead].tolist(), ends[lead].tolist())):
-            number = known.get(value)
-            if number is None:
-                number = known[value] = len(self._bytes)
-                self._bytes.append(raw[a:b])
-            elif self._bytes[number] != raw[a:b]:
+        self._own.append(own)
+        self._hashes.append(hashes[lead])
+        self._data.append(gather(block.data, starts[lead], length[lead]))
+        self._lengths.append(length[lead])
+
+    def _all(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The numbers of each slice's pieces in the whole block, and the distinct pieces' bytes and bounds."""
+        if self._numbered is None:
+            hashes, length, data = (np.concatenate(x) for x in (self._hashes, self._lengths, self._data))
+            starts = np.cumsum(length) - length
+            which, lead = number(hashes)
+            if not same_spans(data, starts, length, which, lead):
                 raise ValueError("two different pieces share a hash")
-            numbers[i] = number
-        self.numbers.append(numbers[which])
+            edges = np.cumsum([0] + [len(x) for x in self._hashes])
+            numbers = [which[a:b][own] for a, b, own in zip(edges, edges[1:], self._own)]
+            first = np.concatenate([[0], np.cumsum(length[lead])])
+            self._numbered = numbers, gather(data, starts[lead], length[lead]), first
+            self._own, self._hashes, self._data, self._lengths = [], [], [], []
+        return self._numbered
+
+    @property
+    def numbers(self) -> list[np.ndarray]:
+        """The distinct pieces, by number, that every slice's texts are made of."""
+        return self._all()[0]
 
     def distinct(self) -> list[bytes]:
         """The distinct pieces by number."""
-        return self._bytes
+        _, data, first = self._all()
+        raw, at = data.tobytes(), first.tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the distinct pieces, and each piece's first id."""
-        lengths = np.fromiter(map(len, self._bytes), np.int64, len(self._bytes))
-        first = np.concatenate([[0], np.cumsum(lengths)])
-        return vocabulary.replay(np.frombuffer(b"".join(self._bytes), np.uint8), first)
+        _, data, first = self._all()
+        return vocabulary.replay(data, first)
 
     def texts(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         """The rows of each slice, the ids of their texts, and each text's first id."""
@@ -321,6 +331,24 @@ class Block:
             yield rows, gather(ids, first[numbers], size), ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
+def number(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes' numbers in order of their first places, and these places."""
+    coded = pa.array(hashes).dictionary_encode()
+    which = np.asarray(coded.indices)
+    return which, np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, length: np.ndarray, which: np.ndarray, lead: np.ndarray) -> bool:
+    """Whether every span data[start:start + length] equals the first one of its number."""
+    if not np.array_equal(length, length[lead][which]):
+        return False
+    # Only spans that are not themselves the first need a look.
+    rest = np.ones(len(which), bool)
+    rest[lead] = False
+    at = np.flatnonzero(rest)
+    return np.array_equal(gather(data, starts[at], length[at]), gather(data, starts[lead][which[at]], length[at]))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES, each=None, whole: tuple[bytes, ...] = ()) -> Iterator[Block]:
     """The batches' texts in blocks of about ``limit`` bytes; ``each`` looks at every slice."""
     block = Block(whole)

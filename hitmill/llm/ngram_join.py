@@ -1,13 +1,18 @@
 """Self-join of documents on the Jaccard similarity of their word n-grams.
 
-The n-grams have one order for the whole corpus, rare ones first. Of two sets with the
-wanted similarity, each misses so few n-grams of the other that the first ones of both, a
-share of 1 - similarity, have an n-gram in common. Or, cut into parts by the n-grams' hashes, one part
-more than they may differ in, one part at least is equal in both. Documents that share a rare n-gram,
-or the signature of a part, belong to one family, so every link lies within a family and families are worked on apart. Inside a family, a token-group matrix holds the
-union of the n-grams of each group of similar documents; a document's overlap with the
-union bounds its similarity to every member, and only groups that may qualify are opened and
-compared exactly.
+Documents that may be similar share a signature. Either the n-grams have one order for the whole
+corpus, frequent ones last: of two similar sets, the first n-grams of both, a share of 1 -
+similarity, have one in common. Or sets are cut into parts by the n-grams' hashes, one part more than
+they may differ in: one part at least is equal in both.
+
+A document is first compared with those that share most signatures with the same leading
+document, in blocks that all hold the leader. That joins copies of one text, however many, at the cost of one
+comparison each or so. What is left are signatures whose documents are still in
+different components; of these, blocks of different components are compared with each other.
+
+In a block, a token-group matrix holds the union of the n-grams of each group of similar documents; a
+document's overlap with the union bounds its similarity to every member, and only groups
+that may qualify are opened and compared exactly.
 """
 
 from __future__ import annotations
@@ -25,12 +30,15 @@ from hitmill.llm import words as w
 from hitmill.llm.components import components
 from hitmill.llm.scratch import drop, stage
 
-# N-grams of a family that one task compares at once; larger families are cut in blocks.
+# N-grams that one task compares at once; larger groups of documents are cut in blocks.
 BLOCK_TOKENS = 300_000
 # Groups of a block, at most: columns of the token-group matrix.
 GROUPS = 64
-# Hash slots in which n-grams are counted to order them: 4 MB.
+# Hash slots in which each task counts n-grams to order them: 4 MB. It reports slots with this
+# many more n-grams than MEAN_TIMES the average; any order finds all links.
 SLOTS = 1 << 22
+FREQUENT = 8
+MEAN_TIMES = 4
 
 
 class Parts:
@@ -102,7 +110,7 @@ def _counted(size: int):
         counts = np.zeros(SLOTS, np.int64)
         for _, block in w.slices(batches, "text"):
             counts += np.bincount(_slots(_sets(block, size)[0]), minlength=SLOTS)
-        at = np.flatnonzero(counts)
+        at = np.flatnonzero(counts > FREQUENT + MEAN_TIMES * counts.mean())
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
 
     return run
@@ -110,7 +118,7 @@ def _counted(size: int):
 
 def levels(source: DataFrame, size: int) -> bytes:
     """How frequent the n-grams of every hash slot are in all documents: a quarter of a power of two
-    per step, a byte per slot (SLOTS rows at most reach the driver)."""
+    per step, a byte per slot; 0 for slots that no task has often (SLOTS rows at most reach the driver)."""
     counts = source.select("text").mapInArrow(_counted(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = counts.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("short").alias("level")).toArrow()
     found = np.zeros(SLOTS, np.uint8)
@@ -155,20 +163,21 @@ def _signed(size: int, sign):
     return run
 
 
-def _tokens(size: int, bits: bytes):
+def _held(bits: bytes):
+    """The rows whose node may be in the bitmap."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(bitmap.holds(bits, np.asarray(batch.column("doc_id")))))
-            for rows, block in w.slices([batch], "text"):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), w.long_lists(*_sets(block, size))], names=["node", "tokens"])
+            yield batch.filter(pa.array(bitmap.holds(bits, np.asarray(batch.column("node")))))
 
     return run
 
 
-def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: int, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: int, similarity: tuple[int, int], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets, as far as they join components; by the token-group matrix.
 
     ``queries``: only the first so many sets are compared with the others; 0: all with all.
+    ``known``: components that are known already; sets of one are not compared.
     """
     p, q = similarity
     n, size = len(nodes), np.diff(first)
@@ -188,6 +197,9 @@ def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: i
         matrix[token[first[a] : first[b]], g] = 1
         low[g], high[g] = size[a:b].min(), size[a:b].max()
     parent = list(range(n))
+    if known is not None:
+        _, lead, which = np.unique(known[order], return_index=True, return_inverse=True)
+        parent = lead[which].tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -221,41 +233,109 @@ def compare(nodes: np.ndarray, values: np.ndarray, first: np.ndarray, queries: i
     return links
 
 
-def _family(similarity: tuple[int, int]):
+def _block(similarity: tuple[int, int], sets):
+    """Compare the sets of a block, or of two; ``sets`` reads them from the column ``held``."""
+
     def run(table: pa.Table) -> pa.Table:
-        chunk = np.asarray(table.column("chunk"))
-        lists = table.column("tokens").combine_chunks()
-        order = np.argsort(chunk, kind="stable")
-        lists = lists.take(pa.array(order))
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        values = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
-        nodes = np.asarray(table.column("node"))[order]
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        queries = int((chunk == a).sum()) if a != b else 0
-        alone = len(nodes) < 2 or a != b and queries in (0, len(nodes))
-        links = [] if alone else compare(nodes, values, offsets - offsets[0], queries, similarity)
+        table = table.combine_chunks()
+        second = np.asarray(table.column("second"))
+        table = table.take(pa.array(np.argsort(second, kind="stable")))
+        values, first = sets(table.column("held"))
+        filled = np.diff(first) > 0
+        nodes, known = (np.asarray(table.column(c))[filled] for c in ("node", "component"))
+        first = np.append(first[:-1][filled], first[-1])
+        queries = int((np.sort(second)[filled] == 0).sum()) if second.any() else 0
+        alone = len(nodes) < 2 or second.any() and queries in (0, len(nodes))
+        links = [] if alone else compare(nodes, values, first, queries, similarity, known)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run
 
 
-def family_links(pairs: DataFrame, sizes: DataFrame, tokens, similarity: tuple[int, int]) -> DataFrame:
-    """Links between sets that ``pairs`` (node, leader) bring into one family, as far as they
-    join components: columns ``a`` and ``b``.
+def token_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets that are stored as lists of numbers."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.asarray(lists.offsets).astype(np.int64)
+    return np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
+
+
+def similar(rows: DataFrame, sizes: DataFrame, held, sets, similarity: tuple[int, int]) -> DataFrame:
+    """Links between sets, as far as they join components: columns ``a`` and ``b``, stored.
+
+    ``rows`` (node, s) has the signatures of every set; sets with a common one are compared.
+    ``sizes``: node and ``n``. ``held`` gets a bitmap of nodes and returns their sets as (node, held),
+    possibly with others; ``sets`` reads the column held inside a task.
+    """
+    spark, links, done = rows.sparkSession, "a long, b long", []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        df, path = stage(df, label)
+        done.append(path)
+        return df
 
-    ``sizes``: node and ``n``; ``tokens`` gets a bitmap of the nodes in families and returns
-    their sets (node, tokens), possibly with others. All within a family is compared, in blocks
-    of BLOCK_TOKENS, each block with each.
+    shared = rows.groupBy("s").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
+    shared = keep(shared, "shared")
+    met = keep(bitmap.keep(rows, "s", bitmap.build(shared, "s")).join(shared, "s"), "met")
+    nodes = keep(met.groupBy("node").agg(F.lit(1).alias("one")).join(sizes.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", "n"), "nodes")
+
+    # Every set with the leader it shares most signatures with, the leader in every block.
+    often = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    led = often.groupBy("node").agg(F.max(F.struct("c", (-F.col("leader")).alias("leader"))).alias("best")).select("node", (-F.col("best.leader")).alias("leader"))
+    led = keep(led.join(nodes, "node"), "led")
+    blocks = led.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
+    follow = led.join(blocks, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
+    heads = blocks.select("leader", F.col("leader").alias("node"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+    table = held(bitmap.build(nodes, "node"))
+    first = follow.unionByName(heads).join(table, "node").withColumns({"second": F.lit(0), "component": F.col("node")})
+    found = keep(first.groupBy("leader", "block").applyInArrow(_block(similarity, sets), links), "links")
+
+    # Signatures whose sets are in different components.
+    near = components(found, "a", "b").withColumnRenamed("node", "near")
+    one = F.coalesce("component", "node").alias("component")
+    placed = keep(met.join(near, F.col("node") == F.col("near"), "left").select("node", "s", one), "placed")
+    open_at = placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).where("low < high")
+    left = keep(placed.join(open_at.select("s", "leader"), "s").select("node", "component", "leader").distinct(), "left")
+    result = found
+    if not left.isEmpty():
+        result = found.unionByName(_across(left, nodes, held, sets, similarity, keep))
+    result, _ = stage(result, "links")
+    drop(spark, *done)
+    return result
+
+
+def _across(left: DataFrame, nodes: DataFrame, held, sets, similarity: tuple[int, int], keep) -> DataFrame:
+    """Links between sets of different components that ``left`` (node, component, leader) brings together.
+
+    Families of sets are cut in blocks. A component that fills blocks has blocks of its own; the
+    others are pooled. Blocks of one component do not meet, nor do blocks whose sizes are too unlike.
     """
-    found, path = stage(components(pairs, "node", "leader"), "families")
-    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    sized, _ = stage(members.join(sizes.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", F.col("component").alias("family"), "n"), "members")
-    drop(pairs.sparkSession, path)
-    blocks = sized.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
-    placed = sized.join(blocks, "family").select("node", "family", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("chunk"))
-    spread = placed.join(tokens(bitmap.build(sized, "node")), "node").withColumn("j", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    spread = spread.select("family", "node", "chunk", "tokens", F.least("chunk", "j").alias("a"), F.greatest("chunk", "j").alias("b"))
-    return spread.where(F.size("tokens") > 0).groupBy("family", "a", "b").applyInArrow(_family(similarity), "a long, b long")
+    p, q = similarity
+    ties = components(left.select("node", "leader"), "node", "leader").withColumnRenamed("node", "tied").withColumnRenamed("component", "family")
+    members = left.select("node", "component").distinct().join(ties, F.col("node") == F.col("tied"), "left")
+    members = keep(members.select("node", "component", F.coalesce("family", "node").alias("family")).join(nodes, "node"), "members")
+    parts = members.groupBy("family", "component").agg(F.sum("n").alias("n"))
+    large = parts.where(F.col("n") >= BLOCK_TOKENS).select("family", "component", F.ceil(F.col("n") / BLOCK_TOKENS).cast("long").alias("own"))
+    pooled = parts.where(F.col("n") < BLOCK_TOKENS).groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("pool"))
+    cut = members.join(large, ["family", "component"], "left").join(pooled, "family", "left")
+    own = F.col("own").isNotNull()
+    # A block: of which component (or pooled), and its number.
+    whose = F.when(own, F.col("component")).alias("whose")
+    number = F.when(own, F.pmod(F.xxhash64("node"), "own")).otherwise(F.pmod(F.xxhash64("component"), "pool")).alias("block")
+    cut = keep(cut.select("family", "node", "component", "n", whose, number, F.xxhash64(whose, number).alias("part")), "cut")
+    blocks = cut.groupBy("family", "part", "whose").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_distinct("component").alias("held"))
+    one, two = blocks.alias("one"), blocks.alias("two")
+    apart = (F.col("one.part") < F.col("two.part")) & (F.col("one.whose").isNull() | ~F.col("one.whose").eqNullSafe(F.col("two.whose")))
+    within = (F.col("one.part") == F.col("two.part")) & F.col("one.whose").isNull() & (F.col("one.held") > 1)
+    alike = (q * F.col("one.high") >= p * F.col("two.low")) & (q * F.col("two.high") >= p * F.col("one.low"))
+    meet = one.join(two, F.col("one.family") == F.col("two.family")).where((apart & alike) | within)
+    meet = keep(meet.select(F.col("one.family").alias("family"), F.col("one.part").alias("x"), F.col("two.part").alias("y")), "meet")
+    sides = meet.select("family", F.col("x").alias("part"), "x", "y", F.lit(0).alias("second")).unionByName(
+        meet.where("x <> y").select("family", F.col("y").alias("part"), "x", "y", F.lit(1).alias("second"))
+    )
+    sent = cut.join(sides.select("family", "part").distinct(), ["family", "part"], "left_semi")
+    spread = sent.join(held(bitmap.build(sent, "node")), "node").join(sides, ["family", "part"])
+    spread = spread.select("family", "x", "y", "node", "component", "held", "second")
+    return spread.groupBy("family", "x", "y").applyInArrow(_block(similarity, sets), "a long, b long")
 
 
 def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), doc_id: str = "doc_id", text: str = "text", by_parts: bool = False) -> DataFrame:
@@ -270,24 +350,27 @@ def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5
     or one without words, has size 0 and is linked with nothing. Rows of the same doc_id are
     one node with the links of all its texts. A row without doc_id links nothing, and gets the
     component of an equal set if there is one, else null. Other columns are not read.
-    ``by_parts`` finds families by equal parts instead of rare n-grams; links are the same. Short
+    ``by_parts`` finds candidates by equal parts instead of rare n-grams; links are the same. Short
     n-grams that unlike documents share favour it, a lower similarity does not.
     N-grams are told apart by 64-bit, whole sets by 128-bit hashes.
     """
+    spark = df.sparkSession
     source = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     sign = Parts(*similarity).signatures if by_parts else partial(prefixes, similarity=similarity, frequency=levels(source, size))
-    signed, _ = stage(source.mapInArrow(_signed(size, sign), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
+    signed, path = stage(source.mapInArrow(_signed(size, sign), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    # Families: documents that share signatures; one document stands for all with its set.
+    # One document stands for all with its set.
     sets = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min_by("signatures", "doc_id").alias("signatures"))
-    rows = sets.select("node", F.explode("signatures").alias("s"))
-    shared = rows.groupBy("s").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
-    pairs = rows.join(shared, "s").where("node != leader").select("node", "leader").distinct()
+    rows, rows_path = stage(sets.select("node", F.explode("signatures").alias("s")), "signatures")
+    result, _ = stage(signed.drop("signatures"), "sizes")
+    drop(spark, path)
+    filled = result.where("n_shingles > 0 AND doc_id IS NOT NULL")
     sizes = filled.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
-    named = source.where("doc_id IS NOT NULL")
-    links = family_links(pairs, sizes, lambda bits: named.mapInArrow(_tokens(size, bits), "node long, tokens array<long>"), similarity)
-    result = signed.drop("signatures").join(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("same")), ["k1", "k2"], "left")
+    named = source.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("text").alias("held"))
+    links = similar(rows, sizes, lambda bits: named.mapInArrow(_held(bits), "node long, held string"), lambda column: _sets(w.texts(column), size), similarity)
+    drop(spark, rows_path)
+    result = result.join(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("same")), ["k1", "k2"], "left")
     repeated = result.where("n_shingles > 0").groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("z")).where("a < z")
     repeated = result.where("n_shingles > 0").join(repeated, "doc_id").select("a", F.col("same").alias("b"))
     found = components(links.unionByName(repeated), "a", "b")

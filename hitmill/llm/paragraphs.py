@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from hitmill.llm import bitmap
 from hitmill.llm import words as w
 from hitmill.llm.components import components
-from hitmill.llm.ngram_join import family_links
+from hitmill.llm.ngram_join import similar, token_lists
 from hitmill.llm.scratch import stage
 
 SHINGLE = 5
@@ -101,7 +101,7 @@ def _tokens(least: int, bits: bytes):
             _, values, first, key = _sets(lines, found, least)
             lists = w.long_lists(values, first)
             held = pa.array(bitmap.holds(bits, key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lists], names=["node", "tokens"]).filter(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lists], names=["node", "held"]).filter(held)
 
     return run
 
@@ -139,12 +139,11 @@ def near_paragraphs(source: DataFrame, least: int, similarity: tuple[int, int],
     """Paragraphs in groups of similar ones: doc_id, first_word, n_words, component."""
     n_bands = bands(similarity[0] / similarity[1], ROWS, recall)
     units, _ = stage(source.mapInArrow(_paragraphs(n_bands, least), "doc_id long, first_word long, n_words long, n long, key long, bands array<long>"), "paragraphs")
-    rows = units.select("key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("key").alias("leader"), F.max("key").alias("last")).where("leader < last").drop("last")
-    shared, _ = stage(shared, "bands")
-    near = bitmap.keep(rows, "band", bitmap.build(shared, "band"))
-    pairs = near.join(shared, "band").where("key != leader").select(F.col("key").alias("node"), "leader").distinct()
-    links = family_links(pairs, units.select(F.col("key").alias("node"), "n"), lambda bits: source.select("text").mapInArrow(_tokens(least, bits), "node long, tokens array<long>").dropDuplicates(["node"]), similarity)
+    # A line that many documents hold is banded and compared once.
+    distinct = units.groupBy("key").agg(F.first("bands").alias("bands"))
+    rows = distinct.select(F.col("key").alias("node"), F.explode("bands").alias("s"))
+    held = lambda bits: source.select("text").mapInArrow(_tokens(least, bits), "node long, held array<long>").dropDuplicates(["node"])
+    links = similar(rows, units.select(F.col("key").alias("node"), "n"), held, token_lists, similarity)
     groups = components(links, "a", "b")
     placed = units.select("doc_id", "first_word", "n_words", "key").join(groups, F.col("key") == F.col("node"), "left")
     return placed.select("doc_id", "first_word", "n_words", F.coalesce("component", "key").alias("component"))

@@ -60,6 +60,9 @@ def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return used.astype(np.uint32), rank[ids]
 
 
+# Bytes of text whose distinct pieces are encoded together; a file's block.
+BLOCK_BYTES = 32 << 20
+
 # First bytes of the UTF-8 of white space beyond ASCII.
 _WIDE_SPACE = {0xC2, 0xE1, 0xE2, 0xE3}
 
@@ -122,7 +125,7 @@ def _write(tokenizer_path: str, end_id: int, added: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         whole = added_tokens(tokenizer_path) if added else ()
-        for number, block in enumerate(bpe.blocks(batches, "text", whole=whole)):
+        for number, block in enumerate(bpe.blocks(batches, "text", BLOCK_BYTES, whole=whole)):
             docs, lengths, ids = [], [], []
             for rows, found, first in block.texts(*encode_pieces(block.distinct(), tokenizer_path, added)):
                 docs.append(rows.column("doc_id"))
