@@ -1,33 +1,20 @@
 """Exact percentiles per group that survive very large groups.
 
 Spark's ``percentile`` keeps one counter per distinct value of a group in the
-memory of one task. Here all groups, of any size, take the same lazy plan: values
-are counted with a map-side combine, the counts are summed per bucket of values,
-the buckets that hold the wanted ranks follow from the sums, and only the values
-of those buckets are ranked. No job runs while the plan is built.
+memory of one task. Here all groups, of any size, take the same lazy plan: the rows
+are counted per bucket of values with a map-side combine, the buckets that hold the
+wanted ranks follow from the counts, and only the values of those buckets are counted and
+ranked. No job runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets are equally wide in log(1 + |value|), this many to a factor of e. The values
-# of one bucket and group are sorted by one task, which may spill.
-BUCKETS = 4096
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str = "") -> Column:
-    return reduce(Column.__and__, [left[key].eqNullSafe(right[prefix + key]) for key in keys])
-
-
-def _bucket(value: Column) -> Column:
-    """A number that never falls while ``value`` rises; NaN counts as the largest value."""
-    scaled = F.floor(F.signum(value) * F.log1p(F.abs(value)) * BUCKETS)
-    return F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(scaled)
+from hitmill.functions.ranks import bucket, same, upto
 
 
 def group_median(
@@ -56,59 +43,55 @@ def group_percentile(
     Groups without any value keep a NULL percentile.
     """
     keys = list(keys)
-    counts = df.groupBy(*keys, F.col(value).cast("double").alias("_value")).agg(
+    rows = df.withColumn("_value", F.col(value).cast("double"))
+    rows = rows.withColumn("_bucket", bucket(F.col("_value"))).select(*keys, "_value", "_bucket")
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("_value").alias("_held"))
+    wanted = _wanted(sizes, keys, fraction)
+    inside = rows.join(wanted, same(rows, wanted, [*keys, "_bucket"], "_k_"))
+    counts = inside.groupBy(*keys, "_bucket", "_before", "_position", "_value").agg(
         F.count(F.lit(1)).alias("_n")
     )
-    held = counts.where(F.col("_value").isNotNull()).withColumn("_bucket", _bucket(F.col("_value")))
-    wanted = _wanted(held, keys, fraction)
-    ranked = (
-        held.join(wanted, _same(held, wanted, keys, "_k_") & (held["_bucket"] == wanted["_k_bucket"]))
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(_upto([*keys, "_bucket"], "_value")))
+    ranked = counts.withColumn(
+        "_end", F.col("_before") + F.sum("_n").over(upto([*keys, "_bucket"], "_value"))
     )
+    low, high = F.floor("_position"), F.ceil("_position")
 
-    def value_at(rank: str) -> Column:
-        holds = (F.col("_end") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(holds, F.col("_value")))
+    def value_at(rank: Column) -> Column:
+        return F.when((F.col("_end") - F.col("_n") <= rank) & (rank < F.col("_end")), F.col("_value"))
 
-    at = ranked.groupBy(*keys).agg(
-        value_at("_low").alias("_at_low"),
-        value_at("_high").alias("_at_high"),
-        *[F.first(column).alias(column) for column in ("_position", "_low", "_high")],
+    found = ranked.select(
+        *keys, value_at(low).alias("_at_low"), value_at(high).alias("_at_high"), "_position"
+    )
+    # The groups and their extras come in as further rows instead of by a join.
+    groups = df.groupBy(*keys).agg(*extra) if extra else sizes.select(*keys).distinct()
+    names = [column for column in groups.columns if column not in keys]
+    both = found.unionByName(groups, allowMissingColumns=True)
+    one = both.groupBy(*keys).agg(
+        *[F.first(column, ignorenulls=True).alias(column) for column in names],
+        *[F.max(column).alias(column) for column in ("_at_low", "_at_high", "_position")],
     )
     # The interpolation of Spark's own percentile, equal to the bit.
-    between = (F.col("_high") - F.col("_position")) * F.col("_at_low") + (
-        F.col("_position") - F.col("_low")
+    between = (F.ceil("_position") - F.col("_position")) * F.col("_at_low") + (
+        F.col("_position") - F.floor("_position")
     ) * F.col("_at_high")
-    same = F.col("_at_low") == F.col("_at_high")
-    percentiles = at.select(*keys, F.when(same, F.col("_at_low")).otherwise(between).alias(name))
-    groups = df.groupBy(*keys).agg(*extra) if extra else counts.select(*keys).distinct()
-    return groups.join(percentiles, _same(groups, percentiles, keys), "left").select(
-        *[groups[column] for column in groups.columns], percentiles[name]
-    )
-
-
-def _upto(keys: Sequence[str], order: str):
-    window = Window.partitionBy(*keys).orderBy(order)
-    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    alike = F.col("_at_low") == F.col("_at_high")
+    return one.select(*keys, *names, F.when(alike, F.col("_at_low")).otherwise(between).alias(name))
 
 
-def _wanted(held: DataFrame, keys: list[str], fraction: float) -> DataFrame:
+def _wanted(sizes: DataFrame, keys: list[str], fraction: float) -> DataFrame:
     """The one or two buckets of every group that hold its wanted ranks."""
-    return (
-        held.groupBy(*keys, "_bucket")
-        .agg(F.sum("_n").alias("_held"))
-        .withColumn("_before", F.sum("_held").over(_upto(keys, "_bucket")) - F.col("_held"))
+    held = sizes.where(F.col("_bucket").isNotNull())
+    placed = (
+        held.withColumn("_before", F.sum("_held").over(upto(keys, "_bucket")) - F.col("_held"))
         .withColumn("_total", F.sum("_held").over(Window.partitionBy(*keys)))
         .withColumn("_position", (F.col("_total") - 1) * F.lit(float(fraction)))
-        .withColumn("_low", F.floor("_position"))
-        .withColumn("_high", F.ceil("_position"))
-        .where((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_held") > F.col("_low")))
-        .select(
-            *[F.col(key).alias(f"_k_{key}") for key in keys],
-            F.col("_bucket").alias("_k_bucket"),
-            "_before",
-            "_position",
-            "_low",
-            "_high",
-        )
+    )
+    holds = (F.col("_before") <= F.ceil("_position")) & (
+        F.col("_before") + F.col("_held") > F.floor("_position")
+    )
+    return placed.where(holds).select(
+        *[F.col(key).alias(f"_k_{key}") for key in keys],
+        F.col("_bucket").alias("_k__bucket"),
+        "_before",
+        "_position",
     )

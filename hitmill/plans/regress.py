@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hitmill.functions.normal import ERFC, quantile
 from hitmill.operators import compare, regress
 from hitmill.plans.shape import result
 from hitmill.plans.tables import over_results, results, table
@@ -20,6 +22,8 @@ DAYS = 90
 REVISIONS = ["r1", "r2", "r3", "r99"]
 # Times have seven decimals, so means of two have no rounding ties at ten places.
 PLACES = 10
+# The test's figures go through exp and sqrt, which engines round differently.
+SHARE_PLACES = 8
 # Labels per document of the derived label lists.
 PER_DOCUMENT = 1000
 
@@ -263,6 +267,10 @@ def _cmp_filter(spark, sf_dir):
     return result(compare.compare_two(chosen, "r1", "r2"), PLACES)
 
 
+def _cmp_significance(spark, sf_dir):
+    return result(compare.significance(results(spark, sf_dir), "r1", "r2"), SHARE_PLACES)
+
+
 _SIDES = (
     "sides AS (SELECT query_name, median(execution_time) FILTER (git_revision = 'r1') AS base_time,"
     " median(execution_time) FILTER (git_revision = 'r2') AS candidate_time"
@@ -278,6 +286,33 @@ _TWO = (
     " WHEN candidate_time / base_time < 0.95 THEN 'faster'"
     " WHEN candidate_time / base_time > 1.05 THEN 'slower' ELSE 'same' END AS verdict FROM sides"
 )
+# All pairs of runs, one by one.
+_TESTED = (
+    "runs AS (SELECT query_name, execution_time AS t, git_revision = 'r1' AS base"
+    " FROM benchmark_results WHERE query_type = 'query' AND git_revision IN ('r1', 'r2')),\n"
+    "pairs AS (SELECT x.query_name, sum(CASE WHEN x.t < y.t THEN 1.0 WHEN x.t = y.t THEN 0.5 ELSE 0.0 END)"
+    " AS u FROM runs x JOIN runs y ON x.query_name = y.query_name AND x.base AND NOT y.base GROUP BY 1),\n"
+    "tied AS (SELECT query_name, sum(c * c * c - c) AS ties FROM (SELECT query_name, t,"
+    " CAST(count(*) AS DOUBLE) AS c FROM runs GROUP BY 1, 2) GROUP BY 1),\n"
+    "sized AS (SELECT query_name, count(*) FILTER (base) AS n1, count(*) FILTER (NOT base) AS n2,"
+    " var_samp(ln(t)) FILTER (base) AS v1, var_samp(ln(t)) FILTER (NOT base) AS v2 FROM runs GROUP BY 1),\n"
+    "scored AS (SELECT *, CASE WHEN sd > 0 THEN sign(u - n1 * n2 / 2.0)"
+    " * greatest(abs(u - n1 * n2 / 2.0) - 0.5, 0) / sd ELSE 0 END AS z FROM (SELECT *,"
+    " sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS sd"
+    " FROM sized LEFT JOIN pairs USING (query_name) JOIN tied USING (query_name))),\n"
+    "tested AS (SELECT *, least(k * exp(" + " + k * (".join(str(c) for c in ERFC) + ")" * (len(ERFC) - 1) + " - x * x), 1.0) AS p"
+    " FROM (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + abs(z) / sqrt(2) / 2) AS k FROM scored))"
+)
+_REACH = (quantile(1 - compare.ALPHA / 2) + quantile(compare.POWER)) * math.sqrt(math.pi / 3)
+_SIGNIFICANCE = (
+    "SELECT query_name, n1 AS base_runs, n2 AS candidate_runs,"
+    f" round(u, {SHARE_PLACES}) AS u, round(u / (n1 * n2), {SHARE_PLACES}) AS slower_share,"
+    f" CASE WHEN n1 > 0 AND n2 > 0 THEN round(z, {SHARE_PLACES}) END AS z,"
+    f" CASE WHEN n1 > 0 AND n2 > 0 THEN round(p, {SHARE_PLACES}) END AS p_value,"
+    f" round(exp({_REACH!r} * sqrt(v1 / n1 + v2 / n2)), {SHARE_PLACES}) AS detectable_ratio,"
+    " CASE WHEN n1 = 0 THEN 'missing in base' WHEN n2 = 0 THEN 'missing in candidate'"
+    " WHEN p >= 0.05 THEN 'same' WHEN z > 0 THEN 'slower' ELSE 'faster' END AS verdict FROM tested"
+)
 _MEDIANS_OF = ", ".join(
     f"round(median(execution_time) FILTER (git_revision = '{r}'), {PLACES}) AS {r}" for r in REVISIONS
 )
@@ -411,6 +446,7 @@ _SQL = {
         f"SELECT query_name, {_MEDIANS_OF} FROM benchmark_results WHERE query_type = 'query'"
         f" AND git_revision IN ({', '.join(repr(r) for r in REVISIONS)}) GROUP BY query_name"
     ),
+    "cmp_significance": over_results(_SIGNIFICANCE, _TESTED),
     "cmp_filter": over_results(_TWO + " WHERE query_name IN ('q1', 'q2', 'q3')", _SIDES),
 }
 

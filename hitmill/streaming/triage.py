@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hitmill.operators.triage import RepoRules, job_rows, route
+from hitmill.staging import new_path, remove
 
 # Reads a side table anew.
 Reader = Callable[[SparkSession], DataFrame]
 KEYS = ["repo", "id"]
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def newest_versions(comments: DataFrame) -> DataFrame:
@@ -45,14 +48,25 @@ def dispositions(spark: SparkSession, path: str) -> DataFrame:
     return newest_versions(decided(spark, path).drop("batch"))
 
 
-def _unseen(batch: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Comments without a stored version that is as new or newer."""
-    seen = earlier.groupBy(*[F.col(key).alias(f"_{key}") for key in KEYS]).agg(
-        F.max("updated_at").alias("_seen")
+def fresh_versions(stream: DataFrame) -> DataFrame:
+    """Per micro-batch, the newest version of every comment that arrived in this batch for the first time.
+
+    The state of a comment is its newest version with the time of the batch that brought
+    it. Repeats and outdated versions leave the state as it is, so they do not come out.
+    ``edited`` tells that an earlier batch brought another version. Nothing is forgotten:
+    there is no watermark, and the state grows with the number of comments.
+    """
+    others = [name for name in stream.columns if name not in (*KEYS, "updated_at")]
+    now = F.unix_micros(F.current_timestamp())
+    # Of equal versions the one that came first counts.
+    version = F.struct("updated_at", (-F.col("_arrived")).alias("_first"), *others)
+    state = (
+        stream.withColumn("_arrived", now)
+        .groupBy(*KEYS)
+        .agg(F.max(version).alias("_newest"), F.min("_arrived").alias("_since"))
     )
-    same = [F.col(key) == F.col(f"_{key}") for key in KEYS]
-    repeats = F.col("updated_at").isNull() | (F.col("_seen") >= F.col("updated_at"))
-    return batch.join(seen, [*same, repeats], "left_anti")
+    fresh = state.where(F.col("_newest._first") == -now)
+    return fresh.select(*[F.col(name) if name in KEYS else F.col(f"_newest.{name}") for name in stream.columns], (F.col("_since") < now).alias("edited"))
 
 
 def _own_jobs(earlier: DataFrame) -> DataFrame:
@@ -71,30 +85,43 @@ def route_batches(
 ) -> StreamingQuery:
     """Store a decision for every new comment and every edit, then stop.
 
-    The rows of a micro-batch go to a folder of its own, which a repeated batch
-    overwrites, so no decision is stored twice. Repeated and outdated versions are
-    dropped; an edit is routed again, and is a duplicate once the comment has a job.
+    Which versions are new is kept as keyed state of the stream, in RocksDB, so a micro-batch
+    costs the same however many came before. Stored decisions are read only in batches that
+    hold an edit, which is a duplicate once the comment has a job. The rows of a micro-batch go to a
+    folder of its own, which a repeated batch overwrites, so no decision is stored
+    twice. The clock that stamps batches must not be set back.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = decided(spark, path, number)
-        comments = newest_versions(batch)
+        # Written once: the state is not computed again for each use.
+        fresh = new_path(spark, "fresh")
+        batch.write.parquet(fresh)
+        batch = spark.read.schema(batch.schema).parquet(fresh)
         known = None if jobs is None else jobs(spark).select("repo", "pr", "comment_id")
+        earlier = decided(spark, path, number) if not batch.where("edited").isEmpty() else None
         if earlier is not None:
-            comments = _unseen(comments, earlier)
             own = _own_jobs(earlier)
             known = own if known is None else known.unionByName(own)
         answers = None if replies is None else replies(spark)
-        routed = route(comments, rules, users(spark), known, answers)
+        routed = route(batch.drop("edited"), rules, users(spark), known, answers)
         routed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        remove(spark, fresh)
 
-    return (
-        stream.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        return (
+            fresh_versions(stream)
+            .writeStream.outputMode("update")
+            .foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
 
 def scheduled_jobs(routed: DataFrame, rules: Sequence[RepoRules]) -> DataFrame:

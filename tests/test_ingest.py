@@ -2,8 +2,10 @@
 
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from hitmill import ingestion
 from hitmill.ingestion import append_new_revisions, stored_results
 from hitmill.operators import history, ingest
 from hitmill.sources.results import RESULTS_SCHEMA
@@ -94,3 +96,45 @@ def test_appends_are_idempotent(spark, tmp_path):
         append_new_revisions(batch, path)
     got = sorted(r.git_revision for r in stored_results(spark, path).collect())
     assert got == ["a", "a", "b", "c"]
+
+
+@pytest.mark.parametrize("form", ["csv", "parquet"])
+def test_a_broken_append_leaves_nothing_behind(spark, tmp_path, monkeypatch, form):
+    path = str(tmp_path / "results")
+    row = ("b", "q", "query", 1.0, "t")
+    first = spark.createDataFrame([(*row, r, "t", 1) for r in ("a", "b")], RESULTS_SCHEMA)
+    more = spark.createDataFrame([(*row, r, "t", 1) for r in ("b", "c", "c", "d")], RESULTS_SCHEMA)
+    assert append_new_revisions(first, path, form)
+
+    # Broken before the entry: all files are there, none is read.
+    publish = ingestion._Files.publish
+    monkeypatch.setattr(ingestion._Files, "publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        append_new_revisions(more, path, form)
+    monkeypatch.setattr(ingestion._Files, "publish", publish)
+    assert sorted(r.git_revision for r in stored_results(spark, path, form).collect()) == ["a", "b"]
+
+    # Broken while the files were written.
+    broken = more.withColumn("num_cores", F.when(F.col("git_revision") == "d", F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("num_cores")))
+    with pytest.raises(Exception):
+        append_new_revisions(broken, path, form)
+    assert append_new_revisions(more, path, form)
+    assert not append_new_revisions(more, path, form)
+    assert sorted(r.git_revision for r in stored_results(spark, path, form).collect()) == ["a", "b", "c", "c", "d"]
+
+
+def test_of_two_appends_at_a_time_one_looks_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "results")
+    row = ("b", "q", "query", 1.0, "t")
+    one, other = (spark.createDataFrame([(*row, r, "t", 1) for r in rs], RESULTS_SCHEMA) for rs in (("a", "b"), ("b", "c")))
+    append, write = ingestion.append_results, []
+
+    def slow(rows, folder, form):
+        append(rows, folder, form)
+        if not write:
+            write.append(folder)
+            assert append_new_revisions(one, path, "parquet")
+
+    monkeypatch.setattr(ingestion, "append_results", slow)
+    assert append_new_revisions(other, path, "parquet")
+    assert sorted(r.git_revision for r in stored_results(spark, path, "parquet").collect()) == ["a", "b", "c"]

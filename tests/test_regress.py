@@ -1,11 +1,16 @@
 """Rules of the regression and comparison operators."""
 
+import collections
+import math
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitmill import report
+from hitmill.functions.normal import erfc
+from hitmill.functions.ranks import below
 from hitmill.operators import compare, regress
 from hitmill.plans.tables import results
 from hitmill.sources.results import RESULTS_SCHEMA
@@ -172,9 +177,6 @@ def test_report_periods(spark, small):
         marks = report.chart_markers(tables, period, as_of, **options)
         return {r.revision for r in points.collect()}, {r.tag for r in marks.collect()}
 
-    for filtered in (regress.only_releases_and_latest(points, east, latest), regress.exclude_releases(points, none)):
-        shown = [(r.series, r.time) for r in filtered.collect()]
-        assert len(shown) == 4 and shown == sorted(shown)
     late = datetime(2025, 3, 10, 15)
     both, tags = {"east", "west"}, {"release", "event"}
     assert shown("all", late) == (both, tags)
@@ -188,3 +190,83 @@ def test_report_periods(spark, small):
     assert [r.query_name for r in tables.ranking.collect()] == ["q0", "q1"]
     assert tables.queries.count() == 3
     assert tables.overall.first().total_measurements == 5
+
+
+def brute_test(a, b):
+    """The rank-sum test over all pairs, with the standard library's erfc."""
+    u = sum(1.0 if x < y else 0.5 if x == y else 0.0 for x in a for y in b)
+    n1, n2, n = len(a), len(b), len(a) + len(b)
+    ties = sum(c**3 - c for c in collections.Counter(a + b).values())
+    sigma = math.sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1))))
+    off = u - n1 * n2 / 2
+    z = math.copysign(max(abs(off) - 0.5, 0), off) / sigma if sigma else 0.0
+    return u, z, min(math.erfc(abs(z) / math.sqrt(2)), 1.0)
+
+
+def test_significance_equals_all_pairs(spark):
+    rng = random.Random(3)
+    times = {
+        "slow": ([rng.gauss(10, 1) for _ in range(40)], [rng.gauss(12, 1) for _ in range(35)]),
+        "fast": ([rng.gauss(10, 1) for _ in range(40)], [rng.gauss(8, 1) for _ in range(35)]),
+        "noisy": ([rng.gauss(10, 3) for _ in range(5)], [rng.gauss(10.5, 3) for _ in range(5)]),
+        "ties": ([float(rng.randrange(1, 5)) for _ in range(60)], [float(rng.randrange(1, 6)) for _ in range(60)]),
+        "equal": ([2.0] * 9, [2.0] * 7),
+        "single": ([1.0], [3.0]),
+        "zero": ([0.0, 0.0, 1.0], [0.0, 2.0, 2.0]),
+        "only base": ([1.0, 2.0], []),
+        "only candidate": ([], [1.0]),
+    }
+    rows = [("b", q, "query", t, "t", r, "t", 1) for q, sides in times.items() for r, ts in zip("xy", sides) for t in ts]
+    rows += [("b", "slow", "query", None, "t", "x", "t", 1), ("b", "slow", "table_creation", 99.0, "t", "x", "t", 1), ("b", "slow", "query", 1.0, "t", "z", "t", 1)]
+    got = {r.query_name: r for r in compare.significance(spark.createDataFrame(rows, RESULTS_SCHEMA).repartition(4), "x", "y").collect()}
+    assert set(got) == set(times)
+    for query, (a, b) in times.items():
+        r = got[query]
+        assert (r.base_runs, r.candidate_runs) == (len(a), len(b))
+        if not a or not b:
+            assert r.verdict == ("missing in candidate" if a else "missing in base") and r.p_value is None
+            continue
+        u, z, p = brute_test(a, b)
+        assert r.u == u and r.z == pytest.approx(z, abs=1e-12) and r.p_value == pytest.approx(p, rel=3e-7)
+        assert r.verdict == ("same" if p >= 0.05 else "slower" if z > 0 else "faster")
+    assert [got[q].verdict for q in ("slow", "fast", "equal", "single")] == ["slower", "faster", "same", "same"]
+    assert got["single"].detectable_ratio is None and got["equal"].detectable_ratio == 1.0
+    assert 1 < got["slow"].detectable_ratio < 1.2 < got["noisy"].detectable_ratio
+    assert compare.significance(spark.createDataFrame([], RESULTS_SCHEMA), "x", "y").count() == 0
+
+
+def test_detectable_ratio_is_detected(spark):
+    """Of runs slower by the stated ratio, about the stated share is told apart."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        rows += [("b", f"q{i}", "query", math.exp(rng.gauss(0, 0.1)), "t", "x", "t", 1) for _ in range(30)]
+        rows += [("b", f"q{i}", "query", 1.0789 * math.exp(rng.gauss(0, 0.1)), "t", "y", "t", 1) for _ in range(30)]
+    out = compare.significance(spark.createDataFrame(rows, RESULTS_SCHEMA), "x", "y").collect()
+    assert sum(r.detectable_ratio for r in out) / 300 == pytest.approx(1.0789, abs=0.004)
+    assert 0.7 < sum(r.verdict == "slower" for r in out) / 300 < 0.9
+
+
+def test_significance_spreads_a_hot_query(spark):
+    """The runs of one query are ranked by more than one task."""
+    rows = spark.range(40_000).select(
+        F.lit("b").alias("benchmark_name"), F.lit("hot").alias("query_name"), F.lit("query").alias("query_type"),
+        (1 + F.rand(5)).alias("execution_time"), F.lit("t").alias("run_timestamp"),
+        F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("git_revision"), F.lit("t").alias("git_revision_timestamp"), F.lit(1).alias("num_cores"),
+    )
+    counts = rows.groupBy("query_name", "execution_time").agg(F.count("*").alias("n"))
+    placed = below(counts, ["query_name"], "execution_time", "n", "smaller").withColumn("task", F.spark_partition_id())
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")
+    try:
+        sizes = [r["count"] for r in placed.groupBy("task").count().collect()]
+    finally:
+        spark.conf.unset(small)
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+    assert placed.agg(F.max("smaller")).first()[0] == 39_999
+
+
+def test_erfc_is_close(spark):
+    xs = [i / 50 for i in range(400)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("y")).collect()
+    assert all(r.y == pytest.approx(math.erfc(r.x), rel=1.5e-7) for r in got)

@@ -278,3 +278,42 @@ def test_published_rules(spark):
         ("lib-7-2", "micro", "compare-library"),
         ("lib-7-2", "micro", "compare-library"),
     ]
+
+
+def test_stream_batches_do_not_read_earlier_decisions(spark, tmp_path, monkeypatch):
+    """New comments and repeats need the state alone, whatever the number of earlier batches."""
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
+    users = spark.createDataFrame([("ann",)], "login string")
+    read, decided = [], streaming.decided
+    monkeypatch.setattr(streaming, "decided", lambda *args: read.append(args) or decided(*args))
+
+    def poll(rows):
+        comments(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = stream_comments(spark, folder)
+        streaming.route_batches(stream, out, checkpoint, RULES, lambda _: users).awaitTermination()
+
+    for i in range(6):
+        poll([{"id": 100 + j, "body": "run benchmarks"} for j in range(i + 1)])
+    assert not read
+    stored = decided(spark, out)
+    assert stored.count() == 6 and {r.disposition for r in stored.collect()} == {"schedule"}
+    poll([{"id": 100, "body": "run benchmarks", "updated_at": NOON + timedelta(minutes=1)}])
+    assert len(read) == 1
+    assert {(r.id, r.disposition) for r in streaming.dispositions(spark, out).collect()} == {(100, "duplicate"), *((101 + j, "schedule") for j in range(5))}
+
+
+def test_stream_state_keeps_the_newest_version(spark, tmp_path):
+    """Outdated versions do not come out again, nor do ties of the same time that came later."""
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
+    users = spark.createDataFrame([("ann",)], "login string")
+
+    def poll(rows):
+        comments(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        streaming.route_batches(stream_comments(spark, folder), out, checkpoint, RULES, lambda _: users).awaitTermination()
+
+    later = NOON + timedelta(hours=1)
+    poll([{"id": 1, "body": "run benchmarks", "updated_at": later}])
+    poll([{"id": 1, "body": "nothing"}, {"id": 2, "body": "nothing"}])
+    poll([{"id": 1, "body": "nothing at all", "updated_at": later}, {"id": 2, "body": "run benchmarks", "updated_at": later}])
+    got = sorted((r.id, r.disposition, r.batch) for r in streaming.decided(spark, out).collect())
+    assert got == [(1, "schedule", 0), (2, "none", 1), (2, "schedule", 2)]
