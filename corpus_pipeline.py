@@ -20,18 +20,22 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LINE_RATIO = 0.05
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """The columns of documents, others left out, and the text's ``hash``."""
+    return docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents without rejected ones; both have ``doc_id`` and the text's ``hash``."""
     gone = rejected.select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
-    marked = docs.withColumn("hash", F.xxhash64("text"))
-    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select(*COLUMNS)
+    return _hashed(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not score as toxic; the labels outside the held-out fold teach."""
     ship(prepare(spark))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~toxicity.held_out(F.col("doc_id")))
-    scored = toxicity.toxicity(docs.withColumn("hash", F.xxhash64("text")), labels, keep=("hash",))
+    scored = toxicity.toxicity(_hashed(docs), labels, keep=("hash",))
     return _without(docs, scored.where(F.col("score") >= toxicity.THRESHOLD))
 
 
@@ -47,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of documents linked by 0.8 Jaccard similarity of five-word shingles, the one
     of the smallest doc_id; documents without a word are groups of their own."""
     ship(prepare(spark))
+    docs = docs.select(*COLUMNS)
     groups = ngram_join.ngram_join(docs, 5, (4, 5))
     copies = groups.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     left = docs.select(*COLUMNS).join(copies, F.col("doc_id") == F.col("gone_id"), "left_anti")
@@ -60,7 +65,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship(prepare(spark))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.leaks(docs.withColumn("hash", F.xxhash64("text")), benchmark, keep=("doc_id", "hash")))
+    return _without(docs, decontaminate.leaks(_hashed(docs), benchmark, keep=("doc_id", "hash")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

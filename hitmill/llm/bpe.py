@@ -311,6 +311,15 @@ class Block:
         """The distinct pieces, by number, that every slice's texts are made of."""
         return self._all()[0]
 
+    def leave_out(self, unwanted: np.ndarray) -> None:
+        """Take the pieces of these numbers (a mark for each) out of all texts."""
+        numbers, _, _ = self._all()
+        for i, (own, counts) in enumerate(zip(numbers, self.counts)):
+            keep = ~unwanted[own]
+            sums = np.concatenate([[0], np.cumsum(keep)])
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            numbers[i], self.counts[i] = own[keep], np.diff(sums[ends])
+
     def distinct(self) -> list[bytes]:
         """The distinct pieces by number."""
         _, data, first = self._all()

@@ -1,11 +1,12 @@
 """License notices in texts, by an exact set-similarity join with license templates.
 
-A text block (a line) meets a template when it contains at least the wanted share of the
-template's distinct words. The words of all templates are ordered by the number of blocks
-that hold them, rarest first. With an overlap of c words needed, one of a template's first
-|T| - c + 1 words must be among a block's first |B| - c + 1 words; only blocks and templates
-that share such a word, are long enough, and can still reach c by the positions of that word,
-are compared. Everything is DataFrame functions.
+A text block is a stretch of words, half as long again as the template, that may cross the ends of
+lines but not blank ones. It meets a template when it contains at least the wanted
+share of the template's distinct words, and the words that the template may not miss. The words of
+all templates are ordered by the number of paragraphs that hold them, rarest first. With
+an overlap of c words needed, one of a template's first |T| - c + 1 words is in every block that
+meets it; blocks are opened around these words only, in paragraphs that are long enough, where c words
+can still stand around that position. Everything is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,20 +20,26 @@ PHRASES = {
     "apache-2": "apache license version 2",
     "cc-by-nc": "cc by nc",
 }
+# Label, wording, and words that may not be missing.
 TEMPLATES = [
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", "apache"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc nc"),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", "gnu 3"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "gnu lesser"),
+    ("mit", "Released under the MIT License", "mit"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla"),
 ]
 # Share of a template's words that a block must contain, as a fraction.
 CONTAINMENT = (4, 5)
 
+# A block has this many words for each of the template's, as a fraction.
+STRETCH = (3, 2)
+# Ends of paragraphs.
+BLANK = r"\n[ \t\r]*\n"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Signs between words, before A-Z became lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -52,45 +59,63 @@ def _needed(n: int, share: tuple[int, int]) -> int:
     return -(-share[0] * n // share[1])
 
 
-def template_hits(df: DataFrame, keys: list[str], text: str, templates: list[tuple[str, str]] = TEMPLATES, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
-    """Every block and template that meet: ``keys``, ``block`` (line number from 0), ``label``,
-    ``containment`` (share of the template's words in the block).
+def span(text: str) -> int:
+    """Words of a block for a template."""
+    return -(-STRETCH[0] * len("".join(c if c.isalnum() else " " for c in text.lower()).split()) // STRETCH[1])
+
 
-    The words of the templates are a constant of the program, so their frequencies over all
-    blocks are as many numbers, and the templates a table of that size. Null and empty texts
-    have no hits; repeated rows give repeated hits.
+def template_hits(df: DataFrame, keys: list[str], text: str, templates: list[tuple[str, str, str]] | DataFrame = TEMPLATES, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
+    """Every template that a block of a paragraph meets: ``keys``, ``paragraph`` (number from 0),
+    ``label``, ``containment`` (largest share of the template's words in a block).
+
+    ``templates``: rows of label, text (ASCII) and the words that may not be missing; a DataFrame
+    of them is read to the driver, as it is to stand in the plan. Null and empty texts have no
+    hits; repeated rows give repeated hits.
     """
     spark = df.sparkSession
-    wanted = [(label, template_words(t)) for label, t in templates]
-    vocabulary = sorted({x for _, tokens in wanted for x in tokens})
-    lines = df.select(*keys, F.posexplode(F.split(text, "\n", -1)).alias("block", "line"))
+    if isinstance(templates, DataFrame):
+        templates = [tuple(r) for r in templates.select("label", "text", "must").collect()]
+    wanted = [(label, template_words(t), template_words(must or ""), span(t)) for label, t, must in templates]
+    wanted = [x for x in wanted if x[1]]
+    vocabulary = sorted({x for _, tokens, _, _ in wanted for x in tokens})
+    reach = max((s for *_, s in wanted), default=1)
+    parts = df.select(*keys, F.posexplode(F.split(text, BLANK, -1)).alias("paragraph", "part"))
     # lower() finds all A-Z words and possibly a few more; those that pass are cut exactly.
-    rough = F.split(F.lower("line"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    counts = dict(lines.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), rough)).alias("w")).groupBy("w").count().collect())
-    ordered = sorted(vocabulary, key=lambda x: (counts.get(x, 0), x))
-    rank = {x: i for i, x in enumerate(ordered)}
+    rough = F.split(F.lower("part"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    names = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    counts = dict(parts.select(F.explode(F.array_intersect(names, rough)).alias("w")).groupBy("w").count().collect())
+    rank = {x: i for i, x in enumerate(sorted(vocabulary, key=lambda x: (counts.get(x, 0), x)))}
     prefixes = []
-    for number, (label, tokens) in enumerate(wanted):
+    for number, (label, tokens, must, size) in enumerate(wanted):
         tokens = sorted(tokens, key=rank.__getitem__)
         need = _needed(len(tokens), share)
-        prefixes += [(number, label, tokens, need, i, tokens[i]) for i in range(len(tokens) - need + 1)]
-    table = spark.createDataFrame(prefixes, "number int, label string, tokens array<string>, need int, i int, w string")
-    first = F.array(*(F.lit(x) for x in sorted({p[-1] for p in prefixes})))
-    some = lines.where(F.arrays_overlap(first, rough))
-    blocks = some.withColumn("words", F.array_intersect(F.array(*map(F.lit, ordered)), words(F.col("line"))))
-    least = min(p[3] for p in prefixes)
-    blocks = blocks.withColumn("n", F.size("words")).where(F.col("n") >= least)
-    probes = blocks.select(*keys, "block", "words", "n", F.posexplode(F.slice("words", 1, F.col("n") - least + 1)).alias("j", "w"))
-    size = F.size("tokens")
-    reach = F.least("i", "j") + 1 + F.least(size - F.col("i") - 1, F.col("n") - F.col("j") - 1)
-    found = probes.join(table, "w").where((F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")) & (reach >= F.col("need")))
-    # A pair may share several words of both prefixes; it counts at the first of them.
-    common = F.array_intersect("words", "tokens")
-    once = found.where((F.col("w") == common[0]) & (F.size(common) >= F.col("need")))
-    return once.select(*keys, "block", "label", (F.size(common) / size).alias("containment"))
-
-
-def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
+        prefixes += [(number, label, tokens, must, need, size, tokens[i]) for i in range(len(tokens) - need + 1)]
+    table = spark.createDataFrame(prefixes, "number int, label string, tokens array<string>, must array<string>, need int, size int, w string")
+    starts = sorted({p[-1] for p in prefixes})
+    first = F.array(*map(F.lit, starts)) if starts else F.array().cast("array<string>")
+    some = parts.where(F.arrays_overlap(first, rough)).withColumn("words", words(F.col("part")))
+    least = min((p[4] for p in prefixes), default=1)
+    some = some.where(F.size("words") >= least)
+    # The words around each word of a prefix, as far as a block reaches, and where it stands in them.
+    around = F.transform(
+        "words",
+        lambda x, i: F.when(
+            F.array_contains(first, x),
+            F.struct(x.alias("w"), F.least(i, F.lit(reach - 1)).alias("at"), F.slice("words", F.greatest(i - (reach - 2), F.lit(1)), F.least(i, F.lit(reach - 1)) + reach).alias("near")),
+        ),
+    )
+    anchors = some.select(*keys, "paragraph", F.explode(F.array_compact(around)).alias("a")).select(*keys, "paragraph", "a.*")
+    before, after = F.least("at", F.col("size") - 1), F.least(F.size("near") - F.col("at") - 1, F.col("size") - 1)
+    found = anchors.join(table, "w").where(before + after + 1 >= F.col("need"))
+    own = F.expr("slice(near, at - least(at, size - 1) + 1, least(at, size - 1) + size)")
+    found = found.where(F.size(F.array_intersect("tokens", own)) >= F.col("need"))
+    held = F.transform(F.sequence(F.lit(1), before + 1), lambda k: F.array_intersect("tokens", F.slice(own, k, F.col("size"))))
+    good = F.filter(held, lambda block: (F.size(block) >= F.col("need")) & (F.size(F.array_except("must", block)) == 0))
+    met = found.withColumn("most", F.array_max(F.transform(good, lambda block: F.size(block)))).where(F.col("most").isNotNull())
+    return met.groupBy(*keys, "paragraph", "label").agg(F.max(F.col("most") / F.size("tokens")).alias("containment"))
+
+
+def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: list[tuple[str, str, str]] | DataFrame = TEMPLATES, share: tuple[int, int] = CONTAINMENT) -> DataFrame:
     """License phrases and notices of every text.
 
     Returns a row per row of ``df``: ``doc_id``, ``n_words``, ``n_base`` (places of all

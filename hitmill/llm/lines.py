@@ -9,8 +9,6 @@ from hitmill.llm.scratch import stage
 
 # Lines on more than this share of a host's pages are boilerplate.
 RATIO = 0.1
-# Hosts with fewer pages say little about their lines.
-LEAST_PAGES = 10
 
 # Parts of HTML that are not shown, and tags that end a line.
 HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
@@ -33,12 +31,12 @@ def _bare(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies_once: bool = False) -> DataFrame:
+def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATIO, copies_once: bool = False) -> DataFrame:
     """Replace ``text`` by its lines that are not boilerplate of the row's ``site``.
 
     For every line, the pages of a site that contain it are divided by the site's pages;
-    lines above ``ratio`` on sites of ``least_pages`` pages or more are dropped wherever they
-    stand, and all other lines stay as they are, in order. Spaces, tabs and carriage returns
+    lines above ``ratio`` that stand on two pages or more are dropped wherever they
+    stand, and all other lines stay as they are, in order. The rule is the same for sites of any size. Spaces, tabs and carriage returns
     at a line's ends do not tell lines apart, and lines of nothing else stay.
 
     Rows, repeated ones included, are pages of their own and all come back, with all columns.
@@ -62,7 +60,7 @@ def drop_boilerplate(df: DataFrame, site: Column, text: str, ratio: float = RATI
     if copies_once:
         pages = pages.groupBy("site", "hash").agg(F.first("lines").alias("lines"))
     counts = pages.select("site", F.explode("lines").alias("line")).where(F.col("line").isNotNull()).groupBy("site", "line").agg(F.count("*").alias("n"))
-    totals = pages.groupBy("site").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    totals = pages.groupBy("site").agg(F.count("*").alias("pages"))
     often = counts.where(F.col("n") > 1).join(totals, "site").where(F.col("n") > ratio * F.col("pages"))
     boilerplate, _ = stage(often.groupBy("site").agg(F.collect_set("line").alias("boilerplate")), "boilerplate")
     joined = rows.join(boilerplate, "site", "left")

@@ -1,9 +1,10 @@
 """Quality rules: simple text counts, and how well public vocabularies fit a text.
 
 Three measures come from tokenizers: characters per token and the entropy of the tokens
-(byte-level BPE), and the share of byte-fallback tokens (piece BPE). Texts outside the
-band of their language, or of their script where the language is not given, are rejected.
-Bands come from counts over all documents.
+(byte-level BPE), and the share of byte-fallback tokens (piece BPE), all without white space
+between words. Texts outside the band of their language and script are rejected. Bands come from
+counts over all documents. Where documents are few, those of the same script, and at last all
+documents, count beside them with a small fixed weight.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 # A band reaches this many interquartile ranges beyond the quartiles.
 REACH = 3.0
-# A language has bands of its own, by size of text, from this many documents on.
-LEAST_DOCUMENTS = 50
+# All documents of the script weigh as much as this many in the band of a language, and all
+# documents as much in that of a script.
+PRIOR_DOCUMENTS = 10
+# Weights are counted in steps of one to this many.
+_PARTS = 1000
 # Texts of fewer tokens than each bound form a size class; entropy depends on size.
 SIZE_BOUNDS = (128, 256, 512, 1024, 4096)
 MEASURES = ("chars_per_token", "byte_share", "entropy")
@@ -139,22 +143,26 @@ def entropies(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _measure(ranks_path: str, model_path: str, names: list[str]):
     def look(rows: pa.RecordBatch, block: w.Texts) -> tuple:
-        lang = rows.column("lang").to_pylist()
-        raw, at = block.data, block.offsets
-        keys = [f"lang:{x}" if x is not None else f"script:{script(raw[at[i] : at[i + 1]].tobytes())}" for i, x in enumerate(lang)]
-        return base_counts(block), keys, _per_text((block.data & 0xC0) != 0x80, block.offsets)
+        raw, at = block.data.tobytes(), block.offsets.tolist()
+        scripts = [script(raw[a:b]) for a, b in zip(at, at[1:])]
+        keys = [f"script:{own}" if x is None else f"lang:{x}" for x, own in zip(rows.column("lang").to_pylist(), scripts)]
+        return base_counts(block), keys, scripts
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = bpe.Vocabulary.from_ranks(ranks_path)
         for block in bpe.blocks(batches, "text", each=look):
-            tokens, fallback = piece_counts(block.distinct(), model_path)
+            distinct = block.distinct()
+            tokens, fallback = piece_counts(distinct, model_path)
+            blank = np.array([x.isspace() for x in (p.decode() for p in distinct)], bool)
+            chars = np.array([len(p) for p in (p.decode() for p in distinct)], np.int64)
+            block.leave_out(blank)
             coded = block.texts(*block.encode(vocabulary))
-            for (rows, ids, first), numbers, counts, (base, keys, chars) in zip(coded, block.numbers, block.counts, block.seen):
+            for (rows, ids, first), numbers, counts, (base, keys, scripts) in zip(coded, block.numbers, block.counts, block.seen):
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 n = np.diff(first)
                 share = _per_text(fallback[numbers], ends) / np.maximum(_per_text(tokens[numbers], ends), 1)
-                columns = [rows.column("doc_id"), *(pa.array(base[c]) for c in COUNTS), pa.array(keys), pa.array(n)]
-                columns += [pa.array(chars / np.maximum(n, 1)), pa.array(share), pa.array(entropies(ids, first))]
+                columns = [rows.column("doc_id"), *(pa.array(base[c]) for c in COUNTS), pa.array(keys, pa.string()), pa.array(scripts, pa.string()), pa.array(n)]
+                columns += [pa.array(_per_text(chars[numbers], ends) / np.maximum(n, 1)), pa.array(share), pa.array(entropies(ids, first))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -171,18 +179,22 @@ def quality(df: DataFrame, ranks_path: str, model_path: str, doc_id: str = "doc_
     ``kept`` (not failed, and all measures inside the bands).
 
     A null text counts as empty: zeros, measures 0, failed. Null doc_ids and repeated rows stay.
-    With a null language (or ``lang=None``) the text's script names the band. Bands of characters
-    per token and byte-fallback share hold for a language, those of entropy for a language and
-    size class (longer texts have more), if LEAST_DOCUMENTS documents or more passed the simple
-    rules there; else those of all languages together hold, if so many passed; else none. Edges are
-    exact quartiles of values counted in STEPS, widened by REACH interquartile ranges and at
-    least by five steps. Ties and order of rows change nothing. Other columns are not read.
+    With a null language (or ``lang=None``) the text's script names the band. The measures leave out
+    white space that stands apart from words, so blank lines change nothing.
+
+    Edges are exact quartiles of values counted in STEPS, widened by REACH interquartile ranges
+    and at least by five steps, over the documents that passed the simple rules: those of the
+    text's band and script (the most frequent one of its characters); beside them, with the weight of
+    PRIOR_DOCUMENTS documents, those of the script, and beside these in the same way all.
+    Entropy, which grows with the text, has bands by size class as well. The rule is the
+    same for any number of documents. Ties and order of rows change nothing. Other columns are not read.
     """
-    names = ["doc_id", *COUNTS, "band", "n_tokens", *MEASURES]
+    names = ["doc_id", *COUNTS, "band", "script", "n_tokens", *MEASURES]
     schema = t.StructType(
         [t.StructField("doc_id", df.schema[doc_id].dataType)]
         + [t.StructField(c, t.LongType()) for c in COUNTS]
-        + [t.StructField("band", t.StringType()), t.StructField("n_tokens", t.LongType())]
+        + [t.StructField(c, t.StringType()) for c in ("band", "script")]
+        + [t.StructField("n_tokens", t.LongType())]
         + [t.StructField(c, t.DoubleType()) for c in MEASURES]
     )
     named = F.lit(None).cast("string") if lang is None else df[lang].cast("string")
@@ -191,20 +203,36 @@ def quality(df: DataFrame, ranks_path: str, model_path: str, doc_id: str = "doc_
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured, _ = stage(source.mapInArrow(_measure(ranks_path, model_path, names), schema).withColumns({"base_failed": failed, "size": size}), "measured")
 
-    def edges(keys: list[str], measures: tuple[str, ...], mark: str) -> DataFrame:
-        out = counted.where(F.col("m").isin(*measures)).groupBy(*keys).agg(F.sum("n").alias("n"), *(F.expr(f"percentile(v, array(0.25D, 0.75D), IF(m = '{m}', n, 0L))").alias(m) for m in measures))
-        out = out.where(F.col("n") >= LEAST_DOCUMENTS * len(measures))
-        spread = {m: F.greatest(REACH * (F.col(m)[1] - F.col(m)[0]), F.lit(5 * STEPS[m])) for m in measures}
-        return out.select(*keys, F.struct(*(F.struct((F.col(m)[0] - spread[m]).alias("low"), (F.col(m)[1] + spread[m]).alias("high")).alias(m) for m in measures)).alias(mark))
-
-    steps = F.array(*(F.struct(F.lit(m).alias("m"), (F.round(F.col(m) / STEPS[m]) * STEPS[m]).alias("v")) for m in MEASURES))
-    good = measured.where(~F.col("base_failed")).select("band", "size", F.explode(steps).alias("x")).groupBy("band", "size", "x.m", "x.v").agg(F.count("*").alias("n"))
-    counted, _ = stage(good, "measure-counts")
-    by_language, by_size = ("chars_per_token", "byte_share"), ("entropy",)
-    # One row: the bands of all languages together.
-    every = edges([], by_language, "every").withColumn("one", F.lit(1))
-    bands = measured.withColumn("one", F.lit(1)).join(edges(["band"], by_language, "own"), "band", "left").join(every, "one", "left")
-    bands = bands.join(edges(["band", "size"], by_size, "own_size"), ["band", "size"], "left").join(edges(["size"], by_size, "every_size"), "size", "left")
-    holds = {m: F.coalesce("own", "every")[m] for m in by_language} | {m: F.coalesce("own_size", "every_size")[m] for m in by_size}
-    inside = [F.coalesce(F.col(m).between(holds[m]["low"], holds[m]["high"]), F.lit(True)) for m in MEASURES]
-    return bands.select(*names, "base_failed", (~F.col("base_failed") & inside[0] & inside[1] & inside[2]).alias("kept"))
+    # Entropy has bands by size class; to the other measures all sizes are one class.
+    steps = F.array(*(F.struct(F.lit(m).alias("m"), (F.col("size") if m == "entropy" else F.lit(0)).alias("class"), (F.round(F.col(m) / STEPS[m]) * STEPS[m]).alias("v")) for m in MEASURES))
+    passed = measured.where(~F.col("base_failed")).select("band", "script", F.explode(steps).alias("x"))
+    counted, _ = stage(passed.groupBy("band", "script", "x.m", "x.class", "x.v").agg(F.count("*").alias("n")), "measure-counts")
+    step = F.create_map(*(F.lit(x) for m in MEASURES for x in (m, STEPS[m])))[F.col("m")]
+
+    def mixed(own: DataFrame, wider: DataFrame, by: list[str], on: list[str]) -> DataFrame:
+        """Values with weights: documents of ``own``, and all of ``wider`` as PRIOR_DOCUMENTS more."""
+        total = wider.groupBy(*on).agg(F.sum("weight").alias("total"))
+        prior = own.select(*by).distinct().join(wider.join(total, on), on)
+        prior = prior.select(*by, "v", (F.col("weight") * PRIOR_DOCUMENTS / F.col("total")).alias("weight"))
+        return own.select(*by, "v", "weight").unionByName(prior).groupBy(*by, "v").agg(F.sum("weight").alias("weight"))
+
+    kind = ["m", "class"]
+
+    def weighed(keys: list[str]) -> DataFrame:
+        return counted.groupBy(*keys, *kind, "v").agg(F.sum("n").cast("double").alias("weight"))
+
+    by_script = mixed(weighed(["script"]), weighed([]), ["script", *kind], kind)
+    by_band = mixed(weighed(["band", "script"]), by_script, ["band", "script", *kind], ["script", *kind])
+    parts = by_band.withColumn("parts", F.ceil(F.col("weight") * _PARTS).cast("long"))
+    quartiles = parts.groupBy("band", "script", *kind).agg(F.expr("percentile(v, array(0.25D, 0.75D), parts)").alias("q"))
+    reach = F.greatest(REACH * (F.col("q")[1] - F.col("q")[0]), 5 * step)
+    edges = quartiles.select("band", "script", *kind, F.struct((F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high")).alias("edges"))
+    limits = edges.groupBy("band", "script", "class").agg(*(F.max(F.when(F.col("m") == m, F.col("edges"))).alias(f"{m}_band") for m in MEASURES))
+    # Languages times scripts times size classes: as many rows as there are kinds of text.
+    limits, _ = stage(limits, "bands")
+    entropy = limits.select("band", "script", F.col("class").alias("size"), "entropy_band").where("entropy_band IS NOT NULL")
+    others = limits.where("class = 0").select("band", "script", "chars_per_token_band", "byte_share_band")
+    judged = measured.join(others, ["band", "script"], "left").join(entropy, ["band", "script", "size"], "left")
+    # A text that passed the simple rules counts itself, so it has all three bands.
+    inside = [F.col(m).between(F.col(f"{m}_band.low"), F.col(f"{m}_band.high")) for m in MEASURES]
+    return judged.select(*names, "base_failed", F.coalesce(~F.col("base_failed") & inside[0] & inside[1] & inside[2], F.lit(False)).alias("kept"))

@@ -64,12 +64,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     one, two = paths
     first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(first, "digest").where("doc_id > first")
+    first = first.withColumnRenamed("digest", "same")
+    # Null texts are copies of each other.
+    pairs = counted.join(first, F.col("digest").eqNullSafe(F.col("same")))
+    copies, kept = pairs.where("doc_id > first"), pairs.where("doc_id = first")
     totals = token_counts.TokenTotals(spark, new_path(spark, "token-totals"))
     totals.commit("load-1", changes("insert", one))
     totals.commit("load-2", changes("insert", two))
     totals.commit("copies", changes("delete", one, copies).unionByName(changes("delete", two, copies)))
-    kept = counted.join(first, "digest").where("doc_id = first")
     totals.commit("end-token", changes("revise", two, kept, 1))
     totals.commit("load-2", changes("insert", two))
     totals.commit("end-token", changes("revise", two, kept, 1))

@@ -43,7 +43,7 @@ WITH pages_text AS MATERIALIZED (
 ), boilerplate AS (
     SELECT host, list(l) AS dropped FROM (
         SELECT host, l, count(*) AS n FROM line WHERE l <> '' GROUP BY host, l
-    ) JOIN totals USING (host) WHERE n > 1 AND pages >= {lines.LEAST_PAGES} AND n > {lines.RATIO} * pages GROUP BY host
+    ) JOIN totals USING (host) WHERE n > 1 AND n > {lines.RATIO} * pages GROUP BY host
 ), cut AS (
     SELECT page_id, p.host, string_split(text, chr(10)) AS every, coalesce(dropped, []) AS dropped
     FROM pages_text p LEFT JOIN boilerplate b ON p.host = b.host
@@ -54,7 +54,9 @@ SELECT page_id, host, len(every)::BIGINT AS n_lines, greatest(len(rest), 1)::BIG
 """
 
 _PHRASES = ", ".join(f"('{label}', {phrase.split()})" for label, phrase in licenses.PHRASES.items())
-_TEMPLATES = ", ".join(f"('{label}', {licenses.template_words(text)})" for label, text in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(
+    f"('{label}', {licenses.template_words(text)}, {licenses.template_words(must)}, {licenses.span(text)})" for label, text, must in licenses.TEMPLATES
+)
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 LICENSES = rf"""
@@ -69,12 +71,19 @@ WITH docs AS MATERIALIZED (
     )
 ), base AS (
     SELECT r, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list(DISTINCT label) AS labels FROM place GROUP BY r
-), blocks AS MATERIALIZED (
-    SELECT r, list_distinct({_WORDS.format("l")}) AS w FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM docs)
+), paragraphs AS MATERIALIZED (
+    SELECT r, {_WORDS.format("l")} AS w FROM (SELECT r, unnest(string_split_regex(t, '{licenses.BLANK}')) AS l FROM docs)
+), blocks AS (
+    -- Every stretch of the template's length that begins at one of its words.
+    SELECT r, label, p, must, len(list_intersect(w[i : i + size - 1], p)) AS held, len(list_intersect(w[i : i + size - 1], must)) AS kept
+    FROM (
+        SELECT r, w, label, p, must, size, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(p, w[i]))) AS i
+        FROM paragraphs, (VALUES {_TEMPLATES}) v(label, p, must, size)
+        WHERE {licenses.CONTAINMENT[1]} * len(list_intersect(w, p)) >= {licenses.CONTAINMENT[0]} * len(p)
+    )
 ), met AS (
-    SELECT r, list(DISTINCT label) AS labels, max(len(list_intersect(w, p)) / len(p)) AS c
-    FROM blocks, (VALUES {_TEMPLATES}) v(label, p)
-    WHERE {licenses.CONTAINMENT[1]} * len(list_intersect(w, p)) >= {licenses.CONTAINMENT[0]} * len(p) GROUP BY r
+    SELECT r, list(DISTINCT label) AS labels, max(held / len(p)) AS c
+    FROM blocks WHERE {licenses.CONTAINMENT[1]} * held >= {licenses.CONTAINMENT[0]} * len(p) AND kept = len(must) GROUP BY r
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
     array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,

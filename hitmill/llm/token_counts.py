@@ -6,6 +6,10 @@ becomes signed rows, minus the old count and plus the new one, and their sums by
 source, language and tokenizer are the batch's delta. Totals are the sum of all deltas. Delta and
 ledger entries of a batch are written to a folder that one rename publishes; a batch that was
 published before changes nothing.
+
+Entries are sorted by document, so that a batch reads of the ledger what lies between its
+own first and last document. Every so many batches all folders are merged into one, so the
+number of files and the entries that newer ones replaced stay small.
 """
 
 from __future__ import annotations
@@ -23,7 +27,11 @@ from hitmill.llm import bpe
 
 GROUP = ("source", "lang", "tokenizer")
 _CHANGES = "doc_id long, tokenizer string, source string, lang string, n_tokens long, present boolean"
+_ENTRIES = f"{_CHANGES}, number int"
 _DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_IDS = "number int, id string"
+# Folders of batches from which they are merged.
+MERGE_AT = 16
 
 
 def count_tokens(df: DataFrame, paths: dict[str, str], keep: tuple[str, ...], text: str = "text") -> DataFrame:
@@ -47,6 +55,10 @@ def count_tokens(df: DataFrame, paths: dict[str, str], keep: tuple[str, ...], te
     return picked.mapInArrow(run, schema).toDF(*keep, *paths)
 
 
+def _by_document(entries: DataFrame) -> DataFrame:
+    return entries.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tokenizer")
+
+
 class TokenTotals:
     """Totals by source, language and tokenizer in a folder; one writer at a time."""
 
@@ -55,29 +67,67 @@ class TokenTotals:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._files = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _published(self) -> list[str]:
-        """Folders of the published batches, in order."""
+    def _folders(self) -> list[tuple[int, int, str]]:
+        """First and last batch and name of the published folders that no merged one covers, in order."""
         if not self._files.exists(self._path(self.path)):
             return []
         names = [f.getPath().getName() for f in self._files.listStatus(self._path(self.path))]
-        return sorted(n for n in names if re.match(r"\d{8}-", n))
+        single = [(int(n[:8]), int(n[:8]), n) for n in names if re.match(r"\d{8}-", n)]
+        merged = [(int(n[7:15]), int(n[16:24]), n) for n in names if re.fullmatch(r"merged-\d{8}-\d{8}", n)]
+        last = max(merged, key=lambda x: x[1], default=None)
+        return ([last] if last else []) + sorted(x for x in single if not last or x[0] > last[1])
+
+    def _ids(self) -> dict[str, int]:
+        """Numbers of the published batches by id."""
+        out = {}
+        for low, high, name in self._folders():
+            if name.startswith("merged-"):
+                out |= {r.id: r.number for r in self.spark.read.schema(_IDS).parquet(f"{self.path}/{name}/ids").collect()}
+            else:
+                out[name[9:]] = low
+        return out
 
     def batches(self) -> list[str]:
         """Ids of the published batches, in order."""
-        return [n[9:] for n in self._published()]
+        ids = self._ids()
+        return sorted(ids, key=ids.__getitem__)
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        frames = [self.spark.read.schema(schema).parquet(f"{self.path}/{n}/{kind}").withColumn("number", F.lit(int(n[:8]))) for n in self._published()]
-        out = self.spark.createDataFrame([], f"{schema}, number int")
-        for frame in frames:
-            out = out.unionByName(frame)
-        return out
+        paths = [f"{self.path}/{name}/{kind}" for _, _, name in self._folders()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _newest(self, entries: DataFrame) -> DataFrame:
+        entry = F.struct("source", "lang", "n_tokens", "present", "number")
+        return entries.groupBy("doc_id", "tokenizer").agg(F.max_by(entry, "number").alias("e")).where("e.present")
 
     def ledger(self) -> DataFrame:
         """What every document counts for now: the newest entry of each doc_id and tokenizer."""
-        entry = F.struct("source", "lang", "n_tokens", "present")
-        newest = self._read("changes", _CHANGES).groupBy("doc_id", "tokenizer").agg(F.max_by(entry, "number").alias("e"))
-        return newest.where("e.present").select("doc_id", "tokenizer", "e.source", "e.lang", "e.n_tokens")
+        return self._newest(self._read("changes", _ENTRIES)).select("doc_id", "tokenizer", "e.source", "e.lang", "e.n_tokens")
+
+    def merge(self) -> None:
+        """Put all published folders into one, without entries that newer ones replaced.
+
+        One rename publishes it; the folders it covers stay until ``vacuum``, for readers that began before.
+        """
+        folders = self._folders()
+        if len(folders) < 2:
+            return
+        last = folders[-1][1]
+        folder = f"{self.path}/_writing-merged"
+        self._files.delete(self._path(folder), True)
+        newest = self._newest(self._read("changes", _ENTRIES)).select("doc_id", "tokenizer", "e.*")
+        _by_document(newest.select(*(f.split()[0] for f in _ENTRIES.split(", ")))).write.parquet(f"{folder}/changes")
+        self.totals().write.parquet(f"{folder}/delta")
+        self.spark.createDataFrame([(n, i) for i, n in self._ids().items()], _IDS).coalesce(1).write.parquet(f"{folder}/ids")
+        if not self._files.rename(self._path(folder), self._path(f"{self.path}/merged-{1:08d}-{last:08d}")):
+            raise RuntimeError("merged batches could not be published")
+
+    def vacuum(self) -> None:
+        """Remove the folders that a merged one covers."""
+        live = {name for _, _, name in self._folders()}
+        for status in self._files.listStatus(self._path(self.path)):
+            if status.getPath().getName() not in live:
+                self._files.delete(status.getPath(), True)
 
     def totals(self) -> DataFrame:
         """``n_docs`` and ``n_tokens`` (long) of every source, language and tokenizer that has documents."""
@@ -98,10 +148,12 @@ class TokenTotals:
         """
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch_id):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        published = self._published()
-        if batch_id in (n[9:] for n in published):
+        if batch_id in self._ids():
             return False
-        number = int(published[-1][:8]) + 1 if published else 1
+        if len(self._folders()) >= MERGE_AT:
+            self.merge()
+        folders = self._folders()
+        number = folders[-1][1] + 1 if folders else 1
         folder = f"{self.path}/_writing-{batch_id}"
         self._files.delete(self._path(folder), True)
 
@@ -110,20 +162,25 @@ class TokenTotals:
         # A maximum of sortable values combines before the shuffle; a null sorts below all.
         pick = F.struct((F.col("op") == "delete").alias("gone"), "n_tokens", "source", "lang")
         new = rows.groupBy("doc_id", "tokenizer").agg(F.max(pick).alias("c")).select("doc_id", "tokenizer", F.col("c.source").alias("source"), F.col("c.lang").alias("lang"), F.col("c.n_tokens").alias("n_tokens"), (~F.col("c.gone")).alias("present"))
-        old = self.ledger().select("doc_id", "tokenizer", F.struct("source", "lang", "n_tokens").alias("old"))
+        new.write.parquet(f"{folder}/new")
+        new = self.spark.read.schema(new.schema).parquet(f"{folder}/new")
+        low, high = new.agg(F.min("doc_id"), F.max("doc_id")).first()
+        entries = self._read("changes", _ENTRIES).where(F.lit(False) if low is None else F.col("doc_id").between(low, high))
+        old = self._newest(entries).select("doc_id", "tokenizer", F.struct("e.source", "e.lang", "e.n_tokens").alias("old"))
         both = new.join(old, ["doc_id", "tokenizer"], "left")
         same = F.col("old").isNotNull() & F.col("present") & F.col("old").eqNullSafe(F.struct("source", "lang", "n_tokens"))
         changed = both.where(~same & (F.col("present") | F.col("old").isNotNull()))
         changed.write.parquet(f"{folder}/both")
         changed = self.spark.read.schema(changed.schema).parquet(f"{folder}/both")
         plain = changed.select("doc_id", "tokenizer", "source", "lang", "n_tokens", "present")
-        plain.write.parquet(f"{folder}/changes")
+        _by_document(plain.withColumn("number", F.lit(number))).write.parquet(f"{folder}/changes")
         signed = plain.where("present").select(*GROUP, F.lit(1).alias("sign"), "n_tokens").unionByName(
             changed.where("old IS NOT NULL").select("old.source", "old.lang", "tokenizer", F.lit(-1).alias("sign"), "old.n_tokens")
         )
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         delta.where("n_docs <> 0 OR n_tokens <> 0").write.parquet(f"{folder}/delta")
-        self._files.delete(self._path(f"{folder}/both"), True)
+        for done in ("new", "both"):
+            self._files.delete(self._path(f"{folder}/{done}"), True)
         # The rename publishes the batch; before it, readers see nothing of it.
         if not self._files.rename(self._path(folder), self._path(f"{self.path}/{number:08d}-{batch_id}")):
             raise RuntimeError(f"batch {batch_id} could not be published")

@@ -63,6 +63,9 @@ def rank_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # Bytes of text whose distinct pieces are encoded together; a file's block.
 BLOCK_BYTES = 32 << 20
 
+# Pieces whose ids a worker keeps for its next blocks and tasks.
+KEPT_PIECES = 300_000
+
 # First bytes of the UTF-8 of white space beyond ASCII.
 _WIDE_SPACE = {0xC2, 0xE1, 0xE2, 0xE3}
 
@@ -90,7 +93,35 @@ def added_tokens(path: str) -> tuple[bytes, ...]:
     return tuple(t.content.encode() for t in tokens)
 
 
+@lru_cache(maxsize=2)
+def _kept(path: str, added: bool) -> tuple[dict[bytes, int], list[np.ndarray], list[np.ndarray]]:
+    """Pieces that this worker has encoded, by number; their ids, and how many each has."""
+    return {}, [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+
 def encode_pieces(pieces: list[bytes], path: str, added: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each distinct piece by the tokenizers library, and each piece's first id.
+
+    Frequent pieces stand in block after block; the first KEPT_PIECES of a worker are encoded once.
+    """
+    number, ids, sizes = _kept(path, added)
+    at = np.fromiter((number.get(p, -1) for p in pieces), np.int64, len(pieces))
+    new = np.flatnonzero(at < 0)
+    found, first = _encode([pieces[i] for i in new.tolist()], path, added)
+    size = np.diff(first)
+    # Kept ids and new ones side by side.
+    every, lengths = np.concatenate([*ids, found]), np.concatenate([*sizes, size])
+    at[new] = len(number) + np.arange(len(new))
+    room = min(KEPT_PIECES - len(number), len(new))
+    if room > 0:
+        number.update(zip((pieces[i] for i in new[:room].tolist()), range(len(number), len(number) + room)))
+        ids[:] = [every[: int(lengths[: len(number)].sum())]]
+        sizes[:] = [lengths[: len(number)]]
+    begins = np.cumsum(lengths) - lengths
+    return bpe.gather(every, begins[at], lengths[at]), np.concatenate([[0], np.cumsum(lengths[at])])
+
+
+def _encode(pieces: list[bytes], path: str, added: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each piece by the tokenizers library, and each piece's first id.
 
     Pieces that begin with a space and go on with other signs are encoded many in a row:

@@ -96,28 +96,20 @@ def _matches(block: w.Texts, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return w.distinct(at[hit].astype(np.uint64), of[hit], len(block))
 
 
-def _counts(known: np.ndarray | None):
-    """Texts by feature and label, summed within the task; ``known``: of these features only."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        labels: list[np.ndarray] = []
-        for rows, block in w.slices(batches, "text"):
-            toxic = np.asarray(rows.column("toxic")).astype(bool)
-            if known is None:
-                values, first = _marks(block, None)
-            else:
-                values, first = _matches(block, known)
-                values = known[values.astype(np.int64)]
-            found.append(values)
-            labels.append(np.repeat(toxic, np.diff(first)))
-            if sum(map(len, found)) > 2_000_000:
-                yield _summed(found, labels)
-                found, labels = [], []
-        if found:
+def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by mark and label, summed within the task."""
+    found: list[np.ndarray] = []
+    labels: list[np.ndarray] = []
+    for rows, block in w.slices(batches, "text"):
+        toxic = np.asarray(rows.column("toxic")).astype(bool)
+        values, first = _marks(block, None)
+        found.append(values)
+        labels.append(np.repeat(toxic, np.diff(first)))
+        if sum(map(len, found)) > 2_000_000:
             yield _summed(found, labels)
-
-    return run
+            found, labels = [], []
+    if found:
+        yield _summed(found, labels)
 
 
 def _summed(found: list[np.ndarray], labels: list[np.ndarray]) -> pa.RecordBatch:
@@ -252,7 +244,8 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Toxicity scores of all texts.
 
     ``labels`` are the rows that may teach (doc_id and a 0/1 label); at most ``sample_rows``
-    of them, those with the smallest hashes of their ids, are used. Conflicting labels of an id
+    of them, those with the smallest hashes of their ids, are used. From the marks of these texts
+    the model takes FEATURES (those that tell the labels apart best), and VOTERS of them vote. Conflicting labels of an id
     count as toxic; rows with a null id or label teach nothing; without toxic ones all scores
     are 0. Returns a row per row of ``df``: ``doc_id``, the columns ``keep``, and ``score``
     (0 to 1). A null or empty text scores as one without any feature; null doc_ids and repeated
@@ -264,23 +257,18 @@ def toxicity(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # At most sample_rows ids of 16 bytes.
     sample, sample_path = stage(source.join(F.broadcast(taught), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text"), "sample")
 
-    kind = "f long, toxic long, clean long"
-    several = sample.where("toxic = 1").mapInArrow(_counts(None), kind).groupBy("f").agg(F.sum("toxic").alias("toxic"))
     n_toxic, n_clean = (x or 0 for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
-    # A text has so many features that at most (features per text) / share of them are this common.
-    candidates = several.where(F.col("toxic") >= max(2, int(0.005 * n_toxic))).orderBy(F.desc("toxic"), "f").limit(100_000)
-    known = np.sort(np.array([r[0] for r in candidates.select("f").collect()], np.int64).view(np.uint64))
-    if not len(known):
+    counted = sample.mapInArrow(_counts, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    often = counted.where(F.col("toxic") >= max(2, int(0.005 * n_toxic)))
+    told = F.abs(F.ln((F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))))
+    best = often.orderBy(F.desc(told * F.sqrt(F.col("toxic") + F.col("clean"))), "f").limit(FEATURES).collect()
+    if not best:
         drop(df.sparkSession, taught_path, sample_path)
         return source.select("doc_id", *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.lit(0.0).alias("score"))
-    counted = sample.mapInArrow(_counts(known), kind).groupBy("f").agg(F.sum("toxic"), F.sum("clean")).collect()
-    f = np.array([r[0] for r in counted], np.int64).view(np.uint64)
-    toxic, clean = (np.array([r[i] for r in counted], float) for i in (1, 2))
+    f = np.array([r.f for r in best], np.int64).view(np.uint64)
+    order = np.argsort(f)
+    f, toxic, clean = f[order], np.array([r.toxic for r in best], float)[order], np.array([r.clean for r in best], float)[order]
     rate, other = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
-    pull = np.abs(np.log(rate / other)) * np.sqrt(toxic + clean)
-    best = np.lexsort((f, -pull))[:FEATURES]
-    order = best[np.argsort(f[best])]
-    f, rate, other, toxic, clean = f[order], rate[order], other[order], toxic[order], clean[order]
     rows, columns, labelled = [], [], []
     own = sample.select("toxic", "text").mapInArrow(_marked(f, ["toxic", "marks"]), "toxic int, marks array<int>")
     for i, (label_of, marks) in enumerate(own.collect()):

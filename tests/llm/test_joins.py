@@ -44,6 +44,7 @@ def test_ngram_join_equals_brute_force(rows, size, similarity, monkeypatch):
         data += [" ".join(edited(base, rng.choice([0, 0, 0.005, 0.02, 0.04, 0.2]), rng)) for _ in range(25)]
     data += ["", " \n", "one", "one", "one two", "ONE Two", "a b c", "tie tie tie tie tie"]
     data = [(i * 3 % 1009, t) for i, t in enumerate(data)]
+    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     for by_parts in (False, True):
         out = ngram_join.ngram_join(rows(data).repartition(4), size, similarity, by_parts=by_parts)
         got = {tuple(r) for r in out.collect()}
@@ -209,10 +210,47 @@ def test_leaks_are_found_and_others_left_alone(rows):
         (10, f"{filler(300)} {one} {filler(50)}"),
     ]
     out = decontaminate.leaks(rows(data), rows(ITEMS, "item_id long, text string"))
+    assert out.columns == ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
     got = sorted((r.doc_id or -1, r.item_id) for r in out.collect())
     assert got == [(-1, 1), (-1, 1), *[(10, 1)] * 4, (11, 2), (12, 1), (12, 1), (12, 2), (16, 8), (17, 2)]
 
 
+def halves(text):
+    """Three-word sequences of the question, and those with a word of the answer."""
+    words, asked = text.split(), len(decontaminate._halves(text)[0].split())
+    every = [(tuple(words[i : i + 3]), i + 3 <= asked) for i in range(len(words) - 2)]
+    return {g for g, own in every if own}, {g for g, own in every if not own}
+
+
+def test_short_items_and_scripts_without_spaces(rows):
+    items = [
+        (1, "日本で一番高い山は何ですか？富士山です。"),
+        (2, "what is osmosis?"),
+        (3, "Yes."),
+        (4, "two words"),
+        (5, "ภูเขาที่สูงที่สุดในประเทศไทยคืออะไร ดอยอินทนนท์"),
+        (6, "…"),
+        (7, "Name the long river that crosses the northern plain below the hills? Vorin."),
+        (2, "what is osmosis?"),
+    ]
+    data = [
+        (10, "前の文。日本で一番高い山は何ですか?富士山です。後の文。"),
+        (11, "日本で一番高い建物は何ですか?東京の塔です。日本の山は高い。"),
+        (12, "they asked: What is\nOSMOSIS, and why"),
+        (13, "what osmosis is"),
+        (14, "he said yes to two words of mine"),
+        (15, "first\n- yes!\nlast"),
+        (16, "two words"),
+        (17, "xx ภูเขาที่สูงที่สุดในประเทศไทยคืออะไร ดอยอินทนนท์ yy"),
+        (18, "Name the long river that crosses the northern plain below the hills? Nobody told."),
+        (19, "so: name the long river that crosses the northern plain below the hills. vorin!"),
+        (20, None),
+    ]
+    out = decontaminate.leaks(rows(data), rows(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in out) == [(10, 1), (12, 2), (12, 2), (15, 3), (16, 4), (17, 5), (19, 7)]
+    assert {r.doc_id: r.first_word for r in out}[12] == 2
+
+
 def test_search_equals_scores_of_all_pairs(rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_WORDS", 400)
     rng = random.Random(8)
@@ -236,15 +274,14 @@ def test_search_equals_scores_of_all_pairs(rows, monkeypatch):
         words = t.split()
         weight = {x: np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * (f := words.count(x)) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / mean)) for x in set(words)}
         stride = max(32, 1 << (len(words) - 1).bit_length())
-        wanted = grams(t, 3)
+        question, answer = halves(t)
         for j, text in data:
             every = text.split()
             for begin in range(0, len(every), stride):
                 part = every[begin : begin + 2 * stride]
                 score = round(sum(v for x, v in weight.items() if x in set(part)) / sum(weight.values()), 9)
-                question, answer = (grams(x, 3) for x in decontaminate._halves(t))
                 held = grams(" ".join(part), 3)
-                if score >= 0.6 and len(question & held) + len(answer & held) >= 0.3 * (len(question) + len(answer)) and wanted:
+                if score >= 0.6 and len(question & held) >= 0.3 * len(question) and len(answer & held) >= 0.3 * len(answer):
                     if (j, i) not in want or score > want[j, i][0]:
                         want[j, i] = (score, begin)
     assert got == want and len(want) > 20

@@ -39,16 +39,37 @@ def test_quality_counts_and_bands(rows):
         (204, "", None),
         (None, "a b\na b\n\n \n\na b# <é>\tc", "xx"),
         (206, good(), "zz"),
-        (206, good() + "\n" * 3000, "zz"),
+        (207, good() + "\n" * 3000, "zz"),
+        (207, "\n\n \t" + good(), None),
         (208, "x" * 50_000, "en"),
     ]
     out = quality.quality(rows(data + odd, "doc_id long, text string, lang string"), RANKS, PIECES).collect()
     got = collections.Counter((r.doc_id, *(r[c] for c in quality.COUNTS), r.base_failed) for r in out)
     assert got == collections.Counter((i, *base(t)) for i, t, _ in data + odd)
     kept = {r.doc_id: r.kept for r in out}
-    assert all(kept[i] for i in [*range(150), 206])
+    assert all(kept[i] for i in [*range(150), 206, 207])
     assert not any(kept[i] for i in (200, 202, 203, 204, None, 208))
     assert {r.doc_id: r.band for r in out}[201] == "script:none"
+    measures = {tuple(round(r[m], 9) for m in quality.MEASURES) for r in quality.quality(rows([(1, "one two\nthree " + "\n" * 500, "en"), (2, "one two\nthree", "en")], "doc_id long, text string, lang string"), RANKS, PIECES).collect()}
+    assert len(measures) == 1
+
+
+def test_quality_of_rare_languages(rows):
+    """Ten documents of a language in a script of its own are judged by their own kind, at any size of the rest."""
+    rng = random.Random(4)
+    latin = "the of and a in is to was for with as on by at from about between because house river water people little under".split()
+    greek = "και το της των με για από που στην είναι ένα σπίτι ποτάμι νερό άνθρωποι μικρό".split()
+    text = lambda vocabulary, n=120: " ".join(rng.choice(vocabulary) + rng.choice(["", "s"]) for _ in range(n))
+    noise = lambda: " ".join("".join(rng.choices("ǖɱʒʭ", k=4)) for _ in range(120))
+    rare = [(i, text(greek), "el") for i in range(10)]
+    for many in (30, 300):
+        data = [(1000 + i, text(latin), "en") for i in range(many)] + rare + [(500, noise(), "en"), (501, noise(), "el"), (502, noise(), "qq")]
+        out = quality.quality(rows(data, "doc_id long, text string, lang string"), RANKS, PIECES).collect()
+        kept = {r.doc_id: r.kept for r in out}
+        assert all(kept[i] for i, *_ in data if i not in (500, 501, 502)), many
+        assert not kept[500] and not kept[501] and not kept[502], many
+    alone = quality.quality(rows(rare[:1], "doc_id long, text string, lang string"), RANKS, PIECES).first()
+    assert alone.kept and quality.quality(rows([], "doc_id long, text string, lang string"), RANKS, PIECES).count() == 0
 
 
 def test_entropy_and_script():
@@ -59,14 +80,18 @@ def test_entropy_and_script():
 
 def test_lines_above_the_ratio_go(rows):
     data = [(i, "a", f"menu\n text {i}\nmenu \n\nend {i % 3}\r") for i in range(30)]
-    data += [(i, "b", "menu\nother") for i in range(40, 45)]
+    # Sites of any size: a header on both pages, on all of nine, and lines of a single page.
+    data += [(i, "b", f"menu\nother {i}") for i in (41, 42)]
+    data += [(i, "nine", f"header\nown {i}") for i in range(60, 69)]
+    data += [(70, "one", "menu\nalone")]
     data += [(50, None, "menu"), (51, "a", None), (52, "a", "menu"), (53, "a", "")]
     df = rows(data, "doc_id long, site string, text string").withColumn("boilerplate", F.lit(1)).withColumn("line", F.lit("x"))
-    out = lines.drop_boilerplate(df, F.col("site"), "text", ratio=0.5, least_pages=10)
+    out = lines.drop_boilerplate(df, F.col("site"), "text", ratio=0.5)
     assert out.columns == df.columns
     got = {r.doc_id: r.text for r in out.collect()}
-    assert got[0] == " text 0\n\nend 0\r" and got[41] == "menu\nother" and got[50] == "menu" and got[51] is None and got[52] == "" and got[53] == ""
-    third = {r.doc_id: r.text for r in lines.drop_boilerplate(df, F.col("site"), "text", ratio=0.28, least_pages=10).collect()}
+    assert got[0] == " text 0\n\nend 0\r" and got[41] == "other 41" and got[50] == "menu" and got[51] is None and got[52] == "" and got[53] == ""
+    assert all(got[i] == f"own {i}" for i in range(60, 69)) and got[70] == "menu\nalone"
+    third = {r.doc_id: r.text for r in lines.drop_boilerplate(df, F.col("site"), "text", ratio=0.28).collect()}
     assert third[0] == " text 0\n"
     assert lines.drop_boilerplate(df.limit(0), F.col("site"), "text").count() == 0
 
@@ -85,13 +110,15 @@ def brute_scan(text):
     words = cut(text)
     places = [(i, label) for label, p in licenses.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     met, score = set(), 0.0
-    for line in text.split("\n"):
-        own = set(cut(line))
-        for label, template in licenses.TEMPLATES:
-            wanted = set(licenses.template_words(template))
-            if 5 * len(own & wanted) >= 4 * len(wanted):
-                met.add(label)
-                score = max(score, len(own & wanted) / len(wanted))
+    for part in re.split(r"\n[ \t\r]*\n", text):
+        own = cut(part)
+        for label, template, must in licenses.TEMPLATES:
+            wanted, size = set(licenses.template_words(template)), -(-3 * len(cut(template.lower())) // 2)
+            for i in range(len(own)):
+                held = set(own[i : i + size]) & wanted
+                if own[i] in wanted and 5 * len(held) >= 4 * len(wanted) and set(must.split()) <= held:
+                    met.add(label)
+                    score = max(score, len(held) / len(wanted))
     labels = {label for _, label in places}
     starts = [i for i, _ in places]
     return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | met)), 1.0 if places else score)
@@ -99,7 +126,7 @@ def brute_scan(text):
 
 def test_license_scan_equals_brute_force(rows):
     rng = random.Random(2)
-    notices = [t for _, t in licenses.TEMPLATES] + list(licenses.PHRASES.values())
+    notices = [t for _, t, _ in licenses.TEMPLATES] + list(licenses.PHRASES.values())
     data = [(0, None), (0, ""), (None, "Under THE mit-license"), (3, "under the mit license under the mit license"), (4, "cc by\nnc"), (5, "émit under the miT licensé"), (6, "... cc_by--nc ")]
     data += [(7, "Kelvin K MIT LICENSE Released under THE"), (3, "under the mit license under the mit license"), (8, "x " * 30_000 + "apache license, VERSION 2")]
     for i in range(10, 200):
@@ -117,6 +144,29 @@ def test_license_scan_equals_brute_force(rows):
     assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
 
 
+WRAPPED = {
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions",
+    "mpl-2": " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed",
+    "lgpl": "// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software\n// Foundation; either",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a\r\ncopy of this software and associated",
+}
+
+
+def test_notices_over_several_lines(rows):
+    film = "the film was released in may under a new title and the driving license scene was cut"
+    generic = "the code was released under the license of its owner"
+    cut = "Redistribution and use in source and binary\n\nforms, with or without modification, are permitted"
+    data = [(label, text) for label, text in WRAPPED.items()] + [("", film), ("", generic), ("", cut), ("", "x " * 400 + generic + " y" * 300)]
+    out = licenses.scan(rows([(i, t) for i, (_, t) in enumerate(data)])).collect()
+    assert {r.doc_id: r.labels for r in out} == {i: label for i, (label, _) in enumerate(data)}
+
+
+def test_templates_from_a_table(rows, llm):
+    table = llm.createDataFrame([("own", "This notice stands at the top of every file", "notice"), ("empty", "", None), ("free", "take it and go", None)], "label string, text string, must string")
+    out = licenses.scan(rows([(1, "this notice stands at\nthe top of each file"), (2, "stands at the top of every file this"), (3, "take and go, it"), (4, None)]), templates=table).collect()
+    assert {r.doc_id: r.labels for r in out} == {1: "own", 2: "", 3: "free", 4: ""}
+
+
 def test_no_texts_no_licenses(rows):
     assert licenses.scan(rows([])).count() == 0
 
@@ -168,7 +218,9 @@ def test_the_held_out_fold(rows):
 CHANGES = "doc_id long, tokenizer string, op string, source string, lang string, n_tokens long"
 
 
-def test_totals_follow_all_changes_and_repeated_batches_do_nothing(llm, tmp_path):
+@pytest.mark.parametrize("merge_at", [16, 2, 3])
+def test_totals_follow_all_changes_and_repeated_batches_do_nothing(llm, tmp_path, monkeypatch, merge_at):
+    monkeypatch.setattr(token_counts, "MERGE_AT", merge_at)
     rng = random.Random(3)
     totals, state = token_counts.TokenTotals(llm, str(tmp_path / "totals")), {}
     assert totals.totals().count() == 0 and totals.batches() == []
@@ -200,6 +252,13 @@ def test_totals_follow_all_changes_and_repeated_batches_do_nothing(llm, tmp_path
     assert totals.commit("empty", llm.createDataFrame([], CHANGES)) and totals.batches()[-1] == "empty"
     with pytest.raises(ValueError):
         totals.commit("a/b", sent[0])
+    assert totals.batches() == [*(f"batch-{i}" for i in range(4)), "empty"]
+    before = sorted(map(tuple, totals.totals().collect()), key=str)
+    totals.merge()
+    totals.vacuum()
+    assert len(totals._folders()) == 1 and len(list((tmp_path / "totals").iterdir())) == 1
+    assert totals.batches() == [*(f"batch-{i}" for i in range(4)), "empty"] and not totals.commit("batch-1", sent[0])
+    assert sorted(map(tuple, totals.totals().collect()), key=str) == before
 
 
 def test_an_unfinished_batch_is_not_seen(llm, tmp_path):
@@ -212,6 +271,16 @@ def test_an_unfinished_batch_is_not_seen(llm, tmp_path):
     assert [tuple(r) for r in totals.totals().collect()] == [("s", "en", "A", 1, 5)]
 
 
+def test_a_batch_reads_what_lies_between_its_documents(llm, tmp_path):
+    totals = token_counts.TokenTotals(llm, str(tmp_path / "totals"))
+    for i in range(20):
+        assert totals.commit(f"b{i}", llm.createDataFrame([(10 * i + j, "A", "insert", "s", "en", 1) for j in range(10)], CHANGES))
+    assert len(totals._folders()) < token_counts.MERGE_AT and len(totals.batches()) == 20
+    assert [tuple(r) for r in totals.totals().collect()] == [("s", "en", "A", 200, 200)]
+    plan = totals._read("changes", token_counts._ENTRIES).where("doc_id BETWEEN 5 AND 9")._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,5)" in plan and "Union" not in plan
+
+
 def test_counts_of_several_vocabularies(rows):
     out = token_counts.count_tokens(rows([(1, "x y"), (2, None), (None, "")]), {"a": RANKS, "b": P.path("byte_bpe_50k.tiktoken")}, ("doc_id",))
     assert sorted((r.doc_id or 0, r.a, r.b) for r in out.collect()) == [(0, 0, 0), (1, 2, 2), (2, 0, 0)]
