@@ -17,11 +17,13 @@ that may qualify are opened and compared exactly.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ from hitmill.llm.scratch import drop, stage
 BLOCK_TOKENS = 300_000
 # Groups of a block, at most: columns of the token-group matrix.
 GROUPS = 64
-# Hash slots in which each task counts n-grams to order them: 4 MB. It reports slots with this
-# many more n-grams than MEAN_TIMES the average; any order finds all links.
+# Hash slots in which n-grams are counted to order them: 4 MB. Counts travel in so many packed
+# ranges, of so many tasks together at a time.
 SLOTS = 1 << 22
-FREQUENT = 8
-MEAN_TIMES = 4
+RANGES = 64
+TASKS = 256
 
 
 class Parts:
@@ -110,19 +112,35 @@ def _counted(size: int):
         counts = np.zeros(SLOTS, np.int64)
         for _, block in w.slices(batches, "text"):
             counts += np.bincount(_slots(_sets(block, size)[0]), minlength=SLOTS)
-        at = np.flatnonzero(counts > FREQUENT + MEAN_TIMES * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"])
+        if counts.any():
+            part = TaskContext.get().partitionId() % TASKS
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.minimum(counts, 65535).astype("<u2").reshape(RANGES, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array(np.full(RANGES, part, np.int32)), pa.array(packed, pa.binary())], names=["range", "part", "counts"])
+
+    return run
+
+
+def _added(kind: str):
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), kind).astype(np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"range": table.column("range").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     return run
 
 
 def levels(source: DataFrame, size: int) -> bytes:
     """How frequent the n-grams of every hash slot are in all documents: a quarter of a power of two
-    per step, a byte per slot; 0 for slots that no task has often (SLOTS rows at most reach the driver)."""
-    counts = source.select("text").mapInArrow(_counted(size), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    table = counts.select("slot", F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("short").alias("level")).toArrow()
-    found = np.zeros(SLOTS, np.uint8)
-    found[np.asarray(table.column("slot"))] = np.asarray(table.column("level"))
+    per step, a byte per slot.
+
+    A task sends its counts as RANGES packed arrays, a few bits per slot; they are added up for
+    TASKS tasks at a time, and RANGES rows reach the driver.
+    """
+    counts = source.select("text").mapInArrow(_counted(size), "range int, part int, counts binary")
+    some = counts.groupBy("range", "part").applyInArrow(_added("<u2"), "range int, counts binary")
+    found = np.zeros((RANGES, SLOTS // RANGES), np.uint8)
+    for r in some.groupBy("range").applyInArrow(_added("<i8"), "range int, counts binary").collect():
+        total = np.frombuffer(zlib.decompress(r.counts), "<i8")
+        found[r.range] = np.minimum(np.log2(np.maximum(total, 1)) * 4, 255)
     return found.tobytes()
 
 

@@ -44,7 +44,6 @@ def test_ngram_join_equals_brute_force(rows, size, similarity, monkeypatch):
         data += [" ".join(edited(base, rng.choice([0, 0, 0.005, 0.02, 0.04, 0.2]), rng)) for _ in range(25)]
     data += ["", " \n", "one", "one", "one two", "ONE Two", "a b c", "tie tie tie tie tie"]
     data = [(i * 3 % 1009, t) for i, t in enumerate(data)]
-    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
     for by_parts in (False, True):
         out = ngram_join.ngram_join(rows(data).repartition(4), size, similarity, by_parts=by_parts)
         got = {tuple(r) for r in out.collect()}
