@@ -23,9 +23,10 @@ def group_median(
     value: str,
     extra: Sequence[Column] = (),
     name: str = "median",
+    weight: str | None = None,
 ) -> DataFrame:
     """``group_percentile`` at one half."""
-    return group_percentile(df, keys, value, 0.5, extra, name)
+    return group_percentile(df, keys, value, 0.5, extra, name, weight)
 
 
 def group_percentile(
@@ -35,21 +36,25 @@ def group_percentile(
     fraction: float,
     extra: Sequence[Column] = (),
     name: str = "percentile",
+    weight: str | None = None,
 ) -> DataFrame:
     """The exact interpolated percentile of ``value`` per group.
 
     ``extra`` holds aliased aggregates with bounded state that are computed beside
     the percentile. The columns of the result are the keys, the extras and ``name``.
-    Groups without any value keep a NULL percentile.
+    Groups without any value keep a NULL percentile. ``weight`` names a column of positive
+    whole numbers: a row stands for so many equal ones.
     """
     keys = list(keys)
-    rows = df.withColumn("_value", F.col(value).cast("double"))
-    rows = rows.withColumn("_bucket", bucket(F.col("_value"))).select(*keys, "_value", "_bucket")
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("_value").alias("_held"))
+    times = F.lit(1) if weight is None else F.col(weight).cast("long")
+    rows = df.withColumns({"_value": F.col(value).cast("double"), "_times": times})
+    rows = rows.withColumn("_bucket", bucket(F.col("_value")))
+    rows = rows.select(*keys, "_value", "_bucket", "_times")
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.sum("_times").alias("_held"))
     wanted = _wanted(sizes, keys, fraction)
     inside = rows.join(wanted, same(rows, wanted, [*keys, "_bucket"], "_k_"))
     counts = inside.groupBy(*keys, "_bucket", "_before", "_position", "_value").agg(
-        F.count(F.lit(1)).alias("_n")
+        F.sum("_times").alias("_n")
     )
     ranked = counts.withColumn(
         "_end", F.col("_before") + F.sum("_n").over(upto([*keys, "_bucket"], "_value"))

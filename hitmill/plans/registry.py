@@ -7,10 +7,10 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitmill.plans import ingest, regress, triage, web
+from hitmill.plans import ingest, regress, suite, triage, web
 from hitmill.session import prepare
 
-MODULES = (web, regress, ingest, triage)
+MODULES = (web, regress, ingest, triage, suite)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -306,7 +306,7 @@ _TESTED = (
 _REACH = (quantile(1 - compare.ALPHA / 2) + quantile(compare.POWER)) * math.sqrt(math.pi / 3)
 _SIGNIFICANCE = (
     "SELECT query_name, n1 AS base_runs, n2 AS candidate_runs,"
-    f" round(u, {SHARE_PLACES}) AS u, round(u / (n1 * n2), {SHARE_PLACES}) AS slower_share,"
+    f" round(CAST(u AS DOUBLE), {SHARE_PLACES}) AS u, round(u / (n1 * n2), {SHARE_PLACES}) AS slower_share,"
     f" CASE WHEN n1 > 0 AND n2 > 0 THEN round(z, {SHARE_PLACES}) END AS z,"
     f" CASE WHEN n1 > 0 AND n2 > 0 THEN round(p, {SHARE_PLACES}) END AS p_value,"
     f" round(exp({_REACH!r} * sqrt(v1 / n1 + v2 / n2)), {SHARE_PLACES}) AS detectable_ratio,"

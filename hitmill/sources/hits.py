@@ -7,9 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def load_hits(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def load_hits(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    files: list[str] | None = None,
+) -> DataFrame:
     """Read a hits directory, with binary columns as text and EventDate as a date.
 
+    ``files``: only these files of it.
+
     Binary columns are declared as strings in the schema of the scan instead of
     being cast, so filters on them still reach Parquet.
     """
@@ -20,7 +27,8 @@ def load_hits(spark: SparkSession, path: str, schema: T.StructType | None = None
             for f in found
         ]
     )
-    return with_event_date(spark.read.schema(declared).parquet(path))
+    reader = spark.read.schema(declared).option("basePath", path)
+    return with_event_date(reader.parquet(*(files or [path])))
 
 
 def with_event_date(hits: DataFrame) -> DataFrame:
@@ -33,17 +41,24 @@ def with_event_date(hits: DataFrame) -> DataFrame:
     return hits.withColumn("EventDate", F.to_date("EventDate"))
 
 
-def write_hits(hits: DataFrame, path: str) -> None:
+def write_hits(hits: DataFrame, path: str, blooms: dict[str, int] | None = None) -> None:
     """Write a hits directory with one folder per day.
 
     ``rebalance`` gathers the rows of a day, splits a hot day over several tasks
     and joins small ones, all by size at run time. The sort inside the files
     gives narrow CounterID and EventTime ranges per row group, which the
     page-view queries and the time-ordered lookups skip on.
+
+    ``blooms``: columns that get a Bloom filter per row group, and how many distinct
+    values of theirs a row group holds. A lookup by such a column reads only row groups that
+    may hold the value, although the files are not sorted by it.
     """
-    (
+    writer = (
         hits.hint("rebalance", "EventDate")
         .sortWithinPartitions("EventDate", "CounterID", "EventTime")
         .write.partitionBy("EventDate")
-        .parquet(path)
     )
+    for column, values in (blooms or {}).items():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(values))
+    writer.parquet(path)
