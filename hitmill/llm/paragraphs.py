@@ -2,9 +2,14 @@
 
 Paragraphs are lines. Their word five-grams are banded by MinHash, with bands tuned for the wanted
 recall; paragraphs that collide in a band become families, families are verified by exact
-Jaccard, and components of the links are the groups. A passage may also stand inside longer
-lines, at any place: texts are cut, too, at words chosen by the words around them, so that a
-passage gives the same pieces wherever it stands, and runs of repeated pieces are passages.
+Jaccard, and components of the links are the groups.
+
+A passage may also stand inside longer lines, at any place. Of every stretch of as many words as a
+passage has at least, the eight words with the least hash are a seed, so equal stretches have a seed
+in common wherever they stand. Seeds that other documents hold and that follow one another as
+they do in the first of these documents are a passage once they span enough words; where they span fewer, and
+at both ends, all stretches around a seed are compared, so passages of the least length are found
+and longer ones reach to their true ends.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from hitmill.llm import bitmap
 from hitmill.llm import words as w
 from hitmill.llm.components import components
 from hitmill.llm.ngram_join import similar, token_lists
-from hitmill.llm.scratch import stage
+from hitmill.llm.scratch import drop, stage
 
 SHINGLE = 5
 SIMILARITY = (4, 5)
@@ -29,10 +34,8 @@ LEAST_WORDS = 20
 # Chance that a pair of exactly the wanted similarity collides in a band.
 RECALL = 0.999
 ROWS = 2
-# A piece of a text begins at a word that is the least of so many words on either side.
-REACH = 4
-# Words that may lie between two repeated pieces of one passage.
-GAP = 4
+# Words of a seed.
+SEED_WORDS = 8
 
 
 def bands(similarity: float, rows: int, recall: float) -> int:
@@ -106,33 +109,59 @@ def _tokens(least: int, bits: bytes):
     return run
 
 
-def cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Words at which a piece begins: by the words around it, and at each text's first word."""
-    n = len(hashes)
-    value = w.mix(hashes + np.concatenate([[np.uint64(0)], w.mix(hashes[:-1] if n else hashes)]))
-    least = np.ones(n, bool)
-    for d in range(1, REACH + 1):
-        least[d:] &= value[d:] < value[:-d]
-        least[:-d] &= value[:-d] < value[d:]
-    least[first[:-1][np.diff(first) > 0]] = True
-    return np.flatnonzero(least)
-
-
-def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, block in w.slices(batches, "text"):
-        lowered = block.lowered()
-        found = w.words(lowered)
-        hashes = w.word_hashes(lowered, found)
-        starts = cuts(hashes, found.first)
-        ends = np.append(starts[1:], len(hashes))
-        text = found.text_of()[starts]
-        powers, inverses = w._powers(len(hashes) + 1)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[: len(hashes)], dtype=np.uint64)])
-        key = w.mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id").take(pa.array(text)), pa.array(starts - found.first[text]), pa.array(ends - starts), pa.array(key.view(np.int64))],
-            names=["doc_id", "first_word", "n_words", "key"],
-        )
+def seeds(hashes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the seeds of every text, the text of each, and its first word.
+
+    A seed is the least (of equal ones the last) of all SEED_WORDS words in a row in some stretch of
+    ``least`` words.
+    """
+    values, of, at = w.shingles(hashes, first, SEED_WORDS, whole=False)
+    width = least - SEED_WORDS + 1
+    if len(values) < width:
+        return values[:0], of[:0], at[:0]
+    chosen = []
+    for a in range(0, len(values) - width + 1, 1 << 16):
+        part = np.lib.stride_tricks.sliding_window_view(values[a : a + (1 << 16) + width - 1], width)
+        lowest = np.arange(a, a + len(part)) + width - 1 - np.argmin(part[:, ::-1], axis=1)
+        chosen.append(lowest[of[a : a + len(part)] == of[a + width - 1 : a + width - 1 + len(part)]])
+    chosen = np.unique(np.concatenate(chosen))
+    return values[chosen], of[chosen], at[chosen]
+
+
+def _seeds(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, block in w.slices(batches, "text"):
+            lowered = block.lowered()
+            found = w.words(lowered)
+            values, of, at = seeds(w.word_hashes(lowered, found), found.first, least)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(pa.array(of)), pa.array(at - found.first[of]), pa.array(values.view(np.int64))], names=["doc_id", "first_word", "key"]
+            )
+
+    return run
+
+
+def _stretches(least: int):
+    """All stretches of ``least`` words that hold a seed at one of the row's ``places``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, block in w.slices(batches, "text"):
+            lowered = block.lowered()
+            found = w.words(lowered)
+            values, of, at = w.shingles(w.word_hashes(lowered, found), found.first, least, whole=False)
+            lists = rows.column("places")
+            row = np.repeat(np.arange(len(block)), np.asarray(lists.value_lengths()))
+            place = np.asarray(lists.flatten()) + found.first[row]
+            edges = np.zeros(len(found.starts) + 1, np.int64)
+            np.add.at(edges, np.maximum(place - (least - SEED_WORDS), found.first[row]), 1)
+            np.add.at(edges, np.minimum(place + 1, found.first[row + 1]), -1)
+            asked = np.cumsum(edges)[at] > 0
+            values, of, at = values[asked], of[asked], at[asked]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(pa.array(of)), pa.array(at - found.first[of]), pa.array(values.view(np.int64))], names=["doc_id", "first_word", "key"]
+            )
+
+    return run
 
 
 def near_paragraphs(source: DataFrame, least: int, similarity: tuple[int, int], recall: float) -> DataFrame:
@@ -149,34 +178,60 @@ def near_paragraphs(source: DataFrame, least: int, similarity: tuple[int, int],
     return placed.select("doc_id", "first_word", "n_words", F.coalesce("component", "key").alias("component"))
 
 
+def _homes(units: DataFrame) -> DataFrame:
+    """The keys that two documents hold, with the first place of each."""
+    place = F.struct("doc_id", "first_word")
+    found = units.groupBy("key").agg(F.min(place).alias("home"), F.max("doc_id").alias("high")).where("home.doc_id < high")
+    return found.select("key", F.col("home.doc_id").alias("home_id"), F.col("home.first_word").alias("home_word"))
+
+
 def passages(source: DataFrame, least: int) -> DataFrame:
-    """Runs of pieces that other documents hold too: doc_id, first_word, n_words, component.
+    """Stretches of words that other documents hold too: doc_id, first_word, n_words, component.
 
-    The first place of a piece, by doc_id and word, is the copy that is kept. Runs are cut where
-    the kept copy changes: pieces that stand first in a document side by side are one component
-    with all that repeats them, so no component has pieces without a copy in its first row.
+    The first place of a seed or stretch, by doc_id and word, is the copy that is kept. What follows one
+    another as in one kept copy is one passage; a component is all passages whose kept
+    copies lie in one such stretch of the document that keeps them.
     """
-    pieces, _ = stage(source.mapInArrow(_pieces, "doc_id long, first_word long, n_words long, key long"), "pieces")
-    ends = pieces.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    shared, _ = stage(ends.where("low < high").select("key"), "shared-pieces")
-    repeated = bitmap.keep(pieces, "key", bitmap.build(shared, "key")).join(shared, "key")
+    spark, unit, done = source.sparkSession, "doc_id long, first_word long, key long", []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        df, path = stage(df, label)
+        done.append(path)
+        return df
+
+    found = keep(source.mapInArrow(_seeds(least), unit), "seeds")
+    shared = keep(_homes(found), "shared-seeds")
+    met = bitmap.keep(found, "key", bitmap.build(shared, "key")).join(shared, "key")
     by_doc = Window.partitionBy("doc_id").orderBy("first_word", "key")
-    end = F.col("first_word") + F.col("n_words")
-    apart = F.coalesce(F.col("first_word") > F.lag(end).over(by_doc) + GAP, F.lit(True))
-    numbered = repeated.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(by_doc))
+    shift = F.col("home_word") - F.col("first_word")
+    turns = (F.col("first_word") - F.lag("first_word").over(by_doc) > least - SEED_WORDS + 1) | (F.col("home_id") != F.lag("home_id").over(by_doc)) | (shift != F.lag(shift).over(by_doc))
+    runs = met.withColumn("run", F.sum(F.coalesce(turns, F.lit(True)).cast("int")).over(by_doc))
     whole = Window.partitionBy("doc_id", "run")
-    spans = numbered.select("doc_id", "key", "first_word", "n_words", F.sum("n_words").over(whole).alias("held"))
-    spans, _ = stage(spans.where(F.col("held") >= least).drop("held"), "passages")
-
-    homes = spans.groupBy("key").agg(F.min(F.struct("doc_id", "first_word", "n_words")).alias("home")).select("key", "home.*")
-    begin = F.max(F.when(apart, F.col("first_word"))).over(by_doc)
-    homes = homes.select("key", F.col("doc_id").alias("home_id"), F.col("first_word").alias("home_word"), F.xxhash64("doc_id", begin).alias("component"))
-    own = (F.col("doc_id") == F.col("home_id")) & (F.col("first_word") == F.col("home_word"))
-    placed = spans.join(homes, "key").select("doc_id", "key", "first_word", "n_words", "component", own.alias("own"))
-    turns = apart | (F.col("component") != F.lag("component").over(by_doc)) | (F.col("own") != F.lag("own").over(by_doc))
-    stretches = placed.withColumn("turns", turns.cast("int")).withColumn("stretch", F.when(F.col("own"), 0).otherwise(F.sum("turns").over(by_doc)))
-    runs = stretches.groupBy("doc_id", "component", "stretch").agg(F.min("first_word").alias("first_word"), F.max(end).alias("end"))
-    return runs.select("doc_id", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"), "component")
+    low, high = F.min("first_word").over(whole), F.max("first_word").over(whole)
+    long = high - low + SEED_WORDS >= least
+    runs = keep(runs.select("doc_id", "first_word", "key", "home_id", "home_word", long.alias("long"), (~long | F.col("first_word").isin(low, high)).alias("asked")), "runs")
+    # Whoever holds a seed that needs a closer look shows the stretches around it.
+    asked = runs.join(runs.where("asked").select("key").distinct(), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("first_word").alias("places"))
+    asked = keep(asked, "asked")
+    texts = bitmap.keep(source, "doc_id", bitmap.build(asked, "doc_id")).join(asked, "doc_id").select("doc_id", "text", "places")
+    around = keep(texts.mapInArrow(_stretches(least), unit).distinct(), "stretches")
+    seeded = runs.where("long").select("doc_id", "first_word", "home_id", "home_word", F.lit(SEED_WORDS).alias("n"))
+    units = seeded.distinct().unionByName(around.join(_homes(around), "key").select("doc_id", "first_word", "home_id", "home_word", F.lit(least).alias("n")))
+
+    # What follows one another in the same document as in the home.
+    units = units.withColumn("shift", shift).withColumn("end", F.col("first_word") + F.col("n"))
+    line = Window.partitionBy("doc_id", "home_id", "shift").orderBy("first_word", "n")
+    before = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first_word") > before + (least - 2 * SEED_WORDS + 1), F.lit(True))
+    units = units.withColumn("begin", F.max(F.when(apart, F.col("first_word"))).over(line))
+    units = keep(units, "units")
+    own = units.where("doc_id = home_id AND shift = 0").select(F.col("doc_id").alias("own_id"), F.col("first_word").alias("own_word"), F.col("n").alias("own_n"), F.col("begin").alias("own_begin"))
+    lead = F.min(F.struct("first_word", "n", "home_word"))
+    lines = units.groupBy("doc_id", "home_id", "shift", "begin").agg(F.max("end").alias("end"), lead.alias("lead"))
+    placed = lines.join(own, (F.col("home_id") == F.col("own_id")) & (F.col("lead.home_word") == F.col("own_word")) & (F.col("lead.n") == F.col("own_n")))
+    result, _ = stage(placed.select("doc_id", F.col("begin").alias("first_word"), (F.col("end") - F.col("begin")).alias("n_words"), F.xxhash64("home_id", "own_begin").alias("component")), "passages")
+    drop(spark, *done)
+    return result
 
 
 def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, similarity: tuple[int, int] = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -185,9 +240,10 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
     Paragraphs are lines of ``least`` words or more (``[^\\x20\\x09-\\x0D]+`` after A-Z became lower
     case); two are linked at a Jaccard similarity of ``similarity`` of their five-word sequences,
     exactly compared; pairs of that similarity are found with the chance ``recall``, more similar
-    ones nearly always, equal ones always. A passage is a run of pieces of REACH + 1 to some
-    twenty words, found in other documents word by word, of ``least`` words together, cut where
-    the document that keeps the pieces changes; each piece of a passage keeps its first copy.
+    ones nearly always, equal ones always. A passage is a stretch of ``least`` words or more that stands in
+    another document word by word, but for gaps of up to ``least`` - 2 * SEED_WORDS + 1 words within
+    longer ones. All of that length are found. Passages are cut where the document that
+    keeps them changes.
 
     Returns a row per paragraph and passage of a group that spans two documents: ``doc_id``, ``kind``
     (``paragraph`` or ``passage``), ``first_word`` and ``n_words`` (long; place in the text),

@@ -169,15 +169,31 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - similarity**2) ** n >= 0.999 > 1 - (1 - similarity**2) ** (n - 1)
 
 
-def test_cuts_do_not_depend_on_what_stands_around():
+def test_equal_stretches_share_a_seed():
     rng = np.random.default_rng(1)
-    passage = rng.integers(0, 2**63, 60).astype(np.uint64)
-    around = [np.concatenate([rng.integers(0, 2**63, k).astype(np.uint64), passage, rng.integers(0, 2**63, 40).astype(np.uint64)]) for k in (0, 7, 33)]
-    inner = []
-    for k, hashes in zip((0, 7, 33), around):
-        at = paragraphs.cuts(hashes, np.array([0, len(hashes)])) - k
-        inner.append([x for x in at.tolist() if paragraphs.REACH < x < 60 - paragraphs.REACH])
-    assert inner[0] == inner[1] == inner[2] and len(inner[0]) >= 2
+    for _ in range(300):
+        passage = rng.integers(0, 2**63, 20).astype(np.uint64)
+        sides = [np.concatenate([rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64), passage, rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)]) for _ in range(2)]
+        values, of, _ = paragraphs.seeds(np.concatenate(sides), np.array([0, len(sides[0]), len(sides[0]) + len(sides[1])]), 20)
+        assert np.intersect1d(values[of == 0], values[of == 1]).size
+    assert not paragraphs.seeds(passage[:19], np.array([0, 19]), 20)[0].size
+
+
+@pytest.mark.parametrize("size", [19, 20, 21, 25, 30, 40, 60])
+def test_recall_and_ends_of_passages(rows, size):
+    """Passages inside longer lines of other documents: all from 20 words on, to their ends, and none below."""
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    data, want = [], set()
+    for i in range(60):
+        passage = [word() for _ in range(size)]
+        for copy in range(2):
+            before, after = [word() for _ in range(rng.randint(0, 60))], [word() for _ in range(rng.randint(0, 60))]
+            data.append((2 * i + copy, " ".join(before + passage + after)))
+            want.add((2 * i + copy, len(before), size, copy == 1))
+    found = paragraphs.repeats(rows(data).repartition(4)).where("kind = 'passage'").collect()
+    got = {(r.doc_id, r.first_word, r.n_words, r.removed) for r in found}
+    assert got == (want if size >= 20 else set())
 
 
 ITEMS = [
