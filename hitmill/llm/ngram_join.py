@@ -34,6 +34,8 @@ from hitmill.llm.scratch import drop, stage
 
 # N-grams that one task compares at once; larger groups of documents are cut in blocks.
 BLOCK_TOKENS = 300_000
+# Hash slots in which the n-grams of a block are counted before it meets another.
+UNION_SLOTS = 1 << 15
 # Groups of a block, at most: columns of the token-group matrix.
 GROUPS = 64
 # Hash slots in which n-grams are counted to order them: 4 MB. Counts travel in so many packed
@@ -270,6 +272,32 @@ def _block(similarity: tuple[int, int], sets):
     return run
 
 
+def _union(sets):
+    """The n-grams that a block's sets have together, counted in UNION_SLOTS hash slots."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, _ = sets(table.column("held"))
+        counts = np.bincount((w.mix(np.unique(values)) & np.uint64(UNION_SLOTS - 1)).astype(np.int64), minlength=UNION_SLOTS)
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())})
+
+    return run
+
+
+def _may_meet(similarity: tuple[int, int]):
+    """The pairs of blocks whose unions share as many n-grams as their smallest sets need."""
+    p, q = similarity
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(zlib.decompress(b), "<u4") for b in batch.column(c).to_pylist()] for c in ("of_x", "of_y"))
+            # In every slot, no more n-grams are common than the smaller count.
+            common = np.array([int(np.minimum(a, b).sum()) for a, b in zip(x, y)], np.int64)
+            may = (p + q) * common >= p * np.asarray(batch.column("least"))
+            yield batch.select(["family", "x", "y"]).filter(pa.array(may))
+
+    return run
+
+
 def token_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Sets that are stored as lists of numbers."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -325,7 +353,8 @@ def _across(left: DataFrame, nodes: DataFrame, held, sets, similarity: tuple[int
     """Links between sets of different components that ``left`` (node, component, leader) brings together.
 
     Families of sets are cut in blocks. A component that fills blocks has blocks of its own; the
-    others are pooled. Blocks of one component do not meet, nor do blocks whose sizes are too unlike.
+    others are pooled. Blocks of one component do not meet, nor do blocks whose sizes are too
+    unlike, or whose unions of n-grams have too few in common for any two of their sets.
     """
     p, q = similarity
     ties = components(left.select("node", "leader"), "node", "leader").withColumnRenamed("node", "tied").withColumnRenamed("component", "family")
@@ -347,6 +376,17 @@ def _across(left: DataFrame, nodes: DataFrame, held, sets, similarity: tuple[int
     alike = (q * F.col("one.high") >= p * F.col("two.low")) & (q * F.col("two.high") >= p * F.col("one.low"))
     meet = one.join(two, F.col("one.family") == F.col("two.family")).where((apart & alike) | within)
     meet = keep(meet.select(F.col("one.family").alias("family"), F.col("one.part").alias("x"), F.col("two.part").alias("y")), "meet")
+    several = meet.where("x <> y")
+    if not several.isEmpty():
+        # The unions of the blocks that may meet others, as counts in hash slots.
+        ends = several.select("family", F.explode(F.array("x", "y")).alias("part")).distinct()
+        shown = cut.join(ends, ["family", "part"], "left_semi")
+        shown = shown.join(held(bitmap.build(shown, "node")), "node").select("family", "part", "held")
+        unions = keep(shown.groupBy("family", "part").applyInArrow(_union(sets), "part long, counts binary"), "unions")
+        least = blocks.select("part", F.col("low").alias("least"))
+        one, two = (unions.join(least, "part").select(F.col("part").alias(c), F.col("counts").alias(f"of_{c}"), F.col("least").alias(f"least_{c}")) for c in ("x", "y"))
+        both = several.join(one, "x").join(two, "y").select("family", "x", "y", "of_x", "of_y", (F.col("least_x") + F.col("least_y")).alias("least"))
+        meet = keep(meet.where("x = y").unionByName(both.mapInArrow(_may_meet(similarity), "family long, x long, y long")), "meet")
     sides = meet.select("family", F.col("x").alias("part"), "x", "y", F.lit(0).alias("second")).unionByName(
         meet.where("x <> y").select("family", F.col("y").alias("part"), "x", "y", F.lit(1).alias("second"))
     )

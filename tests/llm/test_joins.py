@@ -50,6 +50,42 @@ def test_ngram_join_equals_brute_force(rows, size, similarity, monkeypatch):
         assert got == brute_components(data, size, *similarity)
 
 
+def test_unions_of_blocks_lose_no_link():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    met = 0
+    for _ in range(60):
+        base, shared = draw(80), draw(20)
+        other = np.concatenate([draw(60), shared]) if rng.random() < 0.5 else base
+        blocks = [[np.unique(np.concatenate([b[: len(b) - 6], draw(int(rng.integers(0, 12))), shared])) for _ in range(5)] for b in (base, other)]
+        alike = any(5 * (k := len(np.intersect1d(x, y))) >= 4 * (len(x) + len(y) - k) for x in blocks[0] for y in blocks[1])
+        packed = [ngram_join._union(lambda _, b=b: (np.concatenate(b), None))(pa.table({"part": [1] * 5, "held": [1] * 5})).column("counts")[0] for b in blocks]
+        least = sum(min(map(len, b)) for b in blocks)
+        rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([2]), pa.array([packed[0].as_py()]), pa.array([packed[1].as_py()]), pa.array([least])], names=["family", "x", "y", "of_x", "of_y", "least"])
+        kept = sum(batch.num_rows for batch in ngram_join._may_meet((4, 5))([rows]))
+        assert kept or not alike
+        # Blocks with a passage in common only stay apart.
+        assert kept == (other is base)
+        met += kept
+    assert 10 < met < 50
+
+
+@pytest.mark.parametrize("by_parts", [False, True])
+def test_large_groups_that_share_a_passage(rows, monkeypatch, by_parts):
+    """Near copies that fill many blocks, a group like them, and texts just below the similarity."""
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2000)
+    rng = random.Random(6)
+    passage, data = [f"p{i}" for i in range(40)], []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(90)]
+        for share in [0.01] * 50 + [0.04] * 10:
+            data.append((len(data), " ".join(edited(base, share, rng) + passage)))
+    out = ngram_join.ngram_join(rows(data).repartition(3), 5, (4, 5), by_parts=by_parts)
+    assert {tuple(r) for r in out.collect()} == brute_components(data, 5, 4, 5)
+
+
 def test_ngram_join_with_nulls_repeats_and_other_columns(rows):
     same = "a b c d e f g"
     data = [(7, same, 1), (7, same, 1), (3, same, 2), (None, same, 3), (None, "else where now", 4), (5, None, 5), (2, "x y z", 6), (2, "p q r", 7), (9, "p q r", 8)]
