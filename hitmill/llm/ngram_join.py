@@ -111,9 +111,9 @@ def _slots(values: np.ndarray) -> np.ndarray:
 
 def _counted(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(SLOTS, np.uint32)
         for _, block in w.slices(batches, "text"):
-            counts += np.bincount(_slots(_sets(block, size)[0]), minlength=SLOTS)
+            np.add.at(counts, _slots(_sets(block, size)[0]), 1)
         if counts.any():
             part = TaskContext.get().partitionId() % TASKS
             packed = [zlib.compress(x.tobytes(), 1) for x in np.minimum(counts, 65535).astype("<u2").reshape(RANGES, -1)]

@@ -30,6 +30,8 @@ PRECISION = 0.75
 VOICES = 6
 # The classifier is not asked to be surer than this.
 SOFT = 0.02
+# Marks that a task of the sample sums up at a time.
+FLUSH = 300_000
 ROUNDS = 8
 THRESHOLD = 0.3
 # Bytes of a word's beginning that make a pattern.
@@ -105,7 +107,7 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, first = _marks(block, None)
         found.append(values)
         labels.append(np.repeat(toxic, np.diff(first)))
-        if sum(map(len, found)) > 2_000_000:
+        if sum(map(len, found)) > FLUSH:
             yield _summed(found, labels)
             found, labels = [], []
     if found:
