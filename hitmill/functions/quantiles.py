@@ -5,6 +5,8 @@ memory of one task. Here all groups, of any size, take the same lazy plan: the r
 are counted per bucket of values with a map-side combine, the buckets that hold the
 wanted ranks follow from the counts, and only the values of those buckets are counted and
 ranked. No job runs while the plan is built.
+
+Groups and buckets are told apart by 128-bit hashes on the way of the rows.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitmill.functions.ranks import bucket, same, upto
+from hitmill.functions.ranks import bucket, upto
 
 
 def group_median(
@@ -49,10 +51,11 @@ def group_percentile(
     times = F.lit(1) if weight is None else F.col(weight).cast("long")
     rows = df.withColumns({"_value": F.col(value).cast("double"), "_times": times})
     rows = rows.withColumn("_bucket", bucket(F.col("_value")))
-    rows = rows.select(*keys, "_value", "_bucket", "_times")
     sizes = rows.groupBy(*keys, "_bucket").agg(F.sum("_times").alias("_held"))
     wanted = _wanted(sizes, keys, fraction)
-    inside = rows.join(wanted, same(rows, wanted, [*keys, "_bucket"], "_k_"))
+    # All rows cross one shuffle, with 128 bits that stand for the group and bucket.
+    slots = [slot.alias(f"_slot{i}") for i, slot in enumerate(_slots([*keys, "_bucket"]))]
+    inside = rows.select(*slots, "_value", "_times").join(wanted, ["_slot0", "_slot1"])
     counts = inside.groupBy(*keys, "_bucket", "_before", "_position", "_value").agg(
         F.sum("_times").alias("_n")
     )
@@ -95,8 +98,15 @@ def _wanted(sizes: DataFrame, keys: list[str], fraction: float) -> DataFrame:
         F.col("_before") + F.col("_held") > F.floor("_position")
     )
     return placed.where(holds).select(
-        *[F.col(key).alias(f"_k_{key}") for key in keys],
-        F.col("_bucket").alias("_k__bucket"),
+        *keys,
+        "_bucket",
         "_before",
         "_position",
+        *[slot.alias(f"_slot{i}") for i, slot in enumerate(_slots([*keys, "_bucket"]))],
     )
+
+
+def _slots(names: list[str]) -> list[Column]:
+    """Two hashes of several columns, 128 bits together; NULL differs from all values."""
+    marked = [part for name in names for part in (F.isnull(name), F.col(name))]
+    return [F.xxhash64(F.lit(i), *marked) for i in (0, 1)]
