@@ -108,3 +108,27 @@ def test_stages_return_the_columns_of_documents(spark, sf_dir):
     empty = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, sf_dir).columns == columns
+
+
+def test_op11(spark, sf_dir, docs):
+    from test_simhash import brute
+
+    got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in result(spark, sf_dir, "op11_simhash")}
+    assert got == brute([(i, t) for i, t, *_ in docs])
+
+
+def test_op12(spark, sf_dir, docs):
+    from test_periods import expected
+
+    got = {r["doc_id"]: tuple(r.values()) for r in result(spark, sf_dir, "op12_periodic_runs")}
+    assert set(got) == {i for i, *_ in docs}
+    for i, text, *_ in docs:
+        if len((text or "").split()) < 1500:
+            assert got[i] == expected(i, text)
+
+
+def test_op13(spark, sf_dir, con):
+    from test_whitening import check
+
+    rows = con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    check(QUERIES["op13_whitening"](spark, sf_dir).collect(), rows)

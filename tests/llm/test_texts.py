@@ -72,6 +72,60 @@ def test_quality_of_rare_languages(rows):
     assert alone.kept and quality.quality(rows([], "doc_id long, text string, lang string"), RANKS, PIECES).count() == 0
 
 
+def brute_kept(out):
+    """The verdicts again, from the measures: weighted quartiles of the three kinds of texts."""
+    passed = [r for r in out if not r.base_failed]
+    size = lambda r: sum(r.n_tokens >= b for b in quality.SIZE_BOUNDS)
+
+    def weights(rows, m):
+        found = collections.Counter()
+        for r in rows:
+            # Halves go up, as in SQL.
+            found[np.floor(r[m] / quality.STEPS[m] + 0.5) * quality.STEPS[m]] += 1
+        return found
+
+    def mix(own, wider):
+        out, total = collections.Counter(own), sum(wider.values())
+        for v, x in wider.items():
+            out[v] += x * quality.PRIOR_DOCUMENTS / total
+        return out
+
+    def quartile(found, share):
+        values = sorted(found)
+        counts = [int(np.ceil(found[v] * quality._PARTS - 1e-6)) for v in values]
+        place = share * (sum(counts) - 1)
+        ends = np.cumsum(counts)
+        low, high = (values[int(np.searchsorted(ends, p, "right"))] for p in (np.floor(place), np.ceil(place)))
+        return low + (high - low) * (place - np.floor(place))
+
+    kept = []
+    for r in out:
+        good = not r.base_failed
+        for m in quality.MEASURES if good else ():
+            rows = [x for x in passed if m != "entropy" or size(x) == size(r)]
+            by_script = mix(weights([x for x in rows if x.script == r.script], m), weights(rows, m))
+            found = mix(weights([x for x in rows if (x.script, x.band) == (r.script, r.band)], m), by_script)
+            one, three = quartile(found, 0.25), quartile(found, 0.75)
+            reach = max(quality.REACH * (three - one), 5 * quality.STEPS[m])
+            good = good and one - reach - 1e-9 <= r[m] <= three + reach + 1e-9
+        kept.append(good)
+    return kept
+
+
+def test_quality_verdicts_equal_brute_force(rows):
+    rng = random.Random(9)
+    vocabularies = {"en": "the of and house river water people", "el": "και το της των σπίτι ποτάμι", "ru": "и в не на дом река вода"}
+    data = []
+    for i in range(150):
+        lang = rng.choice(["en", "en", "en", "el", "ru", None])
+        words = vocabularies[lang or "en"].split()
+        strange = [f"{rng.random()}", "ǖɱʒʭ", "zzqqxx"] if rng.random() < 0.1 else words
+        data.append((i, " ".join(rng.choice(words if rng.random() < 0.5 else strange) + rng.choice(["", "s", "a", "on"]) for _ in range(rng.choice([60, 120, 700]))), lang))
+    out = quality.quality(rows(data, "doc_id long, text string, lang string").repartition(3), RANKS, PIECES).collect()
+    want = brute_kept(out)
+    assert [r.kept for r in out] == want and 100 < sum(want) < 150
+
+
 def test_entropy_and_script():
     ids, first = np.array([1, 1, 2, 2, 5, 5, 5]), np.array([0, 4, 4, 7])
     assert quality.entropies(ids, first).tolist() == [1.0, 0.0, 0.0]
