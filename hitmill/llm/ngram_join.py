@@ -278,7 +278,7 @@ def _union(sets):
     def run(table: pa.Table) -> pa.Table:
         values, _ = sets(table.column("held"))
         counts = np.bincount((w.mix(np.unique(values)) & np.uint64(UNION_SLOTS - 1)).astype(np.int64), minlength=UNION_SLOTS)
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())})
+        return pa.table({**{c: table.column(c).slice(0, 1) for c in ("family", "part")}, "counts": pa.array([zlib.compress(counts.astype("<u4").tobytes(), 1)], pa.binary())})
 
     return run
 
@@ -382,10 +382,11 @@ def _across(left: DataFrame, nodes: DataFrame, held, sets, similarity: tuple[int
         ends = several.select("family", F.explode(F.array("x", "y")).alias("part")).distinct()
         shown = cut.join(ends, ["family", "part"], "left_semi")
         shown = shown.join(held(bitmap.build(shown, "node")), "node").select("family", "part", "held")
-        unions = keep(shown.groupBy("family", "part").applyInArrow(_union(sets), "part long, counts binary"), "unions")
-        least = blocks.select("part", F.col("low").alias("least"))
-        one, two = (unions.join(least, "part").select(F.col("part").alias(c), F.col("counts").alias(f"of_{c}"), F.col("least").alias(f"least_{c}")) for c in ("x", "y"))
-        both = several.join(one, "x").join(two, "y").select("family", "x", "y", "of_x", "of_y", (F.col("least_x") + F.col("least_y")).alias("least"))
+        unions = keep(shown.groupBy("family", "part").applyInArrow(_union(sets), "family long, part long, counts binary"), "unions")
+        least = blocks.select("family", "part", F.col("low").alias("least"))
+        known = unions.join(least, ["family", "part"])
+        one, two = (known.select("family", F.col("part").alias(c), F.col("counts").alias(f"of_{c}"), F.col("least").alias(f"least_{c}")) for c in ("x", "y"))
+        both = several.join(one, ["family", "x"]).join(two, ["family", "y"]).select("family", "x", "y", "of_x", "of_y", (F.col("least_x") + F.col("least_y")).alias("least"))
         meet = keep(meet.where("x = y").unionByName(both.mapInArrow(_may_meet(similarity), "family long, x long, y long")), "meet")
     sides = meet.select("family", F.col("x").alias("part"), "x", "y", F.lit(0).alias("second")).unionByName(
         meet.where("x <> y").select("family", F.col("y").alias("part"), "x", "y", F.lit(1).alias("second"))

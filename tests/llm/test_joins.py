@@ -61,7 +61,7 @@ def test_unions_of_blocks_lose_no_link():
         other = np.concatenate([draw(60), shared]) if rng.random() < 0.5 else base
         blocks = [[np.unique(np.concatenate([b[: len(b) - 6], draw(int(rng.integers(0, 12))), shared])) for _ in range(5)] for b in (base, other)]
         alike = any(5 * (k := len(np.intersect1d(x, y))) >= 4 * (len(x) + len(y) - k) for x in blocks[0] for y in blocks[1])
-        packed = [ngram_join._union(lambda _, b=b: (np.concatenate(b), None))(pa.table({"part": [1] * 5, "held": [1] * 5})).column("counts")[0] for b in blocks]
+        packed = [ngram_join._union(lambda _, b=b: (np.concatenate(b), None))(pa.table({"family": [1] * 5, "part": [1] * 5, "held": [1] * 5})).column("counts")[0] for b in blocks]
         least = sum(min(map(len, b)) for b in blocks)
         rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([2]), pa.array([packed[0].as_py()]), pa.array([packed[1].as_py()]), pa.array([least])], names=["family", "x", "y", "of_x", "of_y", "least"])
         kept = sum(batch.num_rows for batch in ngram_join._may_meet((4, 5))([rows]))
@@ -166,9 +166,10 @@ def passage_texts():
     return data, planted
 
 
-def test_passages_are_found_wherever_they_stand(rows):
+@pytest.mark.parametrize("every", [False, True])
+def test_passages_are_found_wherever_they_stand(rows, every):
     data, planted = passage_texts()
-    found = paragraphs.repeats(rows(data).repartition(3)).collect()
+    found = paragraphs.repeats(rows(data).repartition(3), every=every).collect()
     assert {r.doc_id for r in found} == {i for ids in planted.values() for i in ids}
     for ids in planted.values():
         groups = [{r.component_id for r in found if r.doc_id == i} for i in ids]
@@ -205,6 +206,17 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - similarity**2) ** n >= 0.999 > 1 - (1 - similarity**2) ** (n - 1)
 
 
+def test_cuts_do_not_depend_on_what_stands_around():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 2**63, 60).astype(np.uint64)
+    around = [np.concatenate([rng.integers(0, 2**63, k).astype(np.uint64), passage, rng.integers(0, 2**63, 40).astype(np.uint64)]) for k in (0, 7, 33)]
+    inner = []
+    for k, hashes in zip((0, 7, 33), around):
+        at = paragraphs.cuts(hashes, np.array([0, len(hashes)])) - k
+        inner.append([x for x in at.tolist() if paragraphs.REACH < x < 60 - paragraphs.REACH])
+    assert inner[0] == inner[1] == inner[2] and len(inner[0]) >= 2
+
+
 def test_equal_stretches_share_a_seed():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -227,7 +239,7 @@ def test_recall_and_ends_of_passages(rows, size):
             before, after = [word() for _ in range(rng.randint(0, 60))], [word() for _ in range(rng.randint(0, 60))]
             data.append((2 * i + copy, " ".join(before + passage + after)))
             want.add((2 * i + copy, len(before), size, copy == 1))
-    found = paragraphs.repeats(rows(data).repartition(4)).where("kind = 'passage'").collect()
+    found = paragraphs.repeats(rows(data).repartition(4), every=True).where("kind = 'passage'").collect()
     got = {(r.doc_id, r.first_word, r.n_words, r.removed) for r in found}
     assert got == (want if size >= 20 else set())
 

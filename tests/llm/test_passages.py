@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from hitmill.llm import paragraphs
 
 
@@ -20,7 +22,8 @@ def kept_texts(data, found):
         yield " ".join(stretch)
 
 
-def test_every_passage_keeps_a_copy(rows):
+@pytest.mark.parametrize("every", [False, True])
+def test_every_passage_keeps_a_copy(rows, every):
     rng = random.Random(12)
     text = lambda n: ["".join(rng.choices("abcdefgh", k=rng.randint(4, 8))) for _ in range(n)]
     parts = [text(60) for _ in range(14)]
@@ -32,7 +35,7 @@ def test_every_passage_keeps_a_copy(rows):
     for i in range(100, 112):
         a, b = parts[9 + i % 2], parts[11 + i % 3]
         data.append((i, " ".join(text(20) + a + common + b + text(20))))
-    found = paragraphs.repeats(rows(data).repartition(3)).collect()
+    found = paragraphs.repeats(rows(data).repartition(3), every=every).collect()
     left = list(kept_texts(data, found))
     for part in [*parts[:9], *parts[9:14], common]:
         for at in range(0, len(part) - 8):
