@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -95,11 +95,11 @@ def route_batches(
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         # Written once: the state is not computed again for each use.
-        fresh = new_path(spark, "fresh")
-        batch.write.parquet(fresh)
+        fresh, seen = new_path(spark, "fresh"), Observation()
+        batch.observe(seen, F.count_if("edited").alias("edits")).write.parquet(fresh)
         batch = spark.read.schema(batch.schema).parquet(fresh)
         known = None if jobs is None else jobs(spark).select("repo", "pr", "comment_id")
-        earlier = decided(spark, path, number) if not batch.where("edited").isEmpty() else None
+        earlier = decided(spark, path, number) if seen.get["edits"] else None
         if earlier is not None:
             own = _own_jobs(earlier)
             known = own if known is None else known.unionByName(own)
