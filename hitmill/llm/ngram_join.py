@@ -8,7 +8,9 @@ they may differ in: one part at least is equal in both.
 A document is first compared with those that share most signatures with the same leading
 document, in blocks that all hold the leader. That joins copies of one text, however many, at the cost of one
 comparison each or so. What is left are signatures whose documents are still in
-different components; of these, blocks of different components are compared with each other.
+different components. Of these, sketches of a few dozen bytes rule out most pairs: two sets differ in at least as
+many n-grams as the parities of their hash slots do. What remains is compared in blocks of
+different components.
 
 In a block, a token-group matrix holds the union of the n-grams of each group of similar documents; a
 document's overlap with the union bounds its similarity to every member, and only groups
@@ -36,6 +38,11 @@ from hitmill.llm.scratch import drop, stage
 BLOCK_TOKENS = 300_000
 # Hash slots in which the n-grams of a block are counted before it meets another.
 UNION_SLOTS = 1 << 15
+# Bits of the smallest sketch; larger sets have as many as n-grams, about.
+SKETCH_BITS = 256
+# Rows that a task compares by sketches at once, and rows of one signature in a part.
+SKETCH_ROWS = 200_000
+RUN = 2048
 # Groups of a block, at most: columns of the token-group matrix.
 GROUPS = 64
 # Hash slots in which n-grams are counted to order them: 4 MB. Counts travel in so many packed
@@ -168,6 +175,107 @@ def _sets(block: w.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return w.distinct(values, of, len(block))
 
 
+def sketches(values: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Parities of the hash slots of each set: a power of two of bits, as many as n-grams or more."""
+    n = np.diff(first)
+    width = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(n)), n)
+    spread = w.mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    place = base[owner] + (spread & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.bincount(place, minlength=int(base[-1])).astype(np.uint8) & 1
+    packed, ends = np.packbits(bits, bitorder="little").tobytes(), (base // 8).tolist()
+    return [packed[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def _folded(matrix: np.ndarray, width: int) -> np.ndarray:
+    """Sketches of fewer words: slots that fall together add their parities."""
+    while matrix.shape[1] > width:
+        half = matrix.shape[1] // 2
+        matrix = matrix[:, :half] ^ matrix[:, half:]
+    return matrix
+
+
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: list[bytes | None], similarity: tuple[int, int]) -> np.ndarray:
+    """Which pairs of sets (by number) their sizes and sketches do not rule out. A set without
+    sketch is not ruled out."""
+    p, q = similarity
+    width = np.array([0 if x is None else len(x) // 8 for x in sketch])
+    may = (q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])) | (width[a] == 0) | (width[b] == 0)
+    row = np.zeros(len(n), np.int64)
+    tables = {}
+    for size in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == size)
+        row[at] = np.arange(len(at))
+        tables[size] = np.frombuffer(b"".join([sketch[i] for i in at.tolist()]), "<u8").reshape(-1, size)
+    for x in tables:
+        for y in tables:
+            at = np.flatnonzero(may & (width[a] == x) & (width[b] == y))
+            for part in np.array_split(at, max(1, len(at) * min(x, y) // 2_000_000)):
+                i, j = a[part], b[part]
+                least = min(x, y)
+                apart = np.bitwise_count(_folded(tables[x][row[i]], least) ^ _folded(tables[y][row[j]], least)).sum(axis=1, dtype=np.int64)
+                may[part] = (p + q) * apart <= (q - p) * (n[i] + n[j])
+    return may
+
+
+def _labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``count`` nodes reaches by edges."""
+    label = np.arange(count)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
+def _sketched(similarity: tuple[int, int]):
+    """Of rows with a common signature (``run``), those that others of another component may be
+    similar to, with a leader for all that hang together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        order = np.argsort(np.asarray(table.column("run")), kind="stable")
+        key, node, component, n = (np.asarray(table.column(c))[order] for c in ("run", "node", "component", "n"))
+        names, lead, which = np.unique(node, return_index=True, return_inverse=True)
+        held = table.column("bits").to_pylist()
+        sketch = [held[order[i]] for i in lead.tolist()]
+        sizes = n[lead]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        length = np.diff(np.append(begin, len(key)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def test(x: np.ndarray, y: np.ndarray) -> None:
+            apart = component[x] != component[y]
+            pairs = np.unique(np.stack([which[x[apart]], which[y[apart]]], axis=1), axis=0)
+            good = may_link(pairs[:, 0], pairs[:, 1], sizes, sketch, similarity)
+            a.append(pairs[good, 0])
+            b.append(pairs[good, 1])
+
+        for m in np.unique(length[length > 1]).tolist():
+            starts = begin[length == m]
+            if m <= 64:
+                i, j = np.triu_indices(m, 1)
+                step = max(1, 500_000 // len(i))
+                for k in range(0, len(starts), step):
+                    test((starts[k : k + step, None] + i).reshape(-1), (starts[k : k + step, None] + j).reshape(-1))
+                continue
+            for start in starts.tolist():
+                for i in range(m - 1):
+                    others = np.arange(start + i + 1, start + m)
+                    test(np.full(len(others), start + i), others)
+        x, y = np.concatenate(a), np.concatenate(b)
+        label = _labels(len(names), x, y)
+        some = np.unique(np.concatenate([x, y]))
+        return pa.table({"node": pa.array(names[some]), "component": pa.array(component[lead][some]), "leader": pa.array(names[label[some]])})
+
+    return run
+
+
 def _signed(size: int, sign):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in w.slices(batches, "text"):
@@ -176,8 +284,8 @@ def _signed(size: int, sign):
             sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum([w.mix(values), w.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))], axis=1, dtype=np.uint64)], axis=1)
             keys = w.mix(sums[:, first[1:]] - sums[:, first[:-1]])
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(np.diff(first)), *(pa.array(k.view(np.int64)) for k in keys), w.long_lists(signatures, begins)],
-                names=["doc_id", "n_shingles", "k1", "k2", "signatures"],
+                [rows.column("doc_id"), pa.array(np.diff(first)), *(pa.array(k.view(np.int64)) for k in keys), pa.array(sketches(values, first), pa.binary()), w.long_lists(signatures, begins)],
+                names=["doc_id", "n_shingles", "k1", "k2", "bits", "signatures"],
             )
 
     return run
@@ -309,7 +417,7 @@ def similar(rows: DataFrame, sizes: DataFrame, held, sets, similarity: tuple[int
     """Links between sets, as far as they join components: columns ``a`` and ``b``, stored.
 
     ``rows`` (node, s) has the signatures of every set; sets with a common one are compared.
-    ``sizes``: node and ``n``. ``held`` gets a bitmap of nodes and returns their sets as (node, held),
+    ``sizes``: node and ``n``, and ``bits`` where there are sketches. ``held`` gets a bitmap of nodes and returns their sets as (node, held),
     possibly with others; ``sets`` reads the column held inside a task.
     """
     spark, links, done = rows.sparkSession, "a long, b long", []
@@ -322,7 +430,12 @@ def similar(rows: DataFrame, sizes: DataFrame, held, sets, similarity: tuple[int
     shared = rows.groupBy("s").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").drop("last")
     shared = keep(shared, "shared")
     met = keep(bitmap.keep(rows, "s", bitmap.build(shared, "s")).join(shared, "s"), "met")
-    nodes = keep(met.groupBy("node").agg(F.lit(1).alias("one")).join(sizes.groupBy("node").agg(F.max("n").alias("n")), "node").select("node", "n"), "nodes")
+    sketched = "bits" in sizes.columns
+    size = [F.max("n").alias("n")]
+    if sketched:
+        # A node with several sets has no sketch.
+        size.append(F.when(F.min("bits") == F.max("bits"), F.min("bits")).alias("bits"))
+    nodes = keep(met.select("node").distinct().join(sizes, "node").groupBy("node").agg(*size), "nodes")
 
     # Every set with the leader it shares most signatures with, the leader in every block.
     often = met.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
@@ -340,7 +453,19 @@ def similar(rows: DataFrame, sizes: DataFrame, held, sets, similarity: tuple[int
     one = F.coalesce("component", "node").alias("component")
     placed = keep(met.join(near, F.col("node") == F.col("near"), "left").select("node", "s", one), "placed")
     open_at = placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("leader")).where("low < high")
-    left = keep(placed.join(open_at.select("s", "leader"), "s").select("node", "component", "leader").distinct(), "left")
+    if sketched:
+        open_at = keep(placed.groupBy("s").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high").drop("low", "high"), "open")
+        rows = placed.join(open_at, "s").join(nodes, "node")
+        # Rows of a frequent signature are cut in parts, and all parts meet.
+        parts = F.ceil(F.col("c") / RUN).cast("long")
+        own = F.pmod(F.xxhash64("node"), parts)
+        met_by = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.xxhash64("s", F.least(own, j), F.greatest(own, j)))
+        rows = rows.select("node", "component", "n", "bits", F.explode(met_by).alias("run"))
+        groups = max(1, -(-(placed.join(open_at, "s").count()) // SKETCH_ROWS))
+        left = rows.groupBy(F.pmod("run", F.lit(groups)).alias("group")).applyInArrow(_sketched(similarity), "node long, component long, leader long")
+    else:
+        left = placed.join(open_at.select("s", "leader"), "s").select("node", "component", "leader").distinct()
+    left = keep(left, "left")
     result = found
     if not left.isEmpty():
         result = found.unionByName(_across(left, nodes, held, sets, similarity, keep))
@@ -358,6 +483,7 @@ def _across(left: DataFrame, nodes: DataFrame, held, sets, similarity: tuple[int
     """
     p, q = similarity
     ties = components(left.select("node", "leader"), "node", "leader").withColumnRenamed("node", "tied").withColumnRenamed("component", "family")
+    nodes = nodes.select("node", "n")
     members = left.select("node", "component").distinct().join(ties, F.col("node") == F.col("tied"), "left")
     members = keep(members.select("node", "component", F.coalesce("family", "node").alias("family")).join(nodes, "node"), "members")
     parts = members.groupBy("family", "component").agg(F.sum("n").alias("n"))
@@ -416,7 +542,7 @@ def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5
     spark = df.sparkSession
     source = df.select(df[doc_id].cast("long").alias("doc_id"), df[text].alias("text"))
     sign = Parts(*similarity).signatures if by_parts else partial(prefixes, similarity=similarity, frequency=levels(source, size))
-    signed, path = stage(source.mapInArrow(_signed(size, sign), "doc_id long, n_shingles long, k1 long, k2 long, signatures array<long>"), "signed")
+    signed, path = stage(source.mapInArrow(_signed(size, sign), "doc_id long, n_shingles long, k1 long, k2 long, bits binary, signatures array<long>"), "signed")
     filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # One document stands for all with its set.
@@ -425,7 +551,7 @@ def ngram_join(df: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5
     result, _ = stage(signed.drop("signatures"), "sizes")
     drop(spark, path)
     filled = result.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    sizes = filled.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"))
+    sizes = filled.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bits")
     named = source.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("text").alias("held"))
     links = similar(rows, sizes, lambda bits: named.mapInArrow(_held(bits), "node long, held string"), lambda column: _sets(w.texts(column), size), similarity)
     drop(spark, rows_path)

@@ -44,12 +44,42 @@ def test_ngram_join_equals_brute_force(rows, size, similarity, monkeypatch):
         data += [" ".join(edited(base, rng.choice([0, 0, 0.005, 0.02, 0.04, 0.2]), rng)) for _ in range(25)]
     data += ["", " \n", "one", "one", "one two", "ONE Two", "a b c", "tie tie tie tie tie"]
     data = [(i * 3 % 1009, t) for i, t in enumerate(data)]
+    monkeypatch.setattr(ngram_join, "RUN", 5)
+    monkeypatch.setattr(ngram_join, "SKETCH_ROWS", 100)
     for by_parts in (False, True):
         out = ngram_join.ngram_join(rows(data).repartition(4), size, similarity, by_parts=by_parts)
         got = {tuple(r) for r in out.collect()}
         assert got == brute_components(data, size, *similarity)
 
 
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(11)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for p, q in ((4, 5), (90, 100)):
+        sets = []
+        for _ in range(150):
+            n = int(rng.choice([1, 5, 40, 240, 260, 500, 520, 3000]))
+            base = draw(n)
+            sets += [np.unique(base)] + [np.unique(np.concatenate([base[int(rng.integers(0, n // 5 + 1)) :], draw(int(rng.integers(0, n // 5 + 1)))])) for _ in range(2)]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        sketch = ngram_join.sketches(np.concatenate(sets), first)
+        sketch[4] = None
+        i, j = np.triu_indices(len(sets), 1)
+        may = ngram_join.may_link(i, j, np.diff(first), sketch, (p, q))
+        kept = set(zip(i[may].tolist(), j[may].tolist()))
+        linked = 0
+        for k in range(0, len(sets), 3):
+            for x in range(k, k + 3):
+                for y in range(x + 1, k + 3):
+                    common = len(np.intersect1d(sets[x], sets[y]))
+                    if q * common >= p * (len(sets[x]) + len(sets[y]) - common):
+                        linked += 1
+                        assert (x, y) in kept
+        # Nearly all unlike pairs of some size go.
+        large = {k for k in range(len(sets)) if len(sets[k]) > 100}
+        assert linked > 50 and sum(x // 3 != y // 3 and 4 not in (x, y) and {x, y} <= large for x, y in kept) == 0
+
+
 def test_unions_of_blocks_lose_no_link():
     import pyarrow as pa
 
