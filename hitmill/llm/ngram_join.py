@@ -41,7 +41,7 @@ UNION_SLOTS = 1 << 15
 # Bits of the smallest sketch; larger sets have as many as n-grams, about.
 SKETCH_BITS = 256
 # Rows that a task compares by sketches at once, and rows of one signature in a part.
-SKETCH_ROWS = 200_000
+SKETCH_ROWS = 40_000
 RUN = 2048
 # Groups of a block, at most: columns of the token-group matrix.
 GROUPS = 64
@@ -255,12 +255,17 @@ def _sketched(similarity: tuple[int, int]):
             good = may_link(pairs[:, 0], pairs[:, 1], sizes, sketch, similarity)
             a.append(pairs[good, 0])
             b.append(pairs[good, 1])
+            if sum(map(len, a)) > 300_000:
+                # What hangs together is enough.
+                label = _labels(len(names), np.concatenate(a), np.concatenate(b))
+                tied = np.flatnonzero(label != np.arange(len(names)))
+                a[:], b[:] = [tied], [label[tied]]
 
         for m in np.unique(length[length > 1]).tolist():
             starts = begin[length == m]
             if m <= 64:
                 i, j = np.triu_indices(m, 1)
-                step = max(1, 500_000 // len(i))
+                step = max(1, 200_000 // len(i))
                 for k in range(0, len(starts), step):
                     test((starts[k : k + step, None] + i).reshape(-1), (starts[k : k + step, None] + j).reshape(-1))
                 continue
@@ -271,6 +276,7 @@ def _sketched(similarity: tuple[int, int]):
         x, y = np.concatenate(a), np.concatenate(b)
         label = _labels(len(names), x, y)
         some = np.unique(np.concatenate([x, y]))
+        w.give_back()
         return pa.table({"node": pa.array(names[some]), "component": pa.array(component[lead][some]), "leader": pa.array(names[label[some]])})
 
     return run
@@ -375,6 +381,7 @@ def _block(similarity: tuple[int, int], sets):
         queries = int((np.sort(second)[filled] == 0).sum()) if second.any() else 0
         alone = len(nodes) < 2 or second.any() and queries in (0, len(nodes))
         links = [] if alone else compare(nodes, values, first, queries, similarity, known)
+        w.give_back()
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run

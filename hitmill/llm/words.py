@@ -7,6 +7,7 @@ task does not depend on the number of its rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,6 +35,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Another C library.
+        pass
+
+
 @lru_cache(maxsize=1)
 def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
@@ -119,6 +130,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             cut = whole.offsets[start : stop + 1]
             yield batch.slice(start, stop - start), Texts(whole.data[cut[0] : cut[-1]], cut - cut[0])
             start = stop
+    give_back()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
