@@ -251,10 +251,11 @@ def _sketched(similarity: tuple[int, int]):
 
         def test(x: np.ndarray, y: np.ndarray) -> None:
             apart = component[x] != component[y]
-            pairs = np.unique(np.stack([which[x[apart]], which[y[apart]]], axis=1), axis=0)
-            good = may_link(pairs[:, 0], pairs[:, 1], sizes, sketch, similarity)
-            a.append(pairs[good, 0])
-            b.append(pairs[good, 1])
+            # Pairs that share several signatures are looked at once.
+            one, two = np.divmod(np.unique(which[x[apart]] * len(names) + which[y[apart]]), len(names))
+            good = may_link(one, two, sizes, sketch, similarity)
+            a.append(one[good])
+            b.append(two[good])
             if sum(map(len, a)) > 300_000:
                 # What hangs together is enough.
                 label = _labels(len(names), np.concatenate(a), np.concatenate(b))
@@ -269,10 +270,12 @@ def _sketched(similarity: tuple[int, int]):
                 for k in range(0, len(starts), step):
                     test((starts[k : k + step, None] + i).reshape(-1), (starts[k : k + step, None] + j).reshape(-1))
                 continue
+            step = max(1, 200_000 // m)
             for start in starts.tolist():
-                for i in range(m - 1):
-                    others = np.arange(start + i + 1, start + m)
-                    test(np.full(len(others), start + i), others)
+                for k in range(0, m, step):
+                    i, j = np.divmod(np.arange(min(step, m - k) * m), m)
+                    ahead = j > i + k
+                    test(start + k + i[ahead], start + j[ahead])
         x, y = np.concatenate(a), np.concatenate(b)
         label = _labels(len(names), x, y)
         some = np.unique(np.concatenate([x, y]))
