@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from hitmill.llm import words as w
 
-# 1 MB.
-SLOTS = 1 << 23
+# 8 MB.
+SLOTS = 1 << 26
 
 
 def _slots(values: np.ndarray) -> np.ndarray:
@@ -24,10 +24,11 @@ def _slots(values: np.ndarray) -> np.ndarray:
 
 
 def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(SLOTS, bool)
+    bits = np.zeros(SLOTS // 8, np.uint8)
     for batch in batches:
-        bits[_slots(np.asarray(batch.column(0)))] = True
-    packed = np.packbits(bits, bitorder="little").view(np.int64)
+        slot = _slots(np.asarray(batch.column(0)))
+        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    packed = bits.view(np.int64)
     at = np.flatnonzero(packed)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(packed[at])], names=["word", "bits"])
 
@@ -35,8 +36,8 @@ def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(df: DataFrame, column: str) -> bytes:
     """The bitmap of a long column without nulls (at most SLOTS / 64 rows reach the driver)."""
     packed = np.zeros(SLOTS // 64, np.int64)
-    for word, bits in df.select(column).mapInArrow(_marked, "word int, bits long").groupBy("word").agg(F.bit_or("bits")).collect():
-        packed[word] = bits
+    words = df.select(column).mapInArrow(_marked, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    packed[np.asarray(words.column("word"))] = np.asarray(words.column("bits"))
     return packed.tobytes()
 
 
