@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from hitmill.llm import decontaminate, ngram_join, paragraphs
 from hitmill.llm import words as w
@@ -169,6 +171,16 @@ def test_group_bounds_lose_no_component():
     assert classes({*across, *own}) == classes(want)
 
 
+def test_batches_of_long_texts_are_bounded(llm):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    texts = llm.range(0, 9000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 18_000_000 and max(found) < 6_000_000
+
+
 def test_components_of_chains_stars_and_loops(llm):
     edges = [(i, i + 1) for i in range(50, 90)] + [(3, x) for x in range(200, 260)] + [(7, 7), (8, 9), (9, 8), (8, 9), (None, 1), (2, None)]
     got = {r.node: r.component for r in components(llm.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
