@@ -2,11 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitmill.llm.scratch import drop, stage
 
+# Edges that a task contracts at a time.
+CHUNK = 200_000
+
+
+def labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``count`` nodes reaches by edges."""
+    label = np.arange(count)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
+
+
+def _contracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that tie the same nodes as the edges, for as many edges of the task as fit at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+        if sum(len(u) for u, _ in held) >= CHUNK:
+            yield _stars(held)
+            held = []
+    if held:
+        yield _stars(held)
+
+
+def _stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v = (np.concatenate(side) for side in zip(*held))
+    names, which = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label = labels(len(names), which[: len(u)], which[len(u) :])
+    tied = np.flatnonzero(label != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[label[tied]])], names=["u", "v"])
+
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """The smallest node that each node reaches: columns ``node`` and ``component`` (long).
@@ -14,22 +55,31 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Nodes that are the smallest of their component have no row. Edges with a null end and
     loops count as none; repeated edges are allowed. Rounds of large-star and small-star
     steps turn every component into a star; each is a minimum by node and a join, so the edges
-    of a hub are never gathered, and each round is written before the next one reads it.
+    of a hub are never gathered, and each round is written before the next one reads it. Before
+    a round, tasks contract the edges that they hold anyhow, CHUNK at a time, so few rounds are left.
     """
     u, v = F.col("u"), F.col("v")
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-    now, path = stage(pairs.where(F.col("x") & F.col("y") & (u != v)).select("u", "v").distinct(), "edges")
-    seen = None
+
+    def contracted(df: DataFrame) -> tuple[DataFrame, str]:
+        return stage(df.select(u.cast("long"), v.cast("long")).distinct().mapInArrow(_contracted, "u long, v long"), "edges")
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now, path = contracted(pairs.where(F.col("x") & F.col("y") & (u != v)))
+    seen = mark(now)
     while True:
+        if not seen[0]:
+            return now.select(u.alias("node"), v.alias("component"))
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        after, new_path = stage(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        after, new_path = contracted(small.unionByName(least.withColumnRenamed("m", "v")))
         drop(now.sparkSession, path)
         now, path = after, new_path
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
+        before, seen = seen, mark(now)
+        if seen == before:
             return now.select(u.alias("node"), v.alias("component"))
-        seen = mark

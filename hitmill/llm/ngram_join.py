@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from hitmill.llm import bitmap
 from hitmill.llm import words as w
-from hitmill.llm.components import components
+from hitmill.llm.components import components, labels
 from hitmill.llm.scratch import drop, stage
 
 # N-grams that one task compares at once; larger groups of documents are cut in blocks.
@@ -219,20 +219,6 @@ def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: list[bytes | N
     return may
 
 
-def _labels(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest number that each of ``count`` nodes reaches by edges."""
-    label = np.arange(count)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(label, before):
-            break
-    return label
-
-
 def _sketched(similarity: tuple[int, int]):
     """Of rows with a common signature (``run``), those that others of another component may be
     similar to, with a leader for all that hang together."""
@@ -258,7 +244,7 @@ def _sketched(similarity: tuple[int, int]):
             b.append(two[good])
             if sum(map(len, a)) > 300_000:
                 # What hangs together is enough.
-                label = _labels(len(names), np.concatenate(a), np.concatenate(b))
+                label = labels(len(names), np.concatenate(a), np.concatenate(b))
                 tied = np.flatnonzero(label != np.arange(len(names)))
                 a[:], b[:] = [tied], [label[tied]]
 
@@ -277,7 +263,7 @@ def _sketched(similarity: tuple[int, int]):
                     ahead = j > i + k
                     test(start + k + i[ahead], start + j[ahead])
         x, y = np.concatenate(a), np.concatenate(b)
-        label = _labels(len(names), x, y)
+        label = labels(len(names), x, y)
         some = np.unique(np.concatenate([x, y]))
         w.give_back()
         return pa.table({"node": pa.array(names[some]), "component": pa.array(component[lead][some]), "leader": pa.array(names[label[some]])})
